@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionframe.llm import byte_bpe, contamination, quality, token_planes, workspace
+from motionframe.llm import byte_bpe, contamination, license_scan, line_dedup, quality, token_planes, toxicity, url_graph, workspace
 
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,22 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(workspace.documents(spark, sf_dir))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.verdicts(workspace.table(spark, sf_dir, "pages"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(workspace.documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(workspace.documents(spark, sf_dir), workspace.table(spark, sf_dir, "labels"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(workspace.documents(spark, sf_dir))
+
+
 def op9_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.round_trip(workspace.documents(spark, sf_dir), public_tokenizers.path(WORD_VOCABULARY))
 
@@ -30,7 +46,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op4_quality_rules, op9_token_planes, op10_decontamination)}
+    return {f.__name__: f for f in (op1_byte_bpe, op4_quality_rules, op5_url_filters, op6_line_dedup, op7_toxicity, op8_license_scan, op9_token_planes, op10_decontamination)}
 
 
 OP10_SQL = r"""
@@ -59,4 +75,4 @@ FROM doc_arrays a LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op5_url_filters": url_graph.sql(), "op8_license_scan": license_scan.sql(), "op10_decontamination": OP10_SQL}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; the size is counted first and larger sides are shuffled.
 BROADCAST_ROWS = 200_000
@@ -25,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, materialised before, marked for broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path for a new table in the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
