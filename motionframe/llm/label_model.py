@@ -64,3 +64,38 @@ def fit(patterns: dict[tuple[int, ...], int], rules: int, iterations: int = 50,
 
 def _moved(a: LabelModel, b: LabelModel) -> float:
     return max((abs(x - y) for p, q in zip(a.rates, b.rates, strict=True) for r, s in zip(p, q, strict=True) for x, y in zip(r, s, strict=True)), default=0.0)
+
+
+@dataclass(frozen=True)
+class SpanClassifier:
+    """Logistic regression over the kind of a span and its votes; an abstention has weight 0."""
+
+    bias: float
+    kinds: dict[str, float]
+    #: weights of a vote 0 and a vote 1 of each labeler
+    votes: tuple[tuple[float, float], ...]
+
+
+def fit_classifier(rows: list[tuple[str, tuple[int, ...], int, float]], kinds: list[str], labelers: int, steps: int = 400, rate: float = 1.0, ridge: float = 1e-3) -> SpanClassifier:
+    """Fit to ``(kind, votes, rows, probability)`` patterns by gradient descent on the expected log-loss.
+
+    Every pattern weighs by the root of its rows, so that rare patterns are learned too.  Without patterns all
+    weights are 0.
+    """
+    place = {k: i + 1 for i, k in enumerate(kinds)}
+    size = 1 + len(kinds) + 2 * labelers
+    examples = []
+    for kind, votes, n, target in rows:
+        active = [0, place[kind], *(1 + len(kinds) + 2 * k + v for k, v in enumerate(votes) if v >= 0)]
+        examples.append((active, math.sqrt(n), target))
+    total = sum(weight for _, weight, _ in examples)
+    w = [0.0] * size
+    for _ in range(steps if examples else 0):
+        gradient = [ridge * x for x in w]
+        for active, weight, target in examples:
+            error = (1 / (1 + math.exp(-max(-40.0, min(40.0, sum(w[i] for i in active))))) - target) * weight / total
+            for i in active:
+                gradient[i] += error
+        w = [x - rate * g for x, g in zip(w, gradient, strict=True)]
+    first = 1 + len(kinds)
+    return SpanClassifier(w[0], {k: w[i] for k, i in place.items()}, tuple((w[first + 2 * k], w[first + 2 * k + 1]) for k in range(labelers)))
