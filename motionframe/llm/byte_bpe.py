@@ -3,13 +3,13 @@
 Texts of up to ``chunk_chars`` are one chunk and are encoded where they are read.  A longer text is cut into
 chunks that overlap by ``overlap`` characters; the chunks are dealt over the cluster and pre-tokenised in
 parallel.  A chunk starts at an arbitrary place, so its first pre-tokens may be wrong, but the pattern looks only
-forward: from the first boundary that two neighbours share inside their overlap, both give the same pre-tokens.
+forward: once the pre-tokens of two neighbours have a boundary in common inside their overlap, both go on alike.
 There they are stitched, and the pieces between stitches are encoded independently.  Decoding concatenates the
 raw bytes of the ids.
 
 Edge cases: a null text counts as empty; an empty text has no ids; repeated rows give repeated results; null
-doc_ids are kept; columns besides ``doc_id`` and ``text`` are ignored.  A text in which some overlap has no
-common boundary (one huge run of letters, say) is encoded whole in one call, so the result is exact either way.
+doc_ids are kept; columns besides ``doc_id`` and ``text`` are ignored.  A text in which some overlap
+has no common boundary (one huge run of letters, say) is encoded whole in one call, so the result is exact either way.
 """
 
 from __future__ import annotations
@@ -19,19 +19,27 @@ import functools
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 16_384
-OVERLAP = 512
+from motionframe.llm import workspace
 
-#: Characters before a chunk's end in which a boundary could still move: the longest literal of the pattern is 3.
+#: A text is cut only if encoding it in one call would hold up its task for a noticeable time.
+CHUNK_CHARS = 65_536
+OVERLAP = 1_024
+
+#: Characters before a text's end in which a boundary could still move: the longest literal of the pattern is 3.
 _UNSURE = 3
 
+_CHUNK = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("no", pa.int64()), ("last", pa.bool_()), ("chunk", pa.string())])
+_PIECE = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("no", pa.int64()), ("ids", pa.binary())])
+_WHOLE = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
@@ -84,114 +92,96 @@ def _short_encoded(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     return docs.mapInArrow(run, ENCODED)
 
 
-def _chunks(long_docs: DataFrame, chunk_chars: int, overlap: int) -> DataFrame:
-    """One row for each chunk: chunk ``no`` covers [no * step, no * step + chunk_chars)."""
-    step = chunk_chars - overlap
+def _chunks(long_docs: DataFrame, step: int, overlap: int) -> DataFrame:
+    """One row for each chunk: chunk ``no`` covers [no * step, (no + 1) * step + overlap) of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "digest", "no", "last", "chunk"]
         for batch in batches:
             for row in batch.to_pylist():
                 text = row["text"]
-                count = max(1, -(-(len(text) - overlap) // step))
-                for first in range(0, count, 64):
-                    some = range(first, min(count, first + 64))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row["doc_id"]] * len(some), pa.int64()),
-                            pa.array([row["digest"]] * len(some), pa.string()),
-                            pa.array(some, pa.int64()),
-                            pa.array([no == count - 1 for no in some], pa.bool_()),
-                            pa.array([text[no * step : no * step + chunk_chars] for no in some], pa.string()),
-                        ],
-                        names,
-                    )
+                count = -(-len(text) // step)
+                for no in range(count):
+                    made = {"doc_id": row["doc_id"], "digest": row["digest"], "no": no, "last": no == count - 1, "chunk": text[no * step : (no + 1) * step + overlap]}
+                    yield pa.RecordBatch.from_pylist([made], schema=_CHUNK)
 
     return long_docs.mapInArrow(run, "doc_id long, digest string, no long, last boolean, chunk string")
 
 
-def _pre_tokenised(chunks: DataFrame, chunk_chars: int, overlap: int, pattern: str) -> DataFrame:
-    """Adds the boundaries inside the overlaps with both neighbours, as places in the whole text."""
-    step = chunk_chars - overlap
+def _seam(matcher: regex.Pattern, text: str, overlap: int) -> int | None:
+    """The first pre-token boundary in the second half of an overlap, seen from the overlap's start alone."""
+    for found in matcher.finditer(text):
+        if found.end() >= overlap // 2:
+            return found.end() if found.end() <= min(overlap, len(text)) - _UNSURE else None
+    return None
 
+
+def _piece(matcher: regex.Pattern, chunk: str, first: bool, last: bool, step: int, overlap: int) -> str | None:
+    """The part of a chunk between its two seams; None unless its own pre-tokens meet the seam at its end.
+
+    Both neighbours find a seam from the overlap's text alone, so they agree on it.  Its left neighbour's
+    pre-tokens, from its own seam on, must have a boundary there: then, from the text's start on, every piece
+    begins and ends at boundaries of the whole text.
+    """
+    start = 0 if first else _seam(matcher, chunk[: overlap + _UNSURE], overlap)
+    if start is None:
+        return None
+    if last:
+        return chunk[start:]
+    end = _seam(matcher, chunk[step : step + overlap + _UNSURE], overlap)
+    if end is None or step + end <= start:
+        return None
+    for found in matcher.finditer(chunk, start):
+        if found.end() >= step + end:
+            return chunk[start : step + end] if found.end() == step + end else None
+    return None
+
+
+def _encoded_pieces(chunks: DataFrame, step: int, overlap: int, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = regex.compile(pattern)
+        encoding, matcher = tokenizer(vocabulary, pattern), regex.compile(pattern)
         for batch in batches:
-            heads, tails = [], []
-            for no, text in zip(batch.column("no").to_pylist(), batch.column("chunk").to_pylist(), strict=True):
-                ends = [m.end() for m in matcher.finditer(text)]
-                sure = len(text) - _UNSURE
-                heads.append([no * step + e for e in ends if e <= overlap and e <= sure])
-                tails.append([no * step + e for e in ends if step <= e <= sure])
-            places = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, places), pa.array(tails, places)], [*batch.schema.names, "heads", "tails"])
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                piece = _piece(matcher, row["chunk"], row["no"] == 0, row["last"], step, overlap)
+                ids = None if piece is None else encoding.encode_to_numpy(piece, disallowed_special=()).astype("<u4").tobytes()
+                yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "digest": row["digest"], "no": row["no"], "ids": ids}], schema=_PIECE)
 
-    return chunks.mapInArrow(run, "doc_id long, digest string, no long, last boolean, chunk string, heads array<long>, tails array<long>")
+    return chunks.mapInArrow(run, "doc_id long, digest string, no long, ids binary")
 
 
-def _stitched(found: DataFrame) -> DataFrame:
-    """Start and end of each chunk's piece: the first boundary shared with either neighbour, null if there is none.
+def _joined(pieces: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """Each long text's ids, put together from its pieces and decoded again; null where a seam did not meet."""
+    in_order = pieces.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("pieces"))
 
-    Only boundary lists of one overlap meet in the joins, keyed by (document, chunk number), so no document,
-    however long, gathers in one task.
-    """
-    key = ["doc_id", "digest"]
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in key]
-    here = found.alias("here")
-    before = found.select(*key, (F.col("no") + 1).alias("no"), F.col("tails").alias("their_tails")).alias("before")
-    after = found.select(*key, (F.col("no") - 1).alias("no"), F.col("heads").alias("their_heads")).alias("after")
-    return (
-        here.join(before, [*same("here", "before"), F.col("here.no") == F.col("before.no")], "left")
-        .join(after, [*same("here", "after"), F.col("here.no") == F.col("after.no")], "left")
-        .select(
-            *(F.col(f"here.{k}") for k in (*key, "no", "last", "chunk")),
-            F.when(F.col("here.no") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("heads", "their_tails"))).alias("piece_start"),
-            F.array_min(F.array_intersect("tails", "their_heads")).alias("piece_end"),
-        )
-    )
-
-
-def _encoded_pieces(pieces: DataFrame, step: int, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tokenizer(vocabulary, pattern)
         for batch in batches:
-            made = []
-            for row in batch.to_pylist():
-                start, end = row["piece_start"], row["piece_end"]
-                if start is None or (end is None and not row["last"]) or (end is not None and end < start):
-                    made.append((None, None, None))
-                    continue
-                shift = row["no"] * step
-                made.append(_encode(encoding, row["chunk"][start - shift : None if row["last"] else end - shift]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(k) for k in ("doc_id", "digest", "no")),
-                    *(pa.array([m[k] for m in made], kind) for k, kind in ((0, pa.int64()), (1, pa.binary()), (2, pa.binary()))),
-                ],
-                ["doc_id", "digest", "no", "n_tokens", "ids", "decoded"],
-            )
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                parts = [p["ids"] for p in row["pieces"]]
+                made = {"doc_id": row["doc_id"], "digest": row["digest"], "n_tokens": None, "ids": None, "decoded": None}
+                if None not in parts:
+                    ids = b"".join(parts)
+                    made |= {"n_tokens": len(ids) // 4, "ids": ids, "decoded": encoding.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())}
+                yield pa.RecordBatch.from_pylist([made], schema=_WHOLE)
 
-    return pieces.mapInArrow(run, "doc_id long, digest string, no long, n_tokens long, ids binary, decoded binary")
+    return in_order.mapInArrow(run, "doc_id long, digest string, n_tokens long, ids binary, decoded binary")
 
 
-def _long_encoded(long_docs: DataFrame, vocabulary: str, pattern: str, chunk_chars: int, overlap: int) -> DataFrame:
+def _long_encoded(long_docs: DataFrame, vocabulary: str, pattern: str, chunk_chars: int, overlap: int, kept: list[Column]) -> DataFrame:
+    """doc_id and ``kept`` (columns over n_tokens, ids and decoded) of texts of more than ``chunk_chars``."""
     marked = long_docs.withColumn("digest", F.sha2("text", 256))
-    key = ["doc_id", "digest"]
-    chunks = _chunks(marked.dropDuplicates(key), chunk_chars, overlap).repartition(*key, "no")
-    pieces = _stitched(_pre_tokenised(chunks, chunk_chars, overlap, pattern))
-    encoded = _encoded_pieces(pieces, chunk_chars - overlap, vocabulary, pattern)
-    in_order = F.sort_array(F.collect_list(F.struct("no", "ids", "decoded")))
-    joined = lambda name: F.unhex(F.array_join(F.transform(in_order, lambda p: F.hex(p[name])), ""))
-    whole = encoded.groupBy(*key).agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.bool_and(F.col("n_tokens").isNotNull()).alias("stitched"),
-        joined("ids").alias("ids"),
-        joined("decoded").alias("decoded"),
-    )
-    rows = marked.alias("d").join(whole.alias("w"), [F.col(f"d.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key])
-    good = rows.filter("stitched").select("d.doc_id", "n_tokens", "ids", "decoded")
-    unstitched = rows.filter("NOT stitched").select("d.doc_id", "d.text")
-    return good.unionByName(_short_encoded(unstitched, vocabulary, pattern))
+    step = chunk_chars - overlap
+    # the chunks are dealt over the cluster, so one huge text is not one task
+    chunks = _chunks(marked.dropDuplicates(["doc_id", "digest"]), step, overlap).repartition("doc_id", "digest", "no")
+    whole = workspace.cut(_joined(_encoded_pieces(chunks, step, overlap, vocabulary, pattern), vocabulary, pattern).select("doc_id", "digest", "n_tokens", *kept))
+    met = whole.filter("n_tokens IS NOT NULL")
+    apart = workspace.sized(whole.filter("n_tokens IS NULL").select("doc_id", "digest"))
+    same = lambda other: [F.col(f"d.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in ("doc_id", "digest")]
+    names = met.columns[3:]
+    good = marked.select("doc_id", "digest").alias("d").join(met.alias("w"), same("w")).select("d.doc_id", "n_tokens", *names)
+    rest = marked.alias("d").join(apart.alias("a"), same("a"), "left_semi").select("doc_id", "text")
+    return good.unionByName(_short_encoded(rest, vocabulary, pattern).select("doc_id", "n_tokens", *kept))
 
 
 def _split_by_length(docs: DataFrame, chunk_chars: int) -> tuple[DataFrame, DataFrame]:
@@ -203,13 +193,12 @@ def _split_by_length(docs: DataFrame, chunk_chars: int) -> tuple[DataFrame, Data
 def encode(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the bytes decoded from them, for every row."""
     short, long_docs = _split_by_length(docs, chunk_chars)
-    return _short_encoded(short, vocabulary, pattern).unionByName(_long_encoded(long_docs, vocabulary, pattern, chunk_chars, overlap))
+    every = [F.col("ids"), F.col("decoded")]
+    return _short_encoded(short, vocabulary, pattern).unionByName(_long_encoded(long_docs, vocabulary, pattern, chunk_chars, overlap, every))
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str = public_tokenizers.PATTERN, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """As :func:`encode`, but with the SHA-256 of ids and decoded bytes, so that short texts' ids never leave Python."""
     short, long_docs = _split_by_length(docs, chunk_chars)
-    encoded = _long_encoded(long_docs, vocabulary, pattern, chunk_chars, overlap)
-    return _short_digests(short, vocabulary, pattern).unionByName(
-        encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-    )
+    sums = [F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return _short_digests(short, vocabulary, pattern).unionByName(_long_encoded(long_docs, vocabulary, pattern, chunk_chars, overlap, sums))
