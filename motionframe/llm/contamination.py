@@ -263,7 +263,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """``docs`` with every hit span of more than ``max_span`` words cut out.
 
     A document whose hit words exceed ``max_coverage`` of its words is dropped.  Columns and rows are otherwise
-    those of ``docs``; a null text stays null.
+    those of ``docs``, but ``n_chars``, if there, follows a new text; a null text stays null.
     """
     names = docs.columns
     clash = {c: f"_{c}_in" for c in ("n_words", "spans", "items") if c in names}
@@ -276,5 +276,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     starts = F.concat(F.transform(cut_at, lambda s: s["byte_start"]), F.array(F.octet_length("text").cast("long")))
     parts = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda p: F.decode(F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), "UTF-8"))
     text = F.when(F.size(cut_at) == 0, F.col("text")).otherwise(F.array_join(parts, ""))
-    new = kept.withColumn("text", text).drop("n_words", "spans", "items")
+    new = kept.withColumn("text", text)
+    if "n_chars" in names:
+        new = new.withColumn("n_chars", F.when(F.size(cut_at) == 0, F.col("n_chars")).otherwise(F.length("text")))
+    new = new.drop("n_words", "spans", "items")
     return new.withColumnsRenamed({v: k for k, v in clash.items()}).select(*names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionframe.llm import byte_bpe, contamination, license_scan, line_dedup, pii, quality, token_planes, toxicity, url_graph, workspace
+from motionframe.llm import byte_bpe, contamination, jaccard_join, license_scan, line_dedup, pii, quality, token_planes, toxicity, url_graph, workspace
 
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(workspace.documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(workspace.documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(workspace.documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op4_quality_rules, op5_url_filters, op6_line_dedup, op7_toxicity, op8_license_scan, op9_token_planes, op10_decontamination)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_quality_rules, op5_url_filters, op6_line_dedup, op7_toxicity, op8_license_scan, op9_token_planes, op10_decontamination)}
 
 
 OP10_SQL = r"""
