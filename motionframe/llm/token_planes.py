@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from motionframe.llm import workspace
+from motionframe.llm import wordhash, workspace
 
 BLOCK_IDS = 65_536
 END_ID = 1
@@ -37,10 +37,14 @@ _NUMBER = "0-9²³¹¼-¾"
 _SPACE = "\\t-\\r \\x85\\xa0"
 #: Characters whose case mapping and composition do not depend on their neighbours; other texts take the plain way.
 _PLAIN = re.compile("[\\x00-įı-ſ]*")
-#: The splitting pattern of the vocabulary file, written out for these characters.
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+_CODES = 0x180
+_LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(_CODES)], dtype=np.uint32)
+_GAP, _LETTERS, _DIGIT, _OTHER = range(4)
+_CLASS = np.array([next(k for k, of in enumerate((_SPACE, _LETTER, _NUMBER, "\\x00-\U0010ffff")) if re.match(f"[{of}]", chr(c))) for c in range(_CODES)], dtype=np.uint8)
+#: The splitting pattern of the vocabulary file; for these characters it is worked out below.
 _FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CACHED_PIECES = 400_000
+_CHARS_AT_ONCE = 1 << 20
 
 
 class PieceEncoder:
@@ -57,40 +61,81 @@ class PieceEncoder:
         self.ends_piece[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
         self.splittable = bool(suffix) and _FILE_PATTERN in str(self.whole.pre_tokenizer).replace("\\\\", "\\")
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[int, bytes] = {}
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.cache) + len(new) > _CACHED_PIECES:
-            self.cache.clear()
-        ids = np.array(self.pieces.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
+    def _learn(self, new: list[tuple[int, str]]) -> None:
+        ids = np.array(self.pieces.encode(" ".join([piece for _, piece in new]), add_special_tokens=False).ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends_piece[ids]) + 1
         if len(cuts) != len(new):  # a piece with several word ends: take these one by one
-            self.cache.update((p, np.array(self.pieces.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes()) for p in new)
+            self.cache.update((key, np.array(self.pieces.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()) for key, piece in new)
             return
         raw, at = ids.tobytes(), 0
-        for piece, cut in zip(new, (cuts * 4).tolist(), strict=True):
-            self.cache[piece] = raw[at:cut]
+        for (key, _), cut in zip(new, (cuts * 4).tolist(), strict=True):
+            self.cache[key] = raw[at:cut]
             at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            if self.splittable and _PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
-                split.append(_PIECES.findall(text.lower()))
-            else:
-                split.append(None)
-        cache = self.cache
-        new = {p for pieces in split if pieces for p in pieces if p not in cache}
-        if len(cache) + len(new) > _CACHED_PIECES:
-            new.update(p for pieces in split if pieces for p in pieces)
+        out: list[bytes] = [b""] * len(texts)
+        plain, size = [], 0
+        for at, text in enumerate(texts):
+            if not self.splittable or not _PLAIN.fullmatch(text) or any(s in text for s in self.specials):
+                out[at] = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                continue
+            plain.append(at)
+            size += len(text)
+            if size > _CHARS_AT_ONCE:
+                self._encode_plain(texts, plain, out)
+                plain, size = [], 0
+        if plain:
+            self._encode_plain(texts, plain, out)
+        return out
+
+    def _encode_plain(self, texts: list[str], which: list[int], out: list[bytes]) -> None:
+        """Looks every distinct piece up once and lays the ids out for all its places."""
+        codes = _LOWER[np.frombuffer("".join([texts[at] + "\n" for at in which]).encode("utf-32-le"), dtype=np.uint32)]
+        starts, ends = _pieces(codes)
+        hashes = wordhash.hash_words(wordhash.Words(codes, starts, ends, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)), lower=False)
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.cache) + len(distinct) > _CACHED_PIECES:
+            self.cache.clear()
+        keys = distinct.tolist()
+        new = [k for k, key in enumerate(keys) if key not in self.cache]
         if new:
-            self._learn(list(new))
-            cache = self.cache
-        return [
-            np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if pieces is None else b"".join([cache[p] for p in pieces])
-            for text, pieces in zip(texts, split, strict=True)
-        ]
+            self._learn([(keys[k], codes[starts[first[k]] : ends[first[k]]].tobytes().decode("utf-32-le")) for k in new])
+        known = [self.cache[key] for key in keys]
+        ids = np.frombuffer(b"".join(known), dtype="<u4")
+        lengths = np.array([len(k) // 4 for k in known], dtype=np.int64)
+        offsets = np.cumsum(lengths) - lengths
+        count = lengths[place]
+        before = np.cumsum(count) - count
+        laid = ids[np.repeat(offsets[place] - before, count) + np.arange(count.sum())].tobytes()
+        edges = np.cumsum([0, *(len(texts[at]) + 1 for at in which)])
+        bounds = (np.append(before, count.sum())[np.searchsorted(starts, edges)] * 4).tolist()
+        for k, at in enumerate(which):
+            out[at] = laid[bounds[k] : bounds[k + 1]]
+
+
+def _pieces(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces: runs of letters, single digits, runs of other characters, and contractions."""
+    kind = _CLASS[codes]
+    change = np.ones(len(kind) + 1, dtype=bool)
+    change[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    starts = np.flatnonzero(change[:-1] & (kind != _GAP))
+    ends = np.flatnonzero(change[1:] & (kind != _GAP)) + 1
+    at = np.flatnonzero((codes == ord("'")) & change[:-1])
+    after = np.append(codes, [0, 0]).astype(np.int64)
+    one, two = after[at + 1], after[at + 2]
+    pairs = one * _CODES + two
+    length = np.where(np.isin(one, [ord(c) for c in "stmd"]), 2, np.where(np.isin(pairs, [ord(a) * _CODES + ord(b) for a, b in ("re", "ve", "ll")]), 3, 0))
+    at, length = at[length > 0], length[length > 0]
+    if len(at):
+        mark = np.searchsorted(starts, at)
+        ends[mark] = at + length
+        starts[mark + 1] = at + length  # the letters after the apostrophe lose those of the contraction
+        left = starts < ends
+        starts, ends = starts[left], ends[left]
+    return starts, ends
 
 
 @functools.cache
