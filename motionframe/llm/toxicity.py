@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from motionframe.llm import wordhash
 
-FIT_ROWS = 8_000
-FIT_FEATURES = 20_000
+FIT_ROWS = 4_000
+FIT_FEATURES = 10_000
 FOLDS = 5
 LEAST_DOCS = 3
 MAX_FEATURES = 4_000
