@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating star operations in Spark.
 
 A large-star step hangs every larger neighbour of a node on the node's smallest neighbour, a small-star step every
-smaller one; each is an aggregation and a join, so nothing gathers in one place.  The steps repeat until no edge
-changes, which takes a number of rounds logarithmic in the longest path.
+smaller one; each is an aggregation and a join, so nothing gathers in one place.  The steps repeat until only
+stars are left, which takes a number of rounds logarithmic in the longest path.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    # written, so that a node with very many neighbours is split in the join as any skewed key is
-    smallest = workspace.cut(near.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
-    hung = near.join(workspace.sized(smallest), "a")
+    smallest = near.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+    hung = near.join(smallest, "a")
     if large:
         moved = hung.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
@@ -29,14 +28,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a != b").distinct()
 
 
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node that hangs on none; stars are whole components, as no step cuts one."""
+    twice = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+    between = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi")
+    return twice.unionByName(between).isEmpty()
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, component (the smallest node reachable) of every node of ``edges`` (a, b); nulls and loops are ignored."""
-    now = workspace.cut(edges.select("a", "b").filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    now = edges.select("a", "b").filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     for _ in range(most_rounds):
         now = workspace.cut(_star(_star(now, True), False))
-        new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if mark == new:
+        if _is_star(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        mark = new
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
