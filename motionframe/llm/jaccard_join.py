@@ -12,7 +12,7 @@ to all regions of its prefix, only while the region still holds points of other
 radii at most and go through the next pivots.  Pairs whose sizes, the distances to the empty set, lie outside the
 window are left out.  Regions that stay large because of a shingle that many different texts share are divided
 again: such shingles move to the end of the order, which sends their documents to regions of rarer shingles.  A
-region of ``LEAF`` points or fewer has all its points as pivots, so the recursion ends there; it is exact at every
+region of ``buckets.LEAF`` points or fewer has all its points as pivots, so the recursion ends there; it is exact at every
 size, as any order of shingles and any choice of pivots gives all links between components.
 
 Edge cases: a null or empty text has no shingles, its own doc_id as component and no links; with fewer words than
@@ -23,7 +23,6 @@ empty result; columns besides ``doc_id`` and ``text`` are ignored by :func:`grou
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,19 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motionframe.llm import components, wordhash, workspace
+from motionframe.llm import buckets, wordhash, workspace
 
 WIDTH = 4
 #: Percent of the union that two linked documents share at least.
 PERCENT = 85
-LEAF = 32
 #: Share of the hash range whose shingles decide whether a point may have a neighbour.
 SCREEN = 0.2
-#: Bounds of what is broadcast: shingles of the pivots of one round, and shingles put last in the order.
-BROADCAST_SHINGLES = 2_000_000
+#: Shingles that are put last in the order, those of the largest regions; they are broadcast.
 LAST_SHINGLES = 200_000
-#: Rounds in which regions are divided anew, before the order is fixed.
-DIVISIONS = 2
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("low", pa.list_(pa.int64()))])
 
@@ -139,66 +134,25 @@ def _points(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
 
 
 def _prefixes(points: DataFrame, last: DataFrame | None, percent: int) -> DataFrame:
-    """shingle, node, n of every point's prefix; the shingles in ``last`` stand at the end of the order."""
+    """bucket (a shingle), node, n of every point's prefix; the shingles in ``last`` stand at the end of the order."""
     length = (F.col("n") - _least_shared(F.col("n"), percent) + 1).cast("int")
     if last is None:
-        return points.select("node", "n", F.explode(F.slice("shingles", F.lit(1), length)).alias("shingle"))
+        return points.select("node", "n", F.explode(F.slice("shingles", F.lit(1), length)).alias("bucket"))
     late = points.select("node", F.explode("shingles").alias("shingle")).join(F.broadcast(last), "shingle").groupBy("node").agg(F.collect_list("shingle").alias("late"))
     early = F.when(F.col("late").isNull(), F.col("shingles")).otherwise(F.concat(F.array_except("shingles", "late"), F.array_sort("late")))
-    return points.join(late, "node", "left").select("node", "n", F.explode(F.slice(early, F.lit(1), length)).alias("shingle"))
-
-
-def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows (shingle, node, n) of regions that hold points of several components, with the component."""
-    marked = rows.select("shingle", "node", "n").join(workspace.sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = marked.groupBy("shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).filter("a != b").select("shingle", "size")
-    return workspace.cut(marked.join(mixed, "shingle"))
-
-
-def _pivots(opened: DataFrame, turn: int, closing: bool) -> DataFrame:
-    """shingle, pivot, with its n and component: one point of each region; when closing, about ``LEAF`` of a large region and all of others."""
-    chosen = opened.groupBy("shingle").agg(F.min("node").alias("node"))  # one at least, whatever the hashes
-    if closing:
-        by_hash = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("size")) < LEAF
-        chosen = chosen.unionByName(opened.filter((F.col("size") <= LEAF) | by_hash).select("shingle", "node")).distinct()
-    return workspace.cut(opened.join(chosen, ["shingle", "node"]).select("shingle", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")))
-
-
-def _linked(points: DataFrame, opened: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of pivots and points of one region, in different components, that are near enough."""
-    near = (F.col("n") * 100 >= F.col("pivot_n") * percent) & (F.col("pivot_n") * 100 >= F.col("n") * percent)
-    other = F.col("component") != F.col("pivot_component")
-    each = opened.join(pivots, "shingle").filter(near & other).select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node"))
-    pairs = workspace.cut(each.distinct())
-    used = pairs.select(F.col("pivot").alias("node")).distinct().join(points, "node").select(F.col("node").alias("pivot"), F.col("shingles").alias("theirs"))
-    used = workspace.cut(used)
-    size = used.agg(F.sum(F.size("theirs"))).first()[0] or 0
-    both = pairs.join(F.broadcast(used) if size <= BROADCAST_SHINGLES else used, "pivot").join(points.select("node", "shingles"), "node")
-    shared = F.size(F.array_intersect("shingles", "theirs"))
-    return workspace.cut(both.filter(shared * 100 >= (F.size("shingles") + F.size("theirs") - shared) * percent).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-
-
-def components_of(points: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """node, component of the points (node, n, shingles) that link with another."""
-    labels = points.sparkSession.createDataFrame([], "node string, component string")
-    last = None
-    rows = workspace.cut(_prefixes(points, None, percent))
-    for turn in itertools.count():
-        opened = _open(rows, labels)
-        if 0 < turn <= DIVISIONS:
-            large = opened.filter(F.col("size") > LEAF).select("shingle", "size").distinct().orderBy(F.col("size").desc(), "shingle").limit(LAST_SHINGLES).select("shingle")
-            last = workspace.cut(large if last is None else last.unionByName(large).distinct().limit(LAST_SHINGLES))
-            rows = workspace.cut(_prefixes(points, last, percent))
-            opened = _open(rows, labels)
-        if opened.isEmpty():
-            return labels
-        closing = turn >= DIVISIONS  # from here on the order is fixed
-        pivots = _pivots(opened, turn, closing)
-        found = _linked(points, opened, pivots, percent)
-        if not found.isEmpty():
-            labels = workspace.cut(components.components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)))
-        if closing:  # a pivot has met all points of its region
-            rows = workspace.cut(opened.join(pivots.select("shingle", F.col("pivot").alias("node")), ["shingle", "node"], "left_anti"))
+    return points.join(late, "node", "left").select("node", "n", F.explode(F.slice(early, F.lit(1), length)).alias("bucket"))
+
+
+def components_of(points: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """node, component of the points (node, n, shingles) that link with another; None if no two link."""
+    sets = points.select("node", F.col("shingles").alias("grams"))
+    regions = buckets.open_rows(_prefixes(points, None, percent), None)
+    labels = buckets.nearest_pivots(regions, sets, percent, None)
+    # regions that are large and still of several components are divided by rarer shingles; the order is fixed then
+    mixed = buckets.open_rows(regions.select("bucket", "node", "n"), labels)
+    large = mixed.filter(F.col("size") > buckets.LEAF).select("bucket", "size").distinct().orderBy(F.col("size").desc(), "bucket").limit(LAST_SHINGLES)
+    last = workspace.cut(large.select(F.col("bucket").alias("shingle")))
+    return buckets.resolve(_prefixes(points, last, percent), sets, percent, labels)
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -218,9 +172,10 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     named = sketched.select("doc_id", "h1", "h2", "n", _node().alias("node"))
     first = named.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).withColumn("node", _node())
     chosen = workspace.cut(first.join(workspace.sized(near), ["h1", "h2"]).filter("doc_id IS NOT NULL").select("doc_id", "node"))
-    labels = workspace.cut(components_of(workspace.cut(_points(docs, chosen, width)), percent))
+    labels = components_of(workspace.cut(_points(docs, chosen, width)), percent)
     # the smallest doc_id of a point, then of its component
-    of_point = first.select("node", "doc_id").join(workspace.sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of_point = first.select("node", "doc_id")
+    of_point = of_point.withColumn("component", F.col("node")) if labels is None else of_point.join(workspace.sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_point.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     resolved = workspace.cut(of_point.join(smallest, "component").select("node", "component_id"))
     rows = named.select("doc_id", F.col("n").alias("n_shingles"), "node").join(resolved, "node", "left")
