@@ -1,7 +1,7 @@
 import random
 import re
 
-from motionframe.llm import jaccard_join
+from motionframe.llm import buckets, jaccard_join
 
 
 def shingles(text, width=4):
@@ -56,7 +56,7 @@ def check(spark, rows):
 
 
 def test_groups_equal_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    monkeypatch.setattr(buckets, "LEAF", 4)
     edge = [(20_001, None), (20_002, ""), (20_003, "one two"), (20_004, "One TWO"), (20_005, "one two three four"), (20_005, "quite another text here"), (20_006, "quite another text here"), (None, "one two three four"), (None, "nobody has this text at all")]
     check(spark, corpus(5, 25, 9) + edge)
 
