@@ -3,8 +3,8 @@
 The points of a bucket are compared with pivots, never all with all.  A pivot's cell, the points near enough to
 it, is one component and needs no pairs inside; a bucket whose points are all of one component is done, the others
 lose their pivots and go on.  First every point is compared with one pivot, the one that it shares most buckets
-with; then buckets of up to ``LEAF`` points take all of them as pivots, larger ones about ``LEAF`` a round.  Every
-pair of points of different components that shares a bucket is compared in the end, so no link is lost.
+with; then buckets of up to ``LEAF`` points take all of them as pivots, larger ones about ``LEAF``, and four times as
+many each further turn.  Every pair of points of different components that shares a bucket is compared in the end, so no link is lost.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def _window(percent: int) -> Column:
 
 def resolve(rows: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame | None:
     """node, component of the points that link with another; None if no two link."""
-    for turn in itertools.count():
+    for turn in itertools.count():  # ends after about log4(size / LEAF) turns
         opened = open_rows(rows, labels)
         if opened.isEmpty():
             return labels
@@ -64,7 +64,8 @@ def resolve(rows: DataFrame, sets: DataFrame, percent: int, labels: DataFrame |
             labels = nearest_pivots(opened, sets, percent, labels)
             rows = opened
             continue
-        by_hash = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("size")) < LEAF
+        # four times as many each turn: few while comparisons still join components, and few turns in the end
+        by_hash = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("size")) < LEAF * 4 ** (turn - 1)
         pivots = workspace.cut(opened.filter((F.col("size") <= LEAF) | by_hash | (F.col("node") == F.col("low"))).select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")))
         each = opened.join(pivots, "bucket").filter(_window(percent) & (F.col("component") != F.col("pivot_component")))
         pairs = each.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
