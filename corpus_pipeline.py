@@ -19,9 +19,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.dedup(docs)
 
 
+#: What near copies are here: shingles of so many words, and percent of the union that two share; op3 has its own numbers.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of the smallest doc_id."""
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
