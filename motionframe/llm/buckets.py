@@ -10,6 +10,7 @@ many each further turn.  Every pair of points of different components that share
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,23 +30,33 @@ def open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return workspace.cut(marked.join(ends.filter("a != b").select("bucket", "low", "size"), "bucket"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (node, grams) share ``percent`` of their union or more."""
+def _as_is(grams: Column) -> Column:
+    return grams
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, expand: Callable[[Column], Column]) -> DataFrame:
+    """The pairs (a, b) whose sets (node, grams) share ``percent`` of their union or more.
+
+    ``expand`` makes the set out of ``grams`` where a pair is compared, so that what is stored and joined may be smaller.
+    """
     left, right = sets.select(F.col("node").alias("a"), F.col("grams").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("grams").alias("of_b"))
     both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return workspace.cut(both.filter(shared * 100 >= (F.size("of_a") + F.size("of_b") - shared) * percent).select("a", "b"))
+    # lambdas, as each set and each intersection is then made once a pair
+    of_pair = F.array(F.struct(expand(F.col("of_a")).alias("x"), expand(F.col("of_b")).alias("y")))
+    sizes = F.transform(of_pair, lambda p: F.struct((F.size(p["x"]) + F.size(p["y"])).alias("both"), F.size(F.array_intersect(p["x"], p["y"])).alias("shared")))
+    near = F.exists(sizes, lambda s: s["shared"] * 100 >= (s["both"] - s["shared"]) * percent)
+    return workspace.cut(both.filter(near).select("a", "b"))
 
 
 def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return components.components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
-def nearest_pivots(opened: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None) -> DataFrame | None:
+def nearest_pivots(opened: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None, expand: Callable[[Column], Column] = _as_is) -> DataFrame | None:
     """Labels after every point met the lowest point of the bucket lows, the one that it shares most buckets with."""
     votes = opened.filter("node != low").groupBy("node", "low").agg(F.count("*").alias("votes"))
     best = votes.groupBy("node").agg(F.max_by("low", "votes").alias("low"))
-    found = _linked(best.select(F.col("low").alias("a"), F.col("node").alias("b")), sets, percent)
+    found = _linked(best.select(F.col("low").alias("a"), F.col("node").alias("b")), sets, percent, expand)
     return labels if found.isEmpty() else _joined(labels, found)
 
 
@@ -54,14 +65,14 @@ def _window(percent: int) -> Column:
     return (F.col("n") * 100 >= F.col("pivot_n") * percent) & (F.col("pivot_n") * 100 >= F.col("n") * percent)
 
 
-def resolve(rows: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame | None:
+def resolve(rows: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None = None, expand: Callable[[Column], Column] = _as_is) -> DataFrame | None:
     """node, component of the points that link with another; None if no two link."""
     for turn in itertools.count():  # ends after about log4(size / LEAF) turns
         opened = open_rows(rows, labels)
         if opened.isEmpty():
             return labels
         if turn == 0:
-            labels = nearest_pivots(opened, sets, percent, labels)
+            labels = nearest_pivots(opened, sets, percent, labels, expand)
             rows = opened
             continue
         # four times as many each turn: few while comparisons still join components, and few turns in the end
@@ -69,7 +80,7 @@ def resolve(rows: DataFrame, sets: DataFrame, percent: int, labels: DataFrame |
         pivots = workspace.cut(opened.filter((F.col("size") <= LEAF) | by_hash | (F.col("node") == F.col("low"))).select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")))
         each = opened.join(pivots, "bucket").filter(_window(percent) & (F.col("component") != F.col("pivot_component")))
         pairs = each.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        found = _linked(pairs, sets, percent)
+        found = _linked(pairs, sets, percent, expand)
         if not found.isEmpty():
             labels = _joined(labels, found)
         # a pivot has met all points of its bucket
