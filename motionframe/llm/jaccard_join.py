@@ -40,7 +40,7 @@ SCREEN = 0.2
 #: Shingles that are put last in the order, those of the largest regions; they are broadcast.
 LAST_SHINGLES = 200_000
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("low", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("low", pa.list_(pa.int64()))])
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, screen: float = SCREEN) -> DataFrame:
-    """doc_id, n (shingles), h1 and h2 (a 128-bit sum over the set), low (the shingles below the hash bound)."""
+    """doc_id, t1 and t2 (128 bits of the text), n (shingles), h1 and h2 (a 128-bit sum over the set), low (the shingles below the hash bound)."""
     bound = np.uint64(int(screen * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,15 +87,19 @@ def sketches(docs: DataFrame, width: int = WIDTH, screen: float = SCREEN) -> Dat
             is_low = found < bound
             edges = np.concatenate([[0], np.cumsum(is_low)])[bounds].astype(np.int32)
             low = pa.ListArray.from_arrays(pa.array(edges), pa.array(found[is_low].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), low], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), low], schema=_SKETCH)
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, low array<long>")
+    return _texts(docs).select("doc_id", "text", *_text_hashes()).mapInArrow(run, "doc_id long, t1 long, t2 long, n long, h1 long, h2 long, low array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def _text_hashes() -> list[Column]:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+
+
 def _node() -> Column:
     return F.concat(F.hex("h1"), F.lit("."), F.hex("h2"))
 
@@ -158,18 +162,24 @@ def components_of(points: DataFrame, percent: int = PERCENT) -> DataFrame | None
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that represent their group, with all their columns: those whose doc_id is its component.
 
-    Rows without shingles or without a doc_id stay; a doc_id names one document, so rows that repeat it go or stay together.
+    Rows without shingles or without a doc_id stay; rows equal in doc_id and text go or stay together.
     """
-    copies = groups(docs, width, percent).filter("component_id != doc_id").select(F.col("doc_id").alias("_copy")).distinct()
+    copies = _labelled(docs, width, percent).filter("component_id != doc_id").select(*(F.col(k).alias(f"_{k}") for k in ("doc_id", "t1", "t2"))).distinct()
     small = workspace.sized(workspace.cut(copies))
-    return docs.join(small, docs["doc_id"].cast("long") == F.col("_copy"), "left_anti")
+    same = [own == F.col(f"_{k}") for own, k in zip((docs["doc_id"].cast("long"), *_text_hashes()), ("doc_id", "t1", "t2"))]
+    return docs.join(small, same, "left_anti")
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return _labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, component_id of every row."""
     sketched = workspace.cut(sketches(docs, width))
     near = workspace.cut(_candidates(sketched, percent))
-    named = sketched.select("doc_id", "h1", "h2", "n", _node().alias("node"))
+    named = sketched.select("doc_id", "t1", "t2", "h1", "h2", "n", _node().alias("node"))
     first = named.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).withColumn("node", _node())
     chosen = workspace.cut(first.join(workspace.sized(near), ["h1", "h2"]).filter("doc_id IS NOT NULL").select("doc_id", "node"))
     labels = components_of(workspace.cut(_points(docs, chosen, width)), percent)
@@ -178,5 +188,5 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
     of_point = of_point.withColumn("component", F.col("node")) if labels is None else of_point.join(workspace.sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_point.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     resolved = workspace.cut(of_point.join(smallest, "component").select("node", "component_id"))
-    rows = named.select("doc_id", F.col("n").alias("n_shingles"), "node").join(resolved, "node", "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = named.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), "node").join(resolved, "node", "left")
+    return rows.select("doc_id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
