@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionframe.sources import storage
+
 #: Fixed values of the weighted distance.
 WEIGHTS = {"axis": 0.20, "rotation": 0.30, "twist": 0.25, "shape": 0.05, "entry": 0.05, "direction": 0.15}
 ROTATION_TOLERANCE, TWIST_TOLERANCE, AXIS_TOLERANCE = 180.0, 180.0, 45.0
 #: Axis vectors (right, up, forward) before normalisation.
 AXIS_VECTORS = {"lateral": (1.0, 0.0, 0.0), "sagittal": (0.0, 0.0, 1.0), "longitudinal": (0.0, 1.0, 0.0), "off_axis": (0.7, 0.3, 0.7)}
 
+#: What a definition's confidence depends on.
+PHYSICS = ["flips", "twists", "axis", "direction", "shape", "entry"]
+#: Combinations up to which they are broadcast; they are counted first.
+BROADCAST_COMBINATIONS = 200_000
+
 
 def _axis_part(component: int) -> Column:
     out = F.lit(None).cast("double")
@@ -54,6 +61,28 @@ def top_matches(scored: DataFrame, k: int = 5, least: float = 0.1, context: str
     return kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("sig_id", "rank", "trick_id", "confidence")
 
 
+def combinations(catalog: DataFrame, k: int) -> DataFrame:
+    """Every distinct combination of ``PHYSICS`` with members, its first ``k`` definitions by score, name and id."""
+    order = Window.partitionBy(*PHYSICS).orderBy("score", "name", "trick_id")
+    first = catalog.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return first.groupBy(*PHYSICS).agg(F.array_sort(F.collect_list(F.struct("place", "score", "name", "trick_id"))).alias("members"))
+
+
+def best_matches(signatures: DataFrame, catalog: DataFrame, k: int = 5, least: float = 0.1, context: str | None = None) -> DataFrame:
+    """:func:`top_matches` of :func:`distances`, but signatures meet combinations, whose number does not grow with the catalog.
+
+    Definitions of one combination have one confidence, so the ``k`` best are among the first ``k`` of the ``k``
+    combinations whose first definitions are best.
+    """
+    kept = catalog if context is None else catalog.filter(F.col("context") == context)
+    found = storage.cut(combinations(kept, k))
+    scored = distances(signatures, F.broadcast(found) if found.count() <= BROADCAST_COMBINATIONS else found).filter(F.col("confidence") >= least)
+    head = F.element_at("members", 1)
+    order = Window.partitionBy("sig_id").orderBy(F.col("confidence").desc(), head["score"], head["name"], head["trick_id"])
+    best = scored.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+    return top_matches(best.select("sig_id", "confidence", F.explode("members").alias("m")).select("sig_id", "confidence", "m.score", "m.name", "m.trick_id"), k, least)
+
+
 def hybrid_fusion(physics: DataFrame, motion: DataFrame, facts: DataFrame) -> DataFrame:
     """sig_id, trick_id, confidence: candidates of either matcher, weighted by how complex the movement is."""
     both = physics.select("sig_id", "trick_id", F.col("confidence").alias("p")).join(motion.select("sig_id", "trick_id", F.col("confidence").alias("m")), ["sig_id", "trick_id"], "full_outer")

@@ -212,12 +212,12 @@ def _signatures(spark, d):
 
 @_query
 def physics_match_topk(spark, d):
-    return matching.top_matches(matching.distances(_signatures(spark, d), _catalog(spark, d)))
+    return matching.best_matches(_signatures(spark, d), _catalog(spark, d))
 
 
 @_query
 def context_match(spark, d):
-    return matching.top_matches(matching.distances(_signatures(spark, d), _catalog(spark, d)), k=3, context="wall")
+    return matching.best_matches(_signatures(spark, d), _catalog(spark, d), k=3, context="wall")
 
 
 @_query
