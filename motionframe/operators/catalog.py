@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,18 +26,30 @@ def estimated_difficulty(physics: DataFrame) -> DataFrame:
     return physics.withColumn("difficulty", F.coalesce("difficulty", F.round(F.greatest(F.lit(1.0), F.least(F.lit(10.0), score)), 1)))
 
 
-def propagate_difficulty(tricks: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """id, difficulty: every trick at least half a point above its prerequisites, 10 at most.
+def propagate_difficulty(tricks: DataFrame, edges: DataFrame, rounds: int = 20, subsequents: DataFrame | None = None) -> DataFrame:
+    """id, difficulty: every trick at least half a point above its prerequisites, 10 at most, then prerequisites that are not below their subsequents lowered.
 
-    ``edges`` has id and prerequisite.  All tricks move at once in each round; it ends when none changes.
+    ``edges`` has id and prerequisite; ``subsequents`` has id and subsequent, the inverse of ``edges`` where it is
+    not given.  All tricks move at once in each round; a pass ends when none changes, or after ``rounds``.
     The state is checkpointed each round, so the plan does not grow with the rounds.
     """
+    after = edges.select(F.col("prerequisite").alias("id"), F.col("id").alias("subsequent")) if subsequents is None else subsequents
     now = storage.cut(tricks.select("id", "difficulty"))
+    own, bound = F.col("difficulty"), F.col("bound")
+    raised = F.when(own <= bound, F.least(F.round(bound + 0.5, 1), F.lit(10.0)))
+    # as in the reference, subsequents at 10 bound nothing and a difficulty may rise to the floor of 1
+    lowered = F.when((bound < 10) & (own >= bound), F.round(F.greatest(bound - 0.5, F.lit(1.0)), 1))
+    now = _settled(now, edges.select("id", F.col("prerequisite").alias("other")), F.max, raised, rounds)
+    return _settled(now, after.select("id", F.col("subsequent").alias("other")), F.min, lowered, rounds)
+
+
+def _settled(now: DataFrame, edges: DataFrame, extreme: Callable[[str], Column], moves: Column, rounds: int) -> DataFrame:
+    """``now`` (id, difficulty) after rounds in which ``moves``, if not null, replaces a difficulty; bound is the extreme over its edges (id, other)."""
     for _ in range(rounds):
-        hardest = edges.join(now.select(F.col("id").alias("prerequisite"), F.col("difficulty").alias("needed")), "prerequisite").groupBy("id").agg(F.max("needed").alias("needed"))
-        raised = F.least(F.round(F.col("needed") + 0.5, 1), F.lit(10.0))
-        moved = now.join(hardest, "id", "left").select("id", F.when(F.col("difficulty") <= F.col("needed"), raised).otherwise(F.col("difficulty")).alias("difficulty"), F.coalesce((F.col("difficulty") <= F.col("needed")) & (F.col("difficulty") < raised), F.lit(False)).alias("changed"))
-        moved = storage.cut(moved)
+        bounds = edges.join(now.select(F.col("id").alias("other"), F.col("difficulty").alias("bound")), "other").groupBy("id").agg(extreme("bound").alias("bound"))
+        moved = now.join(bounds, "id", "left").withColumn("moved", moves)
+        changed = F.coalesce(F.col("moved") != F.col("difficulty"), F.lit(False))
+        moved = storage.cut(moved.select("id", F.coalesce("moved", "difficulty").alias("difficulty"), changed.alias("changed")))
         now = moved.select("id", "difficulty")
         if moved.filter("changed").isEmpty():
             break
