@@ -3,8 +3,7 @@
 The points of a bucket are compared with pivots, never all with all.  A pivot's cell, the points near enough to
 it, is one component and needs no pairs inside; a bucket whose points are all of one component is done, the others
 lose their pivots and go on.  First every point is compared with one pivot, the one that it shares most buckets
-with; then buckets of up to ``LEAF`` points take all of them as pivots, larger ones about ``LEAF``, and four times as
-many each further turn.  Every pair of points of different components that shares a bucket is compared in the end, so no link is lost.
+with; then about ``FIRST_PIVOTS`` of each bucket are pivots, and eight times as many each further turn.  Every pair of points of different components that shares a bucket is compared in the end, so no link is lost.
 """
 
 from __future__ import annotations
@@ -17,15 +16,18 @@ from pyspark.sql import functions as F
 
 from motionframe.llm import components, workspace
 
-LEAF = 32
+#: Points up to which a bucket is not divided, and the pivots of a bucket in the first turn.
+LEAF, FIRST_PIVOTS = 16, 4
+#: Bits of a sketch, in words of 64.
+SKETCH_WORDS = 4
 
 
 def open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """bucket, node, n, component, low, size of the buckets whose points (bucket, node, n) are of several components."""
+    """``rows`` (bucket, node and others) of the buckets whose points are of several components, with component, low and size."""
     if labels is None:
-        marked = rows.select("bucket", "node", "n", F.col("node").alias("component"))
+        marked = rows.withColumn("component", F.col("node"))
     else:
-        marked = rows.select("bucket", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        marked = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = marked.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("node").alias("low"), F.count("*").alias("size"))
     return workspace.cut(marked.join(ends.filter("a != b").select("bucket", "low", "size"), "bucket"))
 
@@ -34,7 +36,7 @@ def _as_is(grams: Column) -> Column:
     return grams
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int, expand: Callable[[Column], Column]) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, expand: Callable[[Column], Column] = _as_is) -> DataFrame:
     """The pairs (a, b) whose sets (node, grams) share ``percent`` of their union or more.
 
     ``expand`` makes the set out of ``grams`` where a pair is compared, so that what is stored and joined may be smaller.
@@ -48,40 +50,79 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, expand: Callable[[C
     return workspace.cut(both.filter(near).select("a", "b"))
 
 
+def sketches(each: DataFrame) -> DataFrame:
+    """node, n, s0.. of the distinct shingles ``each`` (node, shingle): their number, and the parity of how many fall on each bit.
+
+    Two sketches differ in no more bits than one set has shingles that the other has not.
+    """
+    bit = F.expr("shiftleft(1L, CAST(shingle & 63 AS INT))")
+    spread = each.select("node", bit.alias("bit"), F.shiftrightunsigned("shingle", 6).bitwiseAND(SKETCH_WORDS - 1).alias("word"))
+    words = [F.coalesce(F.expr(f"bit_xor(bit) FILTER (WHERE word = {k}L)"), F.lit(0).cast("long")).alias(f"s{k}") for k in range(SKETCH_WORDS)]
+    return spread.groupBy("node").agg(F.count("*").alias("n"), *words)
+
+
+def _may_link(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches do not rule a link out: the sets' difference is ``100 - percent`` of ``100 + percent`` of both sizes at most."""
+    left, right = (sketched.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in sketched.columns if c != "node")) for side in "ab")
+    differ = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH_WORDS)), F.lit(0))
+    near = (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
+
+
 def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return components.components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
-def nearest_pivots(opened: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None, expand: Callable[[Column], Column] = _as_is) -> DataFrame | None:
-    """Labels after every point met the lowest point of the bucket lows, the one that it shares most buckets with."""
-    votes = opened.filter("node != low").groupBy("node", "low").agg(F.count("*").alias("votes"))
+def nearest(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, expand: Callable[[Column], Column] = _as_is) -> tuple[DataFrame | None, DataFrame | None]:
+    """(what :func:`open_rows` leaves, labels) after every point met the lowest point of its buckets that it shares most of them with."""
+    lows = rows.groupBy("bucket").agg(F.min("node").alias("low"))
+    votes = rows.join(lows, "bucket").filter("node != low").groupBy("node", "low").agg(F.count("*").alias("votes"))
     best = votes.groupBy("node").agg(F.max_by("low", "votes").alias("low"))
-    found = _linked(best.select(F.col("low").alias("a"), F.col("node").alias("b")), sets, percent, expand)
-    return labels if found.isEmpty() else _joined(labels, found)
+    found = linked(_may_link(best.select(F.col("low").alias("a"), F.col("node").alias("b")), sketched, percent), sets, percent, expand)
+    labels = None if found.isEmpty() else _joined(None, found)
+    opened = open_rows(rows, labels)
+    return (None if opened.isEmpty() else opened), labels
 
 
-def _window(percent: int) -> Column:
-    """Sizes, the distances to the empty set, that a linked pair can have."""
-    return (F.col("n") * 100 >= F.col("pivot_n") * percent) & (F.col("pivot_n") * 100 >= F.col("n") * percent)
+def rare_shingles(each: DataFrame, percent: int) -> DataFrame:
+    """bucket, node, n, rest: the rarest shingles of every node, of which two nodes that share ``percent`` of their union share one.
 
-
-def resolve(rows: DataFrame, sets: DataFrame, percent: int, labels: DataFrame | None = None, expand: Callable[[Column], Column] = _as_is) -> DataFrame | None:
-    """node, component of the points that link with another; None if no two link."""
-    for turn in itertools.count():  # ends after about log4(size / LEAF) turns
+    ``each`` (node, shingle) has every node's distinct shingles.  In the order of their number of nodes, two linked sets share
+    a shingle among the first ``n - ceil(percent * n) + 1`` of each; those that only one node has are passed over, and a node
+    with more of them than that is linked with nothing.  ``rest`` counts the shingle and the node's shared ones after it: two sets
+    share no more than the smaller ``rest`` at the first shingle that they share.
+    """
+    counts = each.groupBy("shingle").agg(F.count("*").alias("nodes")).filter("nodes > 1")
+    sizes = each.groupBy("node").agg(F.count("*").alias("n"))
+    shared = each.join(counts, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("nodes", "shingle"))).alias("shared"))
+    least = F.floor((F.col("n") * percent + 99) / 100).cast("int")
+    first = F.size("shared") - least + 1
+    kept = shared.join(sizes, "node").filter(first > 0).select("node", "n", F.size("shared").alias("size"), F.posexplode(F.slice("shared", F.lit(1), first)).alias("at", "of"))
+    return kept.select(F.col("of.shingle").alias("bucket"), "node", "n", (F.col("size") - F.col("at")).cast("long").alias("rest"))
+
+
+def distinct_buckets(rows: DataFrame) -> DataFrame:
+    """``rows`` (bucket, node) of one bucket of each set of nodes, known by a 128-bit hash; buckets of one node are left out."""
+    sets = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    one = rows.groupBy("bucket").agg(F.count("*").alias("size"), *sets).filter("size > 1").groupBy("size", "x0", "x1").agg(F.min("bucket").alias("bucket"))
+    return rows.join(one.select("bucket"), "bucket", "left_semi")
+
+
+def resolve(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, labels: DataFrame | None = None, expand: Callable[[Column], Column] = _as_is) -> DataFrame | None:
+    """node, component of the points (bucket, node, n, rest) that link with another; None if no two link."""
+    rows = workspace.cut(distinct_buckets(rows))
+    for turn in itertools.count():  # ends after about log8(size / FIRST_PIVOTS) turns
         opened = open_rows(rows, labels)
         if opened.isEmpty():
             return labels
-        if turn == 0:
-            labels = nearest_pivots(opened, sets, percent, labels, expand)
-            rows = opened
-            continue
-        # four times as many each turn: few while comparisons still join components, and few turns in the end
-        by_hash = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("size")) < LEAF * 4 ** (turn - 1)
-        pivots = workspace.cut(opened.filter((F.col("size") <= LEAF) | by_hash | (F.col("node") == F.col("low"))).select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component")))
-        each = opened.join(pivots, "bucket").filter(_window(percent) & (F.col("component") != F.col("pivot_component")))
+        # eight times as many each turn: few while comparisons still join components, and few turns in the end
+        by_hash = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("size")) < FIRST_PIVOTS * 8**turn
+        pivots = workspace.cut(opened.filter(by_hash | (F.col("node") == F.col("low"))).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("pivot_component"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest")))
+        enough = F.least("rest", "pivot_rest") * (100 + percent) >= (F.col("n") + F.col("pivot_n")) * percent
+        each = opened.join(pivots, "bucket").filter((F.col("component") != F.col("pivot_component")) & enough)
         pairs = each.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        found = _linked(pairs, sets, percent, expand)
+        found = linked(_may_link(pairs, sketched, percent), sets, percent, expand)
         if not found.isEmpty():
             labels = _joined(labels, found)
         # a pivot has met all points of its bucket
-        rows = workspace.cut(opened.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"))
+        rows = workspace.cut(opened.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "rest"))

@@ -7,16 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, StructType, TimestampType
 
-#: Rows up to which a side of a join is broadcast; the size is counted first and larger sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side of a join is broadcast; its rows are counted first and larger sides are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only where it is unset (tests), a temporary one."""
+    """Use the cluster's shared ``spark.checkpoint.dir``; only in local mode, where it is unset, a temporary one."""
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set, and a folder of this machine is of no use to a cluster")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
 
 
@@ -30,9 +33,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _row_bytes(schema: StructType) -> int | None:
+    """Bytes of a row of fixed-width columns and what a hash table adds; None if a column has no fixed width."""
+    total = 16
+    for field in schema:
+        if isinstance(field.dataType, StructType):
+            inner = _row_bytes(field.dataType)
+            if inner is None:
+                return None
+            total += inner
+        elif isinstance(field.dataType, (NumericType, BooleanType, DateType, TimestampType)):
+            total += 8
+        else:
+            return None
+    return total
+
+
 def sized(df: DataFrame) -> DataFrame:
-    """``df``, materialised before, marked for broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df``, materialised before, marked for broadcast if its rows, of a fixed width and counted, allow it."""
+    width = _row_bytes(df.schema)
+    return F.broadcast(df) if width and df.count() * width <= BROADCAST_BYTES else df
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
