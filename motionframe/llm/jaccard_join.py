@@ -4,16 +4,20 @@ Documents with equal sets are one point.  Points that cannot have a neighbour ar
 links with another misses at most the share ``1 - similarity`` of its shingles there, so if more than that many of
 its shingles below a hash bound occur in no other point, it is alone.
 
-The rest is divided into regions by the shingles of their prefixes: under one order of all shingles, two linked
-points share one among their first ``n - ceil(similarity * n) + 1``.  In every region pivots are chosen, all its
-points are compared with them, and the points within the radius form the pivot's Voronoi cell and one component.
-By the triangle inequality a cell needs no further pairs inside; a point stays in its region, and so is replicated
-to all regions of its prefix, only while the region still holds points of other components, which are within two
-radii at most and go through the next pivots.  Pairs whose sizes, the distances to the empty set, lie outside the
-window are left out.  Regions that stay large because of a shingle that many different texts share are divided
-again: such shingles move to the end of the order, which sends their documents to regions of rarer shingles.  A
-region of ``buckets.LEAF`` points or fewer has all its points as pivots, so the recursion ends there; it is exact at every
-size, as any order of shingles and any choice of pivots gives all links between components.
+Two texts far apart are at distance 1 from nearly every pivot, so the outermost division is by the rarest of the shingles
+below the bound: two linked points share one of the first ``n - ceil(similarity * n) + 1`` in any one order of all shingles.
+Inside each region, with ``r`` the radius of the join:
+
+* pivots are chosen, and all points of the region that can be within ``2 r`` of one are measured exactly; sizes and sketches
+  rule the others out;
+* a point within ``r`` of pivots lies in the Voronoi cell of the nearest one, whose points are one component;
+* by the triangle inequality all points linked with one in a cell are within ``2 r`` of its pivot: the points between
+  ``r`` and ``2 r`` are replicated to the cell, and are compared with those of its points whose distance to the pivot differs by
+  at most ``r``, if they are not of its component by then;
+* points in cells leave the region; what is left of it is divided again around new pivots, until no region holds points of
+  two components.
+
+It is exact at every size, as any order of shingles and any choice of pivots gives all links between components.
 
 Edge cases: a null or empty text has no shingles, its own doc_id as component and no links; with fewer words than
 ``WIDTH`` the whole sequence is the one shingle; rows without a doc_id get the component of their text, or null;
@@ -23,6 +27,7 @@ empty result; columns besides ``doc_id`` and ``text`` are ignored by :func:`grou
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motionframe.llm import buckets, wordhash, workspace
+from motionframe.llm import buckets, components, wordhash, workspace
 
 WIDTH = 4
 #: Percent of the union that two linked documents share at least.
 PERCENT = 85
 #: Share of the hash range whose shingles decide whether a point may have a neighbour.
 SCREEN = 0.2
-#: Shingles that are put last in the order, those of the largest regions; they are broadcast.
-LAST_SHINGLES = 200_000
+#: Bits of a point's sketch, in words of 64, and pivots of a region in the first turn and times as many each turn.
+SKETCH_WORDS, FIRST_PIVOTS, MORE_PIVOTS = 8, 1, 8
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("low", pa.list_(pa.int64()))])
 
@@ -76,15 +81,22 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
             yield batch.slice(first, stop - first), *shingle_sets(buf[offsets[first] : offsets[stop]], offsets[first : stop + 1] - offsets[first], width)
 
 
-def sketches(docs: DataFrame, width: int = WIDTH, screen: float = SCREEN) -> DataFrame:
-    """doc_id, t1 and t2 (128 bits of the text), n (shingles), h1 and h2 (a 128-bit sum over the set), low (the shingles below the hash bound)."""
+def _lowest(found: np.ndarray, bounds: np.ndarray, percent: int, bound: np.uint64) -> np.ndarray:
+    """Which of each point's ascending shingles are below the bound, or among the first of its prefix."""
+    sizes = np.diff(bounds)
+    prefix = np.where(sizes > 0, sizes - (sizes * percent + 99) // 100 + 1, 0)
+    return (found < bound) | (np.arange(len(found)) - np.repeat(bounds[:-1], sizes) < np.repeat(prefix, sizes))
+
+
+def sketches(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, screen: float = SCREEN) -> DataFrame:
+    """doc_id, t1 and t2 (128 bits of the text), n (shingles), h1 and h2 (a 128-bit sum over the set), low (the shingles below the hash bound, more if the prefix is longer)."""
     bound = np.uint64(int(screen * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bounds, found in _blocks(batches, width):
             h1 = wordhash.mix(_sums(wordhash.mix(found), bounds) + np.diff(bounds).astype(np.uint64))
             h2 = wordhash.mix(_sums(wordhash.mix(found ^ np.uint64(0x5BD1E9955BD1E995)), bounds))
-            is_low = found < bound
+            is_low = _lowest(found, bounds, percent, bound)
             edges = np.concatenate([[0], np.cumsum(is_low)])[bounds].astype(np.int32)
             low = pa.ListArray.from_arrays(pa.array(edges), pa.array(found[is_low].view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), low], schema=_SKETCH)
@@ -92,6 +104,10 @@ def sketches(docs: DataFrame, width: int = WIDTH, screen: float = SCREEN) -> Dat
     return _texts(docs).select("doc_id", "text", *_text_hashes()).mapInArrow(run, "doc_id long, t1 long, t2 long, n long, h1 long, h2 long, low array<long>")
 
 
+#: Stands for a null doc_id where texts are looked up.
+_NO_ID = (1 << 63) - 1
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -100,63 +116,126 @@ def _text_hashes() -> list[Column]:
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
 
 
-def _node() -> Column:
-    return F.concat(F.hex("h1"), F.lit("."), F.hex("h2"))
-
-
 def _least_shared(n: Column, percent: int) -> Column:
     """ceil(percent * n / 100)"""
     return F.floor((n * percent + 99) / 100).cast("long")
 
 
-def _candidates(sketched: DataFrame, percent: int) -> DataFrame:
-    """h1, h2 of the points that may have a neighbour."""
-    shingles = sketched.select("h1", F.explode("low").alias("shingle"))
-    shared = workspace.cut(shingles.groupBy("shingle").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a != b").select("shingle"))
-    points = sketched.groupBy("h1", "h2").agg(F.max("n").alias("n"), F.max(F.size("low")).alias("low"), F.count("*").alias("copies"))
-    # copies of a point count the same shingles again, so the sum is divided by their number
-    seen = shingles.join(shared, "shingle").groupBy("h1").agg(F.count("*").alias("seen"))
-    both = points.filter("n > 0").join(seen, "h1", "left")
-    missing = F.col("low") - F.coalesce("seen", F.lit(0)) / F.col("copies")
-    return both.filter(missing <= F.col("n") - _least_shared(F.col("n"), percent)).select("h1", "h2")
+def _regions(sketched: DataFrame, percent: int, screen: float = SCREEN) -> DataFrame:
+    """bucket (a shingle), h1, h2, n of the points that may have a neighbour: the rarest of their shingles that other points have too."""
+    points = sketched.filter("n > 0").dropDuplicates(["h1", "h2"]).select("h1", "h2", "n", "low")
+    shingles = points.select("h1", "h2", "n", F.size("low").alias("of"), F.explode("low").alias("shingle"))
+    counts = shingles.groupBy("shingle").agg(F.count("*").alias("points")).filter("points > 1")
+    # shingles above the bound come last, in the order of their hashes, as not every point that has them lists them
+    edge = int(screen * 2**64) - (1 << 63)
+    above = F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))) >= edge
+    order = F.struct(above.alias("above"), F.when(above, F.lit(0)).otherwise(F.col("points")).alias("points"), F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))).alias("place"), "shingle")
+    shared = shingles.join(counts, "shingle").groupBy("h1", "h2").agg(F.max("n").alias("n"), F.max("of").alias("of"), F.array_sort(F.collect_list(order)).alias("shared"))
+    missing = F.col("of") - F.size("shared")  # in no other point, and first in the order
+    first = F.col("n") - _least_shared(F.col("n"), percent) + 1 - missing
+    kept = shared.filter(first > 0).select("h1", "h2", "n", F.explode(F.slice("shared", F.lit(1), first.cast("int"))).alias("at"))
+    return kept.select(F.col("at.shingle").alias("bucket"), "h1", "h2", "n")
 
 
 def _points(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """node, n, shingles (ascending) of the documents in ``chosen`` (doc_id, node), one for each node."""
+    """node, n, text, s0.. (a sketch) of the documents in ``chosen`` (node, h1, h2, doc_id, t1, t2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bounds, found in _blocks(batches, width):
-            h1 = wordhash.mix(_sums(wordhash.mix(found), bounds) + np.diff(bounds).astype(np.uint64))
-            h2 = wordhash.mix(_sums(wordhash.mix(found ^ np.uint64(0x5BD1E9955BD1E995)), bounds))
-            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), sets], ["h1", "h2", "shingles"])
+            # a word's bit is set if an odd number of shingles fall on it, so two sketches differ in no more bits than the sets
+            at = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)) * (64 * SKETCH_WORDS) + (wordhash.mix(found) % np.uint64(64 * SKETCH_WORDS)).astype(np.int64)
+            bits = np.bincount(at, minlength=(len(bounds) - 1) * 64 * SKETCH_WORDS) & 1
+            words = np.packbits(bits.astype(np.uint8)).view(np.int64).reshape(-1, SKETCH_WORDS)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds)), *(pa.array(words[:, k]) for k in range(SKETCH_WORDS))], ["node", "text", "n", *_SKETCHED])
+
+    same = ["doc_id", "t1", "t2"]
+    texts = _texts(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", *_text_hashes()).join(workspace.sized(chosen.select("node", *same)), same)
+    return texts.dropDuplicates(["node"]).select("node", "text").mapInArrow(run, "node long, text string, n long, " + ", ".join(f"{c} long" for c in _SKETCHED))
 
-    some = _texts(docs).join(workspace.sized(chosen.select("doc_id")), "doc_id")
-    sets = some.mapInArrow(run, "h1 long, h2 long, shingles array<long>").select(_node().alias("node"), "shingles")
-    wanted = sets.join(workspace.sized(chosen.select("node")), "node", "left_semi")  # a doc_id may have other texts
-    return wanted.dropDuplicates(["node"]).select("node", F.size("shingles").cast("long").alias("n"), "shingles")
 
+_SKETCHED = [f"s{k}" for k in range(SKETCH_WORDS)]
 
-def _prefixes(points: DataFrame, last: DataFrame | None, percent: int) -> DataFrame:
-    """bucket (a shingle), node, n of every point's prefix; the shingles in ``last`` stand at the end of the order."""
-    length = (F.col("n") - _least_shared(F.col("n"), percent) + 1).cast("int")
-    if last is None:
-        return points.select("node", "n", F.explode(F.slice("shingles", F.lit(1), length)).alias("bucket"))
-    late = points.select("node", F.explode("shingles").alias("shingle")).join(F.broadcast(last), "shingle").groupBy("node").agg(F.collect_list("shingle").alias("late"))
-    early = F.when(F.col("late").isNull(), F.col("shingles")).otherwise(F.concat(F.array_except("shingles", "late"), F.array_sort("late")))
-    return points.join(late, "node", "left").select("node", "n", F.explode(F.slice(early, F.lit(1), length)).alias("bucket"))
 
+def distances(pairs: DataFrame, points: DataFrame, width: int) -> DataFrame:
+    """a, b, shared, joined: the exact sizes of the intersection and the union of the pairs' shingle sets."""
 
-def components_of(points: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """node, component of the points (node, n, shingles) that link with another; None if no two link."""
-    sets = points.select("node", F.col("shingles").alias("grams"))
-    regions = buckets.open_rows(_prefixes(points, None, percent), None)
-    labels = buckets.nearest_pivots(regions, sets, percent, None)
-    # regions that are large and still of several components are divided by rarer shingles; the order is fixed then
-    mixed = buckets.open_rows(regions.select("bucket", "node", "n"), labels)
-    large = mixed.filter(F.col("size") > buckets.LEAF).select("bucket", "size").distinct().orderBy(F.col("size").desc(), "bucket").limit(LAST_SHINGLES)
-    last = workspace.cut(large.select(F.col("bucket").alias("shingle")))
-    return buckets.resolve(_prefixes(points, last, percent), sets, percent, labels)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for place in (2, 3):
+                buf, offsets = wordhash.byte_column(batch.column(place))
+                owners, shingles = [], []
+                for first, stop in wordhash.blocks(offsets):
+                    bounds, found = shingle_sets(buf[offsets[first] : offsets[stop]], offsets[first : stop + 1] - offsets[first], width)
+                    owners.append(np.repeat(np.arange(first, stop), np.diff(bounds)))
+                    shingles.append(found)
+                sides.append((np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64), np.concatenate(shingles) if shingles else np.zeros(0, dtype=np.uint64)))
+            owner, found = (np.concatenate([x, y]) for x, y in zip(*sides, strict=True))
+            order = np.lexsort((found, owner))
+            owner, found = owner[order], found[order]
+            twice = (owner[1:] == owner[:-1]) & (found[1:] == found[:-1])
+            shared = np.bincount(owner[1:][twice], minlength=len(batch))
+            joined = np.bincount(owner, minlength=len(batch)) - shared
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.astype(np.int64)), pa.array(joined.astype(np.int64))], ["a", "b", "shared", "joined"])
+
+    left, right = (points.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, shared long, joined long")
+
+
+def _may_be_near(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a similarity of ``percent``."""
+    left, right = (points.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *_SKETCHED))) for side in "ab")
+    differ = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SKETCHED), F.lit(0))
+    near = (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return pairs.join(left, "a").join(right, "b").filter(near)
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    if links.isEmpty():
+        return labels
+    known = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+    return components.components(links.select("a", "b").unionByName(known[0]) if known else links.select("a", "b"))
+
+
+def _component(labels: DataFrame | None, df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the component of its column ``name`` as ``component_{name}``."""
+    made = f"component_{name}"
+    if labels is None:
+        return df.withColumn(made, F.col(name))
+    return df.join(labels.select(F.col("node").alias(name), F.col("component").alias(made)), name, "left").withColumn(made, F.coalesce(made, name))
+
+
+def components_of(rows: DataFrame, points: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame | None:
+    """node, component of the points (node, n, text and sketch) that link with another in a region (bucket, node); None if no two link."""
+    labels, wide = None, max(2 * percent - 100, 0)
+    sizes = points.select("node", "n", *_SKETCHED)
+    sizes = workspace.cut(sizes)
+    rows = workspace.cut(buckets.distinct_buckets(rows).select("bucket", "node"))
+    for turn in itertools.count():  # ends, as pivots leave their regions and grow in number
+        opened = buckets.open_rows(rows, labels)
+        if opened.isEmpty():
+            return labels
+        # by one hash for all regions, so that regions with the same points choose the same pivots
+        hashed = opened.withColumn("hash", F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 33))
+        least = hashed.groupBy("bucket").agg(F.min("hash").alias("least"))
+        chosen = (F.col("hash") == F.col("least")) | (F.col("hash") * F.col("size") < F.lit(1 << 31) * (FIRST_PIVOTS * MORE_PIVOTS**turn - 1))
+        pivots = workspace.cut(hashed.join(least, "bucket").filter(chosen).select("bucket", F.col("node").alias("pivot")))
+        meet = opened.join(pivots, "bucket").filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        measured = workspace.cut(distances(_may_be_near(meet, sizes, wide).select("a", "b"), points, width))
+        inner = F.col("shared") * 100 >= F.col("joined") * percent
+        labels = _merged(labels, measured.filter(inner))
+        # the nearest pivot's cell; ties go to the smaller pivot
+        far = F.col("joined") - F.col("shared")
+        cells = workspace.cut(measured.filter(inner).groupBy("b").agg(F.min(F.struct((far / F.col("joined")).alias("d"), "a", "shared", "joined")).alias("at")).select(F.col("b").alias("x"), F.col("at.a").alias("pivot"), F.col("at.d").alias("d_x")))
+        edge = _component(labels, measured.filter(~inner & (F.col("shared") * 100 >= F.col("joined") * wide)).select(F.col("a").alias("pivot"), F.col("b").alias("y"), (far / F.col("joined")).alias("d_y")), "pivot")
+        edge = _component(labels, edge, "y").filter("component_pivot != component_y")
+        # the slack is for rounding: a pair too many is measured exactly all the same
+        window = F.col("d_y") - F.col("d_x") <= (100 - percent) / 100 + 1e-9
+        across = cells.join(edge, "pivot").filter(window).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        labels = _merged(labels, workspace.cut(distances(_may_be_near(across, sizes, percent).select("a", "b"), points, width)).filter(inner))
+        # pivots, and points in the cell of a pivot of their region, have met all that they can link with there
+        gone = pivots.select("bucket", F.col("pivot").alias("node")).unionByName(pivots.join(measured.filter(inner).select(F.col("a").alias("pivot"), F.col("b").alias("node")).join(cells.select(F.col("x").alias("node"), "pivot"), ["node", "pivot"]), "pivot").select("bucket", "node"))
+        rows = workspace.cut(opened.select("bucket", "node").join(gone, ["bucket", "node"], "left_anti"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -177,16 +256,24 @@ def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataF
 
 def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, t1, t2, n_shingles, component_id of every row."""
-    sketched = workspace.cut(sketches(docs, width))
-    near = workspace.cut(_candidates(sketched, percent))
-    named = sketched.select("doc_id", "t1", "t2", "h1", "h2", "n", _node().alias("node"))
-    first = named.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")).withColumn("node", _node())
-    chosen = workspace.cut(first.join(workspace.sized(near), ["h1", "h2"]).filter("doc_id IS NOT NULL").select("doc_id", "node"))
-    labels = components_of(workspace.cut(_points(docs, chosen, width)), percent)
+    sketched = workspace.cut(sketches(docs, width, percent))
+    named = sketched.select("doc_id", "t1", "t2", "h1", "h2", "n")
+    regions = workspace.cut(_regions(sketched, percent))
+    near = regions.select("h1", "h2").distinct()
+    # one document of every point that may have a neighbour; a point of no doc_id has its text looked up by that
+    first = named.join(workspace.sized(workspace.cut(near)), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "t1", "t2")).alias("at"))
+    chosen = workspace.cut(first.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "at.*"))
+    small = workspace.sized(chosen.select("node", "h1", "h2"))
+    points = workspace.cut(_points(docs, chosen, width))
+    labels = components_of(regions.join(small, ["h1", "h2"]).select("bucket", "node"), points, width, percent)
     # the smallest doc_id of a point, then of its component
-    of_point = first.select("node", "doc_id")
-    of_point = of_point.withColumn("component", F.col("node")) if labels is None else of_point.join(workspace.sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = of_point.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    resolved = workspace.cut(of_point.join(smallest, "component").select("node", "component_id"))
-    rows = named.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), "node").join(resolved, "node", "left")
-    return rows.select("doc_id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_point = named.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    own = named.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), "h1", "h2")
+    if labels is not None:
+        linked = chosen.select("node", "h1", "h2").join(labels, "node")
+        smallest = linked.join(of_point, ["h1", "h2"]).groupBy("component").agg(F.min("doc_id").alias("of_component"))
+        ends = workspace.cut(linked.join(smallest, "component").select("h1", "h2", "of_component"))
+        of_point = of_point.join(ends, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("of_component", "doc_id").alias("doc_id"))
+    ids = of_point.select("h1", "h2", F.col("doc_id").alias("of_point"))
+    rows = own.join(ids, ["h1", "h2"], "left")
+    return rows.select("doc_id", "t1", "t2", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("of_point")).alias("component_id"))
