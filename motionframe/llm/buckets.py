@@ -11,13 +11,15 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionframe.llm import components, workspace
 
 #: Points up to which a bucket is not divided, and the pivots of a bucket in the first turn.
 LEAF, FIRST_PIVOTS = 16, 4
+#: Rows of the kept columns and ``shingle`` of rows with ``grams``, repeats included.
+Expand = Callable[[DataFrame, list[str]], DataFrame]
 #: Bits of a sketch, in words of 64.
 SKETCH_WORDS = 4
 
@@ -32,22 +34,19 @@ def open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return workspace.cut(marked.join(ends.filter("a != b").select("bucket", "low", "size"), "bucket"))
 
 
-def _as_is(grams: Column) -> Column:
-    return grams
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, expand: Expand) -> DataFrame:
+    """The pairs (a, b) whose sets share ``percent`` of their union or more.
 
-
-def linked(pairs: DataFrame, sets: DataFrame, percent: int, expand: Callable[[Column], Column] = _as_is) -> DataFrame:
-    """The pairs (a, b) whose sets (node, grams) share ``percent`` of their union or more.
-
-    ``expand`` makes the set out of ``grams`` where a pair is compared, so that what is stored and joined may be smaller.
+    ``sets`` is node, grams; ``expand`` makes rows of their elements where a pair is compared, so that what is stored and joined is smaller.
     """
     left, right = sets.select(F.col("node").alias("a"), F.col("grams").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("grams").alias("of_b"))
+    # the pairs lie by b after the second join, so the elements are counted where they are made
     both = pairs.join(left, "a").join(right, "b")
-    # lambdas, as each set and each intersection is then made once a pair
-    of_pair = F.array(F.struct(expand(F.col("of_a")).alias("x"), expand(F.col("of_b")).alias("y")))
-    sizes = F.transform(of_pair, lambda p: F.struct((F.size(p["x"]) + F.size(p["y"])).alias("both"), F.size(F.array_intersect(p["x"], p["y"])).alias("shared")))
-    near = F.exists(sizes, lambda s: s["shared"] * 100 >= (s["both"] - s["shared"]) * percent)
-    return workspace.cut(both.filter(near).select("a", "b"))
+    sides = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("of_a").alias("grams")), F.struct(F.lit(2).alias("side"), F.col("of_b").alias("grams")))).alias("s"))
+    each = expand(sides.select("b", "a", "s.side", "s.grams"), ["b", "a", "side"])
+    seen = each.groupBy("b", "a", "shingle").agg(F.bit_or("side").alias("sides"))
+    counted = seen.groupBy("b", "a").agg(F.count_if(F.col("sides") == 3).alias("shared"), F.count("*").alias("joined"))
+    return workspace.cut(counted.filter(F.col("shared") * 100 >= F.col("joined") * percent).select("a", "b"))
 
 
 def sketches(each: DataFrame) -> DataFrame:
@@ -73,7 +72,7 @@ def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return components.components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
-def nearest(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, expand: Callable[[Column], Column] = _as_is) -> tuple[DataFrame | None, DataFrame | None]:
+def nearest(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, expand: Expand) -> tuple[DataFrame | None, DataFrame | None]:
     """(what :func:`open_rows` leaves, labels) after every point met the lowest point of its buckets that it shares most of them with."""
     lows = rows.groupBy("bucket").agg(F.min("node").alias("low"))
     votes = rows.join(lows, "bucket").filter("node != low").groupBy("node", "low").agg(F.count("*").alias("votes"))
@@ -108,7 +107,7 @@ def distinct_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(one.select("bucket"), "bucket", "left_semi")
 
 
-def resolve(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, labels: DataFrame | None = None, expand: Callable[[Column], Column] = _as_is) -> DataFrame | None:
+def resolve(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, labels: DataFrame | None, expand: Expand) -> DataFrame | None:
     """node, component of the points (bucket, node, n, rest) that link with another; None if no two link."""
     rows = workspace.cut(distinct_buckets(rows))
     for turn in itertools.count():  # ends after about log8(size / FIRST_PIVOTS) turns
@@ -117,7 +116,8 @@ def resolve(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int,
             return labels
         # eight times as many each turn: few while comparisons still join components, and few turns in the end
         by_hash = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("size")) < FIRST_PIVOTS * 8**turn
-        pivots = workspace.cut(opened.filter(by_hash | (F.col("node") == F.col("low"))).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("pivot_component"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest")))
+        is_pivot = by_hash | (F.col("node") == F.col("low"))
+        pivots = opened.filter(is_pivot).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("pivot_component"), F.col("n").alias("pivot_n"), F.col("rest").alias("pivot_rest"))
         enough = F.least("rest", "pivot_rest") * (100 + percent) >= (F.col("n") + F.col("pivot_n")) * percent
         each = opened.join(pivots, "bucket").filter((F.col("component") != F.col("pivot_component")) & enough)
         pairs = each.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
@@ -125,4 +125,13 @@ def resolve(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int,
         if not found.isEmpty():
             labels = _joined(labels, found)
         # a pivot has met all points of its bucket
-        rows = workspace.cut(opened.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "rest"))
+        rows = opened.filter(~is_pivot).select("bucket", "node", "n", "rest")
+
+
+def all_pairs(opened: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, labels: DataFrame | None, expand: Expand) -> DataFrame | None:
+    """:func:`resolve` of small buckets (what :func:`open_rows` gives) at once: every two points of different components are compared."""
+    small = opened.select("bucket", "node", "component")
+    other = small.select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b"))
+    pairs = small.join(other, "bucket").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("of_b"))).select(F.col("node").alias("a"), "b").distinct()
+    found = linked(_may_link(pairs, sketched, percent), sets, percent, expand)
+    return labels if found.isEmpty() else _joined(labels, found)

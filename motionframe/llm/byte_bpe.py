@@ -7,9 +7,11 @@ forward: once the pre-tokens of two neighbours have a boundary in common inside
 There they are stitched, and the pieces between stitches are encoded independently.  Decoding concatenates the
 raw bytes of the ids.
 
+Where some overlap of a text has no common boundary (a long run of letters, say), the text is cut again with chunks and overlaps
+``WIDER`` times as long, until it is one chunk: a single pre-token cannot be divided.
+
 Edge cases: a null text counts as empty; an empty text has no ids; repeated rows give repeated results; null
-doc_ids are kept; columns besides ``doc_id`` and ``text`` are ignored.  A text in which some overlap
-has no common boundary (one huge run of letters, say) is encoded whole in one call, so the result is exact either way.
+doc_ids are kept; columns besides ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from motionframe.llm import workspace
 
 #: A text is cut only if encoding it in one call would hold up its task for a noticeable time.
-CHUNK_CHARS = 65_536
+CHUNK_CHARS = 16_384
 OVERLAP = 1_024
+WIDER = 8
 
 #: Characters before a text's end in which a boundary could still move: the longest literal of the pattern is 3.
 _UNSURE = 3
@@ -176,12 +179,16 @@ def _long_encoded(long_docs: DataFrame, vocabulary: str, pattern: str, chunk_cha
     chunks = _chunks(marked.dropDuplicates(["doc_id", "digest"]), step, overlap).repartition("doc_id", "digest", "no")
     whole = workspace.cut(_joined(_encoded_pieces(chunks, step, overlap, vocabulary, pattern), vocabulary, pattern).select("doc_id", "digest", "n_tokens", *kept))
     met = whole.filter("n_tokens IS NOT NULL")
-    apart = workspace.sized(whole.filter("n_tokens IS NULL").select("doc_id", "digest"))
+    apart = whole.filter("n_tokens IS NULL").select("doc_id", "digest")
     same = lambda other: [F.col(f"d.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in ("doc_id", "digest")]
     names = met.columns[3:]
     good = marked.select("doc_id", "digest").alias("d").join(met.alias("w"), same("w")).select("d.doc_id", "n_tokens", *names)
+    if apart.isEmpty():
+        return good
     rest = marked.alias("d").join(apart.alias("a"), same("a"), "left_semi").select("doc_id", "text")
-    return good.unionByName(_short_encoded(rest, vocabulary, pattern).select("doc_id", "n_tokens", *kept))
+    short, longer = _split_by_length(rest, chunk_chars * WIDER)
+    again = _long_encoded(longer, vocabulary, pattern, chunk_chars * WIDER, overlap * WIDER, kept)
+    return good.unionByName(_short_encoded(short, vocabulary, pattern).select("doc_id", "n_tokens", *kept)).unionByName(again)
 
 
 def _split_by_length(docs: DataFrame, chunk_chars: int) -> tuple[DataFrame, DataFrame]:

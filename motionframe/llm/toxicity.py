@@ -5,8 +5,8 @@ word beginnings, and over the probabilities of the categories before it.  A late
 out-of-fold probabilities of the earlier ones, so it learns how far to trust them on unseen documents; when
 documents are scored, the earlier links' own probabilities are fed in.
 
-The fit uses at most ``FIT_ROWS`` labelled documents, those with the smallest hashed ids, and of each at most
-``FIT_FEATURES`` features, those with the smallest hashes; scoring reads every word of every document.
+The fit uses at most ``FIT_ROWS`` labelled documents of the table, those with the smallest hashed ids, with all their words;
+scoring reads every word of every document.
 
 Edge cases: a null or empty text has no features and gets the chain's base rate; rows without a label, or whose
 label is null, are not trained on; of repeated labels the largest counts; without rows of both classes a category
@@ -24,10 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motionframe.llm import wordhash
+from motionframe.llm import wordhash, workspace
 
 FIT_ROWS = 4_000
-FIT_FEATURES = 10_000
 FOLDS = 5
 LEAST_DOCS = 3
 MAX_FEATURES = 4_000
@@ -158,8 +157,8 @@ def _features_of(docs: DataFrame) -> DataFrame:
                 new[1:] = (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])
                 owner, found = owner[new], found[new].view(np.int64)
                 bounds = np.searchsorted(owner, np.arange(stop - first + 1))
-                each = [found[a:b][:FIT_FEATURES] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), pa.array(each, pa.list_(pa.int64()))], ["doc_id", "features"])
+                each = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, stop - first), each], ["doc_id", "features"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, features array<long>")
 
@@ -170,9 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, Column] | None = No
     known = labels.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(f"is_{k}") for k, c in chain.items()))
     names = [f"is_{k}" for k in chain]
     once = known.na.drop(subset=names).groupBy("doc_id").agg(*(F.max(k).alias(k) for k in names))
-    # twice as many ids as rows wanted, as some have no document here; both counts are bounded
-    sample = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * fit_rows)
+    # only ids meet here, so that labels of documents that are not in this table do not use up the sample
+    here = once.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    sample = workspace.cut(here.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id")), "doc_id")
+    # texts that share an id share its label; the limit holds the rows to the documented bound
     rows = _features_of(texts).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     table = rows.toArrow()
     listed = table.column("features").combine_chunks()
