@@ -35,10 +35,12 @@ def _apart(a: str, b: str, near: tuple[str, str]) -> Column:
 
 def distances(signatures: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every signature (sig_id, ax, ay, az, flip_deg, twist_deg, sig_direction, sig_shape, sig_entry) with every definition and its confidence."""
-    both = signatures.crossJoin(catalog)  # the catalog is a small dimension; Spark broadcasts it if its size allows
     norm = F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay") + F.col("az") * F.col("az"))
     unit = F.when(norm > 1e-6, norm).otherwise(1.0)
-    cosine = F.least(F.abs(sum((F.col(f"a{a}") / unit * _axis_part(k) for k, a in enumerate("xyz")), F.lit(0.0))), F.lit(1.0))
+    # what depends on one side only is computed before the sides meet
+    measured = signatures.withColumns({f"unit_{a}": F.col(f"a{a}") / unit for a in "xyz"})
+    both = measured.crossJoin(catalog.withColumns({f"axis_{a}": _axis_part(k) for k, a in enumerate("xyz")}))
+    cosine = F.least(F.abs(sum((F.col(f"unit_{a}") * F.col(f"axis_{a}") for a in "xyz"), F.lit(0.0))), F.lit(1.0))
     off = lambda measured, expected, tolerance: F.least(F.abs(F.abs(measured) / 360 - expected) * 360 / tolerance, F.lit(1.0))
     parts = {
         "axis": F.least(F.degrees(F.acos(cosine)) / AXIS_TOLERANCE, F.lit(1.0)),
@@ -49,7 +51,8 @@ def distances(signatures: DataFrame, catalog: DataFrame) -> DataFrame:
         "direction": F.when(F.col("axis") == "sagittal", 0.0).when(F.col("sig_direction") == F.col("direction"), 0.0).otherwise(1.0),
     }
     total = sum((F.lit(w) * parts[k] for k, w in WEIGHTS.items()), F.lit(0.0))
-    return both.withColumn("confidence", F.greatest(F.round(1 - total, 9), F.lit(0.0)))
+    named = [f"{side}_{a}" for side in ("unit", "axis") for a in "xyz"]
+    return both.withColumn("confidence", F.greatest(F.round(1 - total, 9), F.lit(0.0))).drop(*named)
 
 
 def top_matches(scored: DataFrame, k: int = 5, least: float = 0.1, context: str | None = None) -> DataFrame:
@@ -75,11 +78,12 @@ def best_matches(signatures: DataFrame, catalog: DataFrame, k: int = 5, least: f
     combinations whose first definitions are best.
     """
     kept = catalog if context is None else catalog.filter(F.col("context") == context)
-    found = storage.cut(combinations(kept, k))
-    scored = distances(signatures, F.broadcast(found) if found.count() <= BROADCAST_COMBINATIONS else found).filter(F.col("confidence") >= least)
-    head = F.element_at("members", 1)
-    order = Window.partitionBy("sig_id").orderBy(F.col("confidence").desc(), head["score"], head["name"], head["trick_id"])
-    best = scored.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+    # the pairs carry the combination's first definition by number; its members join the few that are left
+    found = storage.cut(combinations(kept, k).withColumn("place", F.row_number().over(Window.orderBy(*(F.element_at("members", 1)[c] for c in ("score", "name", "trick_id"))))))
+    slim = found.select(*PHYSICS, "place")
+    scored = distances(signatures, F.broadcast(slim) if slim.count() <= BROADCAST_COMBINATIONS else slim).filter(F.col("confidence") >= least).select("sig_id", "confidence", "place")
+    order = Window.partitionBy("sig_id").orderBy(F.col("confidence").desc(), "place")
+    best = scored.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).join(found.select("place", "members"), "place")
     return top_matches(best.select("sig_id", "confidence", F.explode("members").alias("m")).select("sig_id", "confidence", "m.score", "m.name", "m.trick_id"), k, least)
 
 

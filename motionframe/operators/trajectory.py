@@ -1,7 +1,4 @@
-"""Comparison of whole trajectories: banded dynamic time warping and the phase-sequence rule matcher.
-
-Both are grouped-map functions over one pair or one window of bounded length; Spark deals the groups.
-"""
+"""Comparison of whole trajectories by banded dynamic time warping, a pair of bounded length at a time; Spark deals the pairs."""
 
 from __future__ import annotations
 
@@ -14,18 +11,26 @@ BAND, SCALE = 0.2, 1.5
 
 
 def warped_distance(a: np.ndarray, b: np.ndarray, band: float = BAND) -> float:
-    """Sum of Euclidean distances along the best warping path inside a Sakoe-Chiba band; ``a`` and ``b`` have a row a frame."""
+    """Sum of Euclidean distances along the best warping path inside a Sakoe-Chiba band; ``a`` and ``b`` have a row a frame.
+
+    Cells of one anti-diagonal depend on the two before only, so each is one vector operation.
+    """
     n, m = len(a), len(b)
     if not n or not m:
         return float("inf")
-    reach = max(1, int(band * max(n, m)), abs(n - m))
+    reach = max(1, int(band * max(n, m)))
+    if abs(n - m) > reach:  # no path inside the band
+        return float("inf")
     cost = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
-    best = np.full((n + 1, m + 1), np.inf)
-    best[0, 0] = 0.0
-    for i in range(1, n + 1):
-        for j in range(max(1, i - reach), min(m, i + reach) + 1):
-            best[i, j] = cost[i - 1, j - 1] + min(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1])
-    return float(best[n, m])
+    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # by row, of diagonals d - 2 and d - 1
+    before[0] = 0.0
+    for d in range(2, n + m + 1):
+        rows = np.arange(max(1, d - m, -(-(d - reach) // 2)), min(n, d - 1, (d + reach) // 2) + 1)
+        now = np.full(n + 1, np.inf)
+        if len(rows):
+            now[rows] = cost[rows - 1, d - rows - 1] + np.minimum(np.minimum(last[rows - 1], last[rows]), before[rows - 1])
+        before, last = last, now
+    return float(last[n])
 
 
 def dtw_confidence(pairs: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -42,47 +47,10 @@ def dtw_confidence(pairs: DataFrame, scale: float = SCALE) -> DataFrame:
     return pairs.select("query", "reference", "a", "b").mapInPandas(run, "query long, reference long, confidence double")
 
 
-def rule_score(values: np.ndarray, low: float, high: float) -> float:
-    """0.5 to 1 for the frame nearest to the middle of the range, 0 if none lies in it."""
-    inside = values[(values >= low) & (values <= high)]
-    if not len(inside):
-        return 0.0
-    middle, half = (low + high) / 2, max((high - low) / 2, 1e-9)
-    return float(1 - 0.5 * np.min(np.abs(inside - middle)) / half)
-
-
-def match_phases(values: np.ndarray, frames_per_second: float, phases: list[tuple[float, float, float, float]]) -> tuple[float, int, int]:
-    """(confidence, start, end) of the best start: phases (min ms, max ms, low, high) follow each other greedily."""
-    best = (0.0, -1, -1)
-    for start in range(len(values)):
-        at, scores = start, []
-        for shortest, longest, low, high in phases:
-            first, last = max(1, int(shortest / 1000 * frames_per_second)), max(1, int(longest / 1000 * frames_per_second))
-            top, stop = 0.0, None
-            for size in range(first, min(last, len(values) - at) + 1):
-                score = rule_score(values[at : at + size], low, high)
-                if score > top:
-                    top, stop = score, at + size
-            if stop is None or top < 0.5:
-                scores = []
-                break
-            scores.append(top)
-            at = stop
-        if scores and (mean := float(np.mean(scores))) > best[0]:
-            best = (mean, start, at - 1)
-    return best
-
-
-def phase_matches(windows: DataFrame, phases: list[tuple[float, float, float, float]], frames_per_second: float = 30.0) -> DataFrame:
-    """run, confidence, start_idx, end_idx of the runs (run, idx, v) in which the phases are found."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("idx")
-        confidence, start, end = match_phases(ordered["v"].to_numpy(dtype=float), frames_per_second, phases)
-        rows = [] if start < 0 else [(ordered["run"].iloc[0], confidence, int(ordered["idx"].iloc[start]), int(ordered["idx"].iloc[end]))]
-        return pd.DataFrame(rows, columns=["run", "confidence", "start_idx", "end_idx"])
-
-    return windows.select("run", "idx", "v").groupBy("run").applyInPandas(run, "run long, confidence double, start_idx long, end_idx long")
+def best_reference(compared: DataFrame, least: float = 0.3) -> DataFrame:
+    """query, reference, confidence of each query's surest reference, the first of equals, if it reaches ``least``."""
+    best = compared.groupBy("query").agg(F.max_by("reference", F.struct("confidence", -F.col("reference"))).alias("reference"), F.max("confidence").alias("confidence"))
+    return best.filter(F.col("confidence") >= least)
 
 
 def trajectories(frames: DataFrame, columns: list[str]) -> DataFrame:

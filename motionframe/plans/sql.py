@@ -78,7 +78,7 @@ def _near(a: str, b: str, x: str, y: str) -> str:
 
 _W = matching.WEIGHTS
 SCORED = f"""{ROT}, {CATALOG},
-sigs AS (SELECT run * 100000 + idx AS sig_id, ox AS ax, oy AS ay, oz AS az, ox * 360e0 AS flip_deg, tx * 1440e0 AS twist_deg, {_pick(adapters.DIRECTIONS, "idx")} AS sd, {_pick(adapters.SHAPES, "idx")} AS ss, {_pick(adapters.ENTRIES, "idx")} AS se FROM rot WHERE idx % 5 = 0),
+sigs AS (SELECT run * 100000 + idx AS sig_id, ox AS ax, oy AS ay, oz AS az, ox * 360e0 AS flip_deg, tx * 1440e0 AS twist_deg, {_pick(adapters.DIRECTIONS, "idx")} AS sd, {_pick(adapters.SHAPES, "idx")} AS ss, {_pick(adapters.ENTRIES, "idx")} AS se FROM rot),
 nrm AS (SELECT *, CASE WHEN sqrt(ax * ax + ay * ay + az * az) > 1e-6 THEN sqrt(ax * ax + ay * ay + az * az) ELSE 1e0 END AS u FROM sigs),
 sco AS (SELECT sig_id, trick_id, name, context, score, greatest(round(1e0 - ({_W["axis"]}e0 * least(degrees(acos(least(abs(0e0 + ax / u * {_axis(0)} + ay / u * {_axis(1)} + az / u * {_axis(2)}), 1e0))) / 45e0, 1e0)
   + {_W["rotation"]}e0 * least(abs(abs(flip_deg) / 360e0 - flips) * 360e0 / 180e0, 1e0) + {_W["twist"]}e0 * least(abs(abs(twist_deg) / 360e0 - twists) * 360e0 / 180e0, 1e0)
@@ -210,29 +210,29 @@ SELECT run, round(round({g.snap_to_half("fr")}, 1), 3) AS flips, round(round({g.
         "ensemble_combine": f"WITH {SIDES} SELECT coalesce(a.run, r.run) AS run, coalesce(a.trick_id, r.trick_id) AS trick_id, round(CASE WHEN a.c IS NULL THEN r.c WHEN r.c IS NULL THEN a.c ELSE 0.6e0 * a.c + 0.4e0 * r.c END, 6) AS confidence FROM a FULL JOIN r ON a.run = r.run AND a.trick_id = r.trick_id",
         "signature_minmax_confidence": "WITH p AS (SELECT l_suppkey AS query, l_partkey % 100 AS reference, min(l_extendedprice) AS d FROM lineitem GROUP BY ALL) SELECT query, reference, round(CASE WHEN max(d) OVER w > min(d) OVER w THEN 1 - (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) ELSE 1e0 END, 6) AS similarity FROM p WINDOW w AS (PARTITION BY query)",
         "rotation_bands": f"WITH {ROT} SELECT CASE WHEN abs(ox * 720) < 90 THEN 'none' WHEN abs(ox * 720) < 270 THEN 'half' WHEN abs(ox * 720) < 450 THEN 'single' WHEN abs(ox * 720) < 810 THEN 'double' ELSE 'multiple' END AS band, count(*) AS n FROM rot GROUP BY 1",
-        "top_labels": "WITH e AS (SELECT vec_id AS id, i - 1 AS class, CAST(embedding[i] AS DOUBLE) AS p FROM embeddings, unnest(range(2, 13)) AS t(i)) SELECT id, rank, class, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, class) AS rank FROM e) WHERE rank <= 3",
-        "kp_quality_range_join": f"WITH {POSE}, m AS (SELECT run, idx, ({' + '.join(f'c{i}' for i in range(17))}) / 17e0 AS mean FROM pose) SELECT a.run * 100000 + a.idx AS detection_id, round(coalesce(avg(mean), 0e0), 6) AS quality FROM pose a LEFT JOIN m ON m.run = a.run AND m.idx BETWEEN a.idx AND a.idx + 9 WHERE a.idx % 7 = 0 GROUP BY 1",
+        "top_labels": "WITH e AS (SELECT vec_id AS id, i - 1 AS class, CAST(embedding[i] AS DOUBLE) AS p FROM embeddings, unnest(range(2, 65)) AS t(i)) SELECT id, rank, class, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, class) AS rank FROM e) WHERE rank <= 3",
+        "kp_quality_range_join": f"WITH {POSE}, m AS (SELECT run, idx, ({' + '.join(f'c{i}' for i in range(17))}) / 17e0 AS mean FROM pose) SELECT a.run * 100000 + a.idx AS detection_id, round(coalesce(avg(mean), 0e0), 6) AS quality FROM pose a LEFT JOIN m ON m.run = a.run AND m.idx BETWEEN a.idx AND a.idx + 9 GROUP BY 1",
         "multi_factor_confidence": "WITH f AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, 1 - 5 * l_discount AS b, l_quantity / 50 AS q, CASE WHEN l_linenumber % 3 <> 0 THEN l_tax * 10 END AS c, CASE WHEN l_linenumber % 2 = 0 THEN 0.5e0 END AS r FROM lineitem) SELECT l_orderkey, l_linenumber, round(least((0.4e0 * b + 0.2e0 * q + coalesce(0.2e0 * c, 0e0) + coalesce(0.2e0 * r, 0e0)) / (0.4e0 + 0.2e0 + CASE WHEN c IS NULL THEN 0e0 ELSE 0.2e0 END + CASE WHEN r IS NULL THEN 0e0 ELSE 0.2e0 END), 1e0), 6) AS confidence FROM f",
         "nms_greedy": f"WITH {DETECTIONS}, {NMS.replace('{where}', '')} SELECT run, k.id AS detection_id FROM kept",
         "score_top3": f"WITH {DETECTIONS}, {NMS.replace('{where}', 'WHERE confidence >= 0.5')}, {DIFFICULTY}, b AS (SELECT run, k.id AS detection_id, -k.c AS confidence, coalesce(difficulty, 0e0) AS difficulty FROM kept LEFT JOIN dif USING (trick_id)), t AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY difficulty DESC, confidence DESC, detection_id) AS rank, round(difficulty * confidence, 3) AS weighted FROM b QUALIFY rank <= 3) SELECT run, rank, detection_id, weighted, round(sum(weighted) OVER (PARTITION BY run), 3) AS total FROM t",
         "repeat_rule": f"WITH {DETECTIONS} SELECT run, trick_id, detection_id FROM det QUALIFY row_number() OVER (PARTITION BY run, trick_id ORDER BY start_ms, detection_id) = 1",
         "competition_score": f"WITH {DETECTIONS}, {DIFFICULTY}, sure AS (SELECT * FROM det WHERE confidence >= 0.3), fst AS (SELECT * FROM sure QUALIFY row_number() OVER (PARTITION BY run, trick_id ORDER BY start_ms, detection_id) = 1), v AS (SELECT f.run, detection_id, round(greatest(coalesce(difficulty, 0e0) - CASE WHEN detection_id % 4 = 0 THEN 0.5e0 ELSE 0e0 END, 0e0), 1) AS value FROM fst f LEFT JOIN dif USING (trick_id)), r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY value DESC, detection_id) AS rank FROM v), s AS (SELECT run, round(sum(CASE WHEN rank <= 3 THEN value ELSE 0e0 END), 1) AS final, count(*) FILTER (WHERE rank <= 3) AS counted, count(*) AS d FROM r GROUP BY run) SELECT s.run, final, counted, n - d AS repeats FROM s JOIN (SELECT run, count(*) AS n FROM sure GROUP BY run) USING (run)",
         "parse_names": f"WITH {_parsed()} SELECT * FROM par",
-        "difficulty_estimate": f"WITH {_parsed()} SELECT id, CASE WHEN id % 4 = 0 THEN CAST(id % 9 + 1 AS DOUBLE) ELSE round(greatest(1e0, least(10e0, 1 + (rotation - 0.5) * 2 + twist * 1.5 + {_bonus('axis', catalog.AXIS_BONUS)} + {_bonus('entry', catalog.ENTRY_BONUS)} + {_bonus('shape', catalog.SHAPE_BONUS)} + {_bonus('family', catalog.FAMILY_BONUS)})), 1) END AS difficulty FROM par",
+        "difficulty_estimate": f"WITH {_parsed()} SELECT id, CASE WHEN id % 4 = 0 THEN CAST(id % 9 + 1 AS DOUBLE) ELSE CAST(round(CAST(CAST(greatest(1e0, least(10e0, 1 + (rotation - 0.5) * 2 + twist * 1.5 + {_bonus('axis', catalog.AXIS_BONUS)} + {_bonus('entry', catalog.ENTRY_BONUS)} + {_bonus('shape', catalog.SHAPE_BONUS)} + {_bonus('family', catalog.FAMILY_BONUS)})) AS VARCHAR) AS DECIMAL(38, 20)), 1) AS DOUBLE) END AS difficulty FROM par",
         "name_slug": "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' (B-' || p_size || ')'), '[()]', '', 'g'), '[ -]', '_', 'g') AS slug FROM part",
         "name_variants": "WITH w AS (SELECT p_partkey, list_filter(string_split(replace(lower(regexp_replace(p_name, '[^A-Za-z0-9 -]', '', 'g')), '-', ' '), ' '), lambda t: t <> '') AS w FROM part) SELECT p_partkey, array_to_string(w, ' ') AS variant FROM w UNION SELECT p_partkey, concat_ws(' ', nullif(array_to_string(w[1 : i - 1], ' '), ''), w[i] || w[i + 1], nullif(array_to_string(w[i + 2 :], ' '), '')) FROM w, unnest(range(1, len(w))) AS t(i)",
         "priority_merge": f"WITH {MERGED} SELECT * FROM mrg",
         "coverage_counts": f"WITH {MERGED} SELECT sources, count(*) AS n FROM mrg GROUP BY sources",
         "label_precedence": f"WITH {LABELS} SELECT item, label, source FROM lab",
         "class_counts_filter": f"WITH {LABELS} SELECT label, count(*) AS n FROM lab WHERE label <> 'not_a_flip' GROUP BY label HAVING count(*) >= 3",
-        "anti_join_plan": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "anti_join_plan": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
         "work_status": "SELECT c_custkey AS id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'done' WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') THEN 'needs_extract' ELSE 'needs_download' END AS status FROM customer",
         "chunk_worklist": "SELECT c_custkey AS id, (row_number() OVER (ORDER BY c_custkey) - 1) // (count(*) OVER () // 7 + 1) AS worker FROM customer",
         "diverse_topn": f"WITH {CATALOG}, f AS (SELECT *, row_number() OVER (PARTITION BY flips, twists, axis, direction ORDER BY score DESC, trick_id) AS nth FROM cat) SELECT trick_id AS id, score FROM f WHERE nth = 1 OR score > 10 ORDER BY score DESC, id LIMIT 50",
         "per_class_limit": "SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM part QUALIFY nth <= 5",
         "combo_overlap": f"WITH {CATALOG}, a AS (SELECT DISTINCT flips, twists, axis, direction, shape FROM cat WHERE context = 'ground'), b AS (SELECT DISTINCT flips, twists, axis, direction, shape FROM cat WHERE context = 'wall') SELECT 'both' AS part, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS n UNION ALL SELECT 'only_ground', (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) UNION ALL SELECT 'only_wall', (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a))",
         "prereq_violations": "SELECT a.p_partkey AS id, b.p_partkey AS prerequisite FROM part a JOIN part b ON b.p_partkey = a.p_partkey // 3 WHERE b.p_size > a.p_size AND b.p_partkey > 0",
-        "difficulty_fixpoint": "WITH RECURSIVE up AS (SELECT p_partkey AS id, p_size / 5e0 AS difficulty FROM part WHERE p_partkey // 3 = 0 OR p_partkey // 3 NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT p.p_partkey, CASE WHEN p.p_size / 5e0 <= u.difficulty THEN least(round(u.difficulty + 0.5, 1), 10e0) ELSE p.p_size / 5e0 END FROM part p JOIN up u ON p.p_partkey // 3 = u.id) SELECT id, round(difficulty, 1) AS difficulty FROM up",
+        "difficulty_fixpoint": "WITH RECURSIVE up AS (SELECT p_partkey AS id, p_size / 5e0 AS difficulty FROM part WHERE p_partkey // 3 = 0 OR p_partkey // 3 NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT p.p_partkey, CASE WHEN p.p_size / 5e0 <= u.difficulty THEN least(round(u.difficulty + 0.5, 1), 10e0) ELSE p.p_size / 5e0 END FROM part p JOIN up u ON p.p_partkey // 3 = u.id WHERE p.p_partkey // 3 > 0) SELECT id, round(difficulty, 1) AS difficulty FROM up",
         "confusion_matrix": "WITH c AS (SELECT CAST(quality AS BIGINT) AS truth, CAST(toxic AS BIGINT) AS guess, count(*) AS n FROM labels GROUP BY ALL) SELECT truth, guess, n, round(n / sum(n) OVER (PARTITION BY truth), 6) AS share, round(sum(CASE WHEN truth = guess THEN n ELSE 0 END) OVER () / sum(n) OVER (), 6) AS accuracy FROM c",
         "run_lookup_json": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
         "override_text": "SELECT o_orderkey, 'Judge override: order ' || o_orderkey || ' set from ' || o_orderstatus || ' to ' || o_orderpriority AS message FROM orders WHERE o_orderstatus = 'F'",

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from motionframe import further_queries
 from motionframe.functions import names
 from motionframe.operators import catalog, kinematics, matching, rotation, scoring, sequence
-from motionframe.plans import sql
+from motionframe.plans import further_sql, sql
 from motionframe.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -199,7 +200,7 @@ def _signatures(spark, d):
     """One signature a frame: the orientation as axis, its size as flip, the place as twist."""
     frames = adapters.rotation_frames(adapters.read(spark, d, "embeddings"))
     pick = lambda values, by: F.element_at(F.array(*(F.lit(v) for v in values)), (by % len(values) + 1).cast("int"))
-    return frames.filter("idx % 5 = 0").select(
+    return frames.select(
         (F.col("run") * 100_000 + F.col("idx")).alias("sig_id"),
         *(F.col(f"o{a}").alias(f"a{a}") for a in "xyz"),
         (F.col("ox") * 360).alias("flip_deg"),
@@ -249,14 +250,14 @@ def rotation_bands(spark, d):
 
 @_query
 def top_labels(spark, d):
-    vectors = adapters.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("p"))
+    vectors = adapters.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("p"))
     return _rounded(matching.top_probabilities(vectors), 6)
 
 
 @_query
 def kp_quality_range_join(spark, d):
     poses = _poses(spark, d)
-    spans = poses.filter("idx % 7 = 0").select((F.col("run") * 100_000 + F.col("idx")).alias("detection_id"), "run", F.col("idx").alias("start_idx"), (F.col("idx") + 9).alias("end_idx"))
+    spans = poses.select((F.col("run") * 100_000 + F.col("idx")).alias("detection_id"), "run", F.col("idx").alias("start_idx"), (F.col("idx") + 9).alias("end_idx"))
     return _rounded(scoring.keypoint_quality(spans, poses), 6)
 
 
@@ -350,7 +351,7 @@ def class_counts_filter(spark, d):
 
 @_query
 def anti_join_plan(spark, d):
-    c, o = adapters.read(spark, d, "customer"), adapters.read(spark, d, "orders")
+    c, o = adapters.read(spark, d, "customer"), adapters.read(spark, d, "orders").filter("o_orderstatus = 'P'")
     idle = c.join(o, c.c_custkey == o.o_custkey, "left_anti")
     return idle.select("c_custkey", "c_mktsegment")
 
@@ -467,8 +468,8 @@ def conversation_log(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | further_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in sql.oracle_sql().items() if k in _QUERIES}
+    return sql.oracle_sql() | further_sql.oracle_sql(further_queries.RULES)

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder in ``spark.checkpoint.dir`` and read from there; a temporary one only where it is unset."""
+    """``df`` written as a table to the shared folder in ``spark.checkpoint.dir`` and read from there.
+
+    Every row is computed once and the lineage ends with the files.  In local mode a temporary folder stands in for a setting
+    that is missing; on a cluster that is an error, as other machines would not see it.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set, and a folder of this machine is of no use to a cluster")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -14,11 +14,28 @@ def test_warped_distance_properties():
     assert trajectory.warped_distance(a, b, band=1.0) <= trajectory.warped_distance(a, b, band=0.2)
 
 
-def test_phases_follow_each_other():
-    values = np.array([0.0] * 5 + [90.0] * 10 + [170.0] * 10)
-    confidence, start, end = trajectory.match_phases(values, 30.0, [(100, 300, 80, 100), (100, 300, 160, 180)])
-    assert confidence == pytest.approx(1.0) and values[start] == 90 or values[start + 1] == 90
-    assert trajectory.match_phases(values, 30.0, [(100, 300, 300, 310)])[0] == 0
+def plain_distance(a, b, band):
+    n, m = len(a), len(b)
+    reach = max(1, int(band * max(n, m)))
+    best = np.full((n + 1, m + 1), np.inf)
+    best[0, 0] = 0
+    for i in range(1, n + 1):
+        for j in range(max(1, i - reach), min(m, i + reach) + 1):
+            best[i, j] = np.linalg.norm(a[i - 1] - b[j - 1]) + min(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1])
+    return best[n, m]
+
+
+def test_warped_distance_equals_the_plain_recurrence():
+    rng = np.random.default_rng(2)
+    for n, m, band in ((1, 1, 0.2), (7, 9, 0.5), (30, 27, 0.2), (12, 40, 0.2), (40, 33, 1.0)):
+        a, b = rng.standard_normal((n, 4)), rng.standard_normal((m, 4))
+        assert trajectory.warped_distance(a, b, band) == pytest.approx(plain_distance(a, b, band))
+
+
+def test_best_reference_needs_enough_confidence(spark):
+    rows = [(1, 5, 0.4), (1, 4, 0.4), (1, 6, 0.1), (2, 5, 0.2)]
+    got = trajectory.best_reference(spark.createDataFrame(rows, "query long, reference long, confidence double")).collect()
+    assert [tuple(r) for r in got] == [(1, 4, 0.4)]
 
 
 def test_generated_sequences_are_reproducible(spark):
