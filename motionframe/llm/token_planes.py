@@ -227,9 +227,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, block_ids: int = BLOCK_ID
     sizes = spark.read.parquet(f"{path}/blocks").groupBy("chunk").agg(F.sum("n_ids").alias("n_ids"), F.count("*").alias("n_blocks"))
     totals, before = [], 0
     for r in sizes.orderBy("chunk").toLocalIterator():
-        totals.append((r.chunk, r.n_ids, r.n_blocks, before))
+        totals.append((r.chunk, r.n_ids, r.n_blocks, before, block_ids))
         before += r.n_ids
-    spark.createDataFrame(totals, "chunk long, n_ids long, n_blocks long, ids_before long").write.parquet(f"{path}/index")
+    spark.createDataFrame(totals, "chunk long, n_ids long, n_blocks long, ids_before long, block_ids long").write.parquet(f"{path}/index")
 
 
 def read_fragments(spark, path: str) -> DataFrame:
@@ -266,10 +266,10 @@ def read_fragments(spark, path: str) -> DataFrame:
     )
 
 
-def read(spark, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
+def read(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids of every document in the files at ``path``."""
-    index = spark.read.parquet(f"{path}/index").select("chunk", F.col("ids_before").alias("chunk_start"))
-    found = read_fragments(spark, path).withColumn("at", F.col("block") * block_ids + F.col("block_at"))
+    index = spark.read.parquet(f"{path}/index").select("chunk", F.col("ids_before").alias("chunk_start"), "block_ids")
+    found = read_fragments(spark, path).join(index, "chunk").withColumn("at", F.col("chunk_start") + F.col("block") * F.col("block_ids") + F.col("block_at"))
     whole = found.filter("first AND ends").select("chunk", "doc_id", "at", F.col("n_ids").alias("n_tokens"), "ids")
     parts = found.filter("NOT (first AND ends)")
     in_order = F.sort_array(F.collect_list(F.struct("ids_before", "ids")))
@@ -277,11 +277,11 @@ def read(spark, path: str, block_ids: int = BLOCK_IDS) -> DataFrame:
         F.min("at").alias("at"), F.sum("n_ids").alias("n_tokens"), F.unhex(F.array_join(F.transform(in_order, lambda p: F.hex(p["ids"])), "")).alias("ids")
     )
     every = whole.unionByName(joined.select("chunk", "doc_id", "at", "n_tokens", "ids"))
-    return every.join(index, "chunk").select("doc_id", (F.col("chunk_start") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return every.select("doc_id", F.col("at").alias("start"), "n_tokens", "ids")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, block_ids: int = BLOCK_IDS, mode: str = "byte") -> DataFrame:
     """Write ``docs`` to a new folder of the shared workspace, read the files back and sum up each document."""
     path = workspace.new_folder(docs.sparkSession, "token-planes")
     write(docs, path, vocabulary, block_ids, mode)
-    return read(docs.sparkSession, path, block_ids).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -16,6 +16,7 @@ is constant (its share of positive rows, 0 without any rows); repeated rows are
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -175,14 +176,23 @@ def fit(docs: DataFrame, labels: DataFrame, chain: dict[str, Column] | None = No
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id")), "doc_id")
     # texts that share an id share its label; the limit holds the rows to the documented bound
     rows = _features_of(texts).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    table = rows.toArrow()
+    made = rows.coalesce(1).mapInArrow(lambda batches: _fitted(batches, names), "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit_chain(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros((0, len(names))), np.zeros(0, dtype=np.int64))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The chain fitted on the bounded sample (doc_id, features, labels), as one row; it is fitted in a task, not on the driver."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    table = pa.Table.from_batches(parts)
     listed = table.column("features").combine_chunks()
-    sizes = np.diff(listed.offsets.to_numpy()) if len(listed) else np.zeros(0, dtype=np.int64)
     found = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    owner = np.repeat(np.arange(len(table)), sizes)
-    wanted = np.column_stack([table.column(k).to_numpy().astype(float) for k in names]) if len(table) else np.zeros((0, len(names)))
+    owner = np.repeat(np.arange(len(table)), np.diff(listed.offsets.to_numpy()))
+    wanted = np.column_stack([table.column(k).to_numpy().astype(float) for k in names])
     fold = table.column("doc_id").to_numpy().astype(np.int64).view(np.uint64)
-    return fit_chain(owner, found, wanted, (wordhash.mix(fold) % np.uint64(FOLDS)).astype(np.int64))
+    links = fit_chain(owner, found, wanted, (wordhash.mix(fold) % np.uint64(FOLDS)).astype(np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(links)], pa.binary())], ["model"])
 
 
 def _probabilities(links: list[Link], column: pa.Array) -> np.ndarray:

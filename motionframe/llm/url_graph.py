@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from motionframe.llm import workspace
 
 DAMPING = 0.85
-ITERATIONS = 10
+#: Steps at most, and the change of any score below which the propagation has settled.
+ITERATIONS, TOLERANCE = 60, 1e-7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"(?i)href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s>]+)"
@@ -99,12 +100,18 @@ def propagate(judged: DataFrame, damping: float = DAMPING, iterations: int = ITE
     """host, trust, distrust of every host that either reaches; ``judged`` comes from :func:`by_rules`."""
     edges = workspace.cut(_spread(workspace.cut(host_edges(judged))))
     seeds = workspace.cut(_seeds(judged).select("kind", "host", (F.col("start") * (1 - damping)).alias("score")))
-    ranks = seeds
+    ranks, before = seeds, seeds
+    if edges.isEmpty():
+        iterations = 0
     for step in range(1, iterations + 1):
         moved = edges.join(ranks.withColumnRenamed("host", "a"), ["kind", "a"]).select("kind", F.col("b").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
         ranks = moved.unionByName(seeds).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         if step % cut_every == 0:
             ranks = workspace.cut(ranks)
+            change = F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))
+            if ranks.join(before.withColumnRenamed("score", "old"), ["kind", "host"], "left").filter(change > TOLERANCE).isEmpty():
+                break
+            before = ranks
     score_of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     return ranks.groupBy("host").agg(score_of(0).alias("trust"), score_of(1).alias("distrust"))
 
