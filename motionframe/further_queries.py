@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motionframe.operators import catalog, describe, etl, features, kinematics, rotation, rules, signature, trajectory
+from motionframe.operators import augment, catalog, describe, etl, features, kinematics, rotation, rules, signature, trajectory
 from motionframe.sources import adapters, readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,16 @@ def dtw_match(spark, d):
     return _rounded(trajectory.best_reference(trajectory.dtw_confidence(pairs, scale=8.0)), 6)
 
 
+@_query
+def mirrored_cells(spark, d):
+    return _rounded(augment.mirrored(features.frame_rows(_poses(spark, d))), 3)
+
+
+@_query
+def even_split(spark, d):
+    return augment.even_split(adapters.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), 1037)
+
+
 # segments of rotation
 
 

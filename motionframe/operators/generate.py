@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +30,10 @@ def generate(definitions: DataFrame, samples: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                made = sequence_of(row.flips, row.twists, int(row.seed))
-                yield pd.DataFrame({"trick_id": row.trick_id, "sample": row.sample, "step": np.arange(len(made)), "flip_deg": made[:, 0], "twist_deg": made[:, 1], "height": made[:, 2]})
+            if len(batch):
+                made = np.concatenate([sequence_of(*one) for one in zip(batch["flips"], batch["twists"], batch["seed"], strict=True)])
+                keys = batch[["trick_id", "sample"]].loc[batch.index.repeat(FRAMES)].reset_index(drop=True)
+                yield keys.assign(step=np.tile(np.arange(FRAMES), len(batch)), flip_deg=made[:, 0], twist_deg=made[:, 1], height=made[:, 2])
 
     return seeded.mapInPandas(run, "trick_id long, sample int, step int, flip_deg double, twist_deg double, height double")
 

@@ -27,9 +27,16 @@ def multi_factor(base: Column, quality: Column, coverage: Column, ratio: Column)
 
 
 def suppress_overlaps(detections: DataFrame, overlap: float = 0.5) -> DataFrame:
-    """Greedy suppression per run and trick: a detection goes if it overlaps a kept one of higher confidence by more."""
+    """Greedy suppression per run and trick: a detection goes if it overlaps a kept one of higher confidence by more.
+
+    Detections that do not overlap, not even by way of others, cannot suppress each other, so only such a chain is put together.
+    """
+    by_start = Window.partitionBy("run", "trick_id").orderBy("start_ms", "end_ms", "detection_id")
+    reached = F.max("end_ms").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    apart = detections.withColumn("fresh", F.when(F.col("start_ms") < reached, 0).otherwise(1))
+    chained = apart.withColumn("chain", F.sum("fresh").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     item = F.struct((-F.col("confidence")).alias("rank"), "detection_id", F.col("start_ms").alias("s"), F.col("end_ms").alias("e"))
-    grouped = detections.groupBy("run", "trick_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    grouped = chained.groupBy("run", "trick_id", "chain").agg(F.sort_array(F.collect_list(item)).alias("items"))
 
     def overlaps(a: Column, b: Column) -> Column:
         both = F.greatest(F.least(a["e"], b["e"]) - F.greatest(a["s"], b["s"]), F.lit(0))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from motionframe.functions import geometry as g
-from motionframe.operators import describe, etl, features, signature
+from motionframe.operators import augment, describe, etl, features, signature
 from motionframe.plans.sql import DETECTIONS, INDEXED, POSE, ROT, TEMPORAL, TRACK, _pick
 from motionframe.sources import adapters
 
@@ -135,12 +135,16 @@ dis AS (SELECT q.run AS query, r.run AS reference, avg((q.value - r.value) * (q.
     mean = f"pow({' * '.join(f'p_{h}' for h in heads)}, 1e0 / 6e0)"
     stretch = "seg AS (SELECT run, idx // 20 * 20 AS start_idx, max(idx) AS end_idx FROM rot GROUP BY run, idx // 20 * 20)"
     at = lambda values: _pick(values, "start_idx // 20")
+    places = augment.mirror_places()
+    listed = lambda side: "[" + ", ".join(f"{places[k][side]}" + ("e0" if side else "") for k in range(75)) + "]"
     return {
         "rule_score": f"WITH {matched} SELECT run, idx, trick_id, phase_no, joint, round(score, 5) AS score FROM sco",
         "phase_match": f"WITH {matched} SELECT run, trick_id, round(confidence, 6) AS confidence, start_idx, end_idx FROM mat",
         "classify": f"WITH {matched}, mea AS (SELECT run, idx, ({' + '.join(f'c{i}' for i in range(17))}) / 17e0 AS mean FROM pose), qua AS (SELECT m.run, m.trick_id, coalesce(avg(mean), 0e0) AS q FROM mat m LEFT JOIN mea ON mea.run = m.run AND mea.idx BETWEEN start_idx AND end_idx GROUP BY ALL), ref AS (SELECT m.run, m.trick_id, round(least((0.4e0 * confidence + 0.2e0 * q) / (0.4e0 + 0.2e0), 1e0), 6) AS confidence, start_idx, end_idx FROM mat m JOIN qua USING (run, trick_id)) SELECT run, trick_id, round(confidence, 5) AS confidence, start_idx, end_idx FROM ref WHERE confidence >= 0.5",
         "feature_cells": f"WITH {_cells()} SELECT run, idx, cell, round({scaled}, 4) AS value FROM cells",
         "warp_vectors": f"WITH {_cells()} SELECT f.run, f.idx, cell, round(coalesce(CASE WHEN value IS NULL THEN 0e0 WHEN cell < 9 THEN value / 180e0 WHEN cell < 18 THEN {_clipped('1000e0')} ELSE value END, 0e0), 3) AS value FROM (SELECT run, idx, k AS cell FROM pose, unnest(range(75)) AS t(k)) f LEFT JOIN cells c USING (run, idx, cell)",
+        "mirrored_cells": f"WITH {_cells()} SELECT run, idx, CAST({listed(0)}[cell + 1] AS BIGINT) AS cell, round(value * {listed(1)}[cell + 1], 3) AS value FROM cells",
+        "even_split": "SELECT s_suppkey AS id, 1037 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY s_suppkey) <= 1037 % count(*) OVER () THEN 1 ELSE 0 END AS count FROM supplier",
         "signature_features": f"WITH {_signature()} SELECT run, idx, {', '.join(f'round(f{k}, 4) AS f{k}' for k in range(26))} FROM sig",
         "signature_facts": f"WITH {_signature()}, {FACTS} SELECT run, round(seconds, 4) AS seconds, round(height, 4) AS height, round(speed, 4) AS speed, inverted, inversions FROM fac",
         "signature_match": f"WITH {_signature()}, {FACTS}, {curve}, sca AS (SELECT *, greatest(0e0, 1e0 - (distance - min(distance) OVER w) / greatest(max(distance) OVER w - min(distance) OVER w, 0.01e0)) AS near FROM dis WINDOW w AS (PARTITION BY query)), bon AS (SELECT query, reference, distance, near, {bonus} AS bonus FROM sca s JOIN fac q ON q.run = s.query JOIN fac r ON r.run = s.reference) SELECT query, reference, round(distance, 3) AS distance, round(least(1e0, greatest(0e0, near * 0.7e0 + bonus * 0.6e0)), 3) AS confidence, round(bonus, 3) AS bonus FROM bon",
