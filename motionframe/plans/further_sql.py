@@ -148,6 +148,15 @@ dis AS (SELECT q.run AS query, r.run AS reference, avg((q.value - r.value) * (q.
         "signature_features": f"WITH {_signature()} SELECT run, idx, {', '.join(f'round(f{k}, 4) AS f{k}' for k in range(26))} FROM sig",
         "signature_facts": f"WITH {_signature()}, {FACTS} SELECT run, round(seconds, 4) AS seconds, round(height, 4) AS height, round(speed, 4) AS speed, inverted, inversions FROM fac",
         "signature_match": f"WITH {_signature()}, {FACTS}, {curve}, sca AS (SELECT *, greatest(0e0, 1e0 - (distance - min(distance) OVER w) / greatest(max(distance) OVER w - min(distance) OVER w, 0.01e0)) AS near FROM dis WINDOW w AS (PARTITION BY query)), bon AS (SELECT query, reference, distance, near, {bonus} AS bonus FROM sca s JOIN fac q ON q.run = s.query JOIN fac r ON r.run = s.reference) SELECT query, reference, round(distance, 3) AS distance, round(least(1e0, greatest(0e0, near * 0.7e0 + bonus * 0.6e0)), 3) AS confidence, round(bonus, 3) AS bonus FROM bon",
+        "dtw_match": f"""WITH RECURSIVE {_signature()}, ends AS (SELECT run, max(idx) AS last FROM sig GROUP BY run), want AS (SELECT run, s AS step, s * last / 23e0 AS pos FROM ends, unnest(range(24)) AS t(s)),
+vec AS (SELECT run, idx, [{', '.join(f'f{k}' for k in range(26))}] AS f FROM sig),
+cur AS (SELECT w.run, step, list_transform(range(1, 27), lambda k: a.f[k] + (pos - a.idx) * (b.f[k] - a.f[k])) AS f FROM want w JOIN vec a ON a.run = w.run AND a.idx = CAST(floor(pos) AS BIGINT) JOIN vec b ON b.run = w.run AND b.idx = CAST(ceil(pos) AS BIGINT)),
+far AS (SELECT q.run AS query, r.run AS reference, q.step AS i, list(list_distance(q.f, r.f) ORDER BY r.step) AS c FROM cur q JOIN cur r ON r.run <> q.run GROUP BY ALL),
+mat AS (SELECT query, reference, list(c ORDER BY i) AS c FROM far GROUP BY query, reference),
+dia AS (SELECT query, reference, c, 1 AS d, list_transform(range(25), lambda i: CASE WHEN i = 0 THEN 0e0 ELSE 'inf'::DOUBLE END) AS before, list_transform(range(25), lambda i: 'inf'::DOUBLE) AS last FROM mat
+  UNION ALL SELECT query, reference, c, d + 1, last, list_transform(range(25), lambda i: CASE WHEN i >= 1 AND d + 1 - i BETWEEN 1 AND 24 AND abs(2 * i - d - 1) <= 4 THEN c[i][d + 1 - i] + least(last[i], last[i + 1], before[i]) ELSE 'inf'::DOUBLE END) FROM dia WHERE d < 48),
+con AS (SELECT query, reference, greatest(0e0, 1e0 - last[25] / 24e0 / 8e0) AS confidence FROM dia WHERE d = 48)
+SELECT query, reference, round(confidence, 6) AS confidence FROM con WHERE confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY query ORDER BY confidence DESC, reference) = 1""",
         "swing_twist": f"""WITH {TRACK}, n AS (SELECT run, idx, qw, qx, qy, qz, sqrt(qy * qy + qw * qw) AS n FROM quat), s AS (SELECT *, qw * qw / n + qy * qy / n AS sw, qx * qw / n + qz * qy / n AS sx, qz * qw / n - qx * qy / n AS sz FROM n),
 z AS (SELECT *, sqrt(sx * sx + sz * sz) AS size, CASE WHEN sqrt(sx * sx + sz * sz) > 1e-6 THEN CASE WHEN sw < 0 THEN -1e0 ELSE 1e0 END * sx / sqrt(sx * sx + sz * sz) END AS along FROM s)
 SELECT run, idx, round(CASE WHEN n >= 1e-10 THEN degrees(2e0 * atan2(size, abs(sw))) * CASE WHEN abs(along) > 0.3 THEN sign(along) ELSE 1 END ELSE 0e0 END, 3) AS swing, round(CASE WHEN n >= 1e-10 THEN degrees(2e0 * atan2(abs(qy / n), abs(qw / n))) * sign(qy) ELSE 0e0 END, 3) AS twist FROM z""",
