@@ -182,12 +182,20 @@ def distances(pairs: DataFrame, points: DataFrame, width: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, shared long, joined long")
 
 
+def _near(percent: int) -> Column:
+    """Whether the sizes and sketches of two points, named with _a and _b, allow a similarity of ``percent``."""
+    differ = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SKETCHED), F.lit(0))
+    return (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+
+
+def _sketch_of(points: DataFrame, side: str, name: str) -> DataFrame:
+    """The sketches of ``points`` with their node as ``name``."""
+    return points.select(F.col("node").alias(name), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *_SKETCHED)))
+
+
 def _may_be_near(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow a similarity of ``percent``."""
-    left, right = (points.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *_SKETCHED))) for side in "ab")
-    differ = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SKETCHED), F.lit(0))
-    near = (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return pairs.join(left, "a").join(right, "b").filter(near)
+    return pairs.join(_sketch_of(points, "a", "a"), "a").join(_sketch_of(points, "b", "b"), "b").filter(_near(percent))
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -220,8 +228,10 @@ def components_of(rows: DataFrame, points: DataFrame, width: int = WIDTH, percen
         least = hashed.groupBy("bucket").agg(F.min("hash").alias("least"))
         chosen = (F.col("hash") == F.col("least")) | (F.col("hash") * F.col("size") < F.lit(1 << 31) * (FIRST_PIVOTS * MORE_PIVOTS**turn - 1))
         pivots = workspace.cut(hashed.join(least, "bucket").filter(chosen).select("bucket", F.col("node").alias("pivot")))
-        meet = opened.join(pivots, "bucket").filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        measured = workspace.cut(distances(_may_be_near(meet, sizes, wide).select("a", "b"), points, width))
+        # with several pivots a region the sketches go along, so that pairs that they rule out are never made
+        of_pivots, of_points = pivots.join(_sketch_of(sizes, "a", "pivot"), "pivot"), opened.select("bucket", "node").join(_sketch_of(sizes, "b", "node"), "node")
+        meet = of_points.join(of_pivots, "bucket").filter((F.col("node") != F.col("pivot")) & _near(wide)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        measured = workspace.cut(distances(meet, points, width))
         inner = F.col("shared") * 100 >= F.col("joined") * percent
         labels = _merged(labels, measured.filter(inner))
         # the nearest pivot's cell; ties go to the smaller pivot
