@@ -49,8 +49,14 @@ def _row_bytes(schema: StructType) -> int | None:
     return total
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """``df``, materialised before, marked for broadcast if its rows, of a fixed width and counted, allow it."""
+def sized(df: DataFrame, *texts: str) -> DataFrame:
+    """``df``, materialised before, marked for broadcast if its rows, counted, allow it.
+
+    Its columns have a fixed width but for the strings ``texts``, whose lengths are added up.
+    """
+    if texts:
+        found = df.agg(F.count("*").alias("n"), *[F.sum(F.octet_length(F.col(c))).alias(f"l{k}") for k, c in enumerate(texts)]).first()
+        return F.broadcast(df) if sum(x or 0 for x in found[1:]) + found.n * 128 <= BROADCAST_BYTES else df
     width = _row_bytes(df.schema)
     return F.broadcast(df) if width and df.count() * width <= BROADCAST_BYTES else df
 
