@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionframe.llm import byte_bpe, contamination, jaccard_join, license_scan, line_dedup, mixing, pii, quality, token_planes, toxicity, url_graph, workspace
+from motionframe.llm import byte_bpe, codebook, contamination, jaccard_join, license_scan, line_dedup, mixing, pii, quality, spelling, token_planes, toxicity, url_graph, workspace
 
 BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -57,8 +57,16 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(workspace.documents(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(workspace.documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebook.report(workspace.table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_quality_rules, op5_url_filters, op6_line_dedup, op7_toxicity, op8_license_scan, op9_token_planes, op10_decontamination, op11_source_mixing)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_pii, op3_ngram_jaccard_join, op4_quality_rules, op5_url_filters, op6_line_dedup, op7_toxicity, op8_license_scan, op9_token_planes, op10_decontamination, op11_source_mixing, op12_spelling_variants, op13_vector_codes)}
 
 
 OP10_SQL = r"""
@@ -87,4 +95,4 @@ FROM doc_arrays a LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_graph.sql(), "op8_license_scan": license_scan.sql(), "op10_decontamination": OP10_SQL, "op11_source_mixing": mixing.SQL}
+    return {"op5_url_filters": url_graph.sql(), "op8_license_scan": license_scan.sql(), "op10_decontamination": OP10_SQL, "op11_source_mixing": mixing.SQL, "op12_spelling_variants": spelling.SQL, "op13_vector_codes": codebook.sql()}
