@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionframe.operators import matching, rotation
+from motionframe.operators.intervals import within
 from motionframe.operators.sequence import by_frame
 
 _SEGMENT = ["run", "start_idx", "end_idx"]
@@ -17,7 +18,7 @@ _SEGMENT = ["run", "start_idx", "end_idx"]
 
 def frames_of(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """The frames of every segment, with start_idx and end_idx; overlapping segments each have their own rows."""
-    return frames.join(segments.select(*_SEGMENT), "run").filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
+    return within(segments.select(*_SEGMENT), frames)
 
 
 def plausible(segments: DataFrame, tracked: DataFrame, fps: float = 30.0, least_degrees: float = 120.0) -> DataFrame:
@@ -135,7 +136,7 @@ def entry(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """run, start_idx, end_idx, entry: running by the speed over the ten frames before, wall by the height gained, else standing."""
     order = by_frame()
     stepped = frames.withColumn("step", F.sqrt((F.col("tx") - F.lag("tx").over(order)) * (F.col("tx") - F.lag("tx").over(order)) + (F.col("tz") - F.lag("tz").over(order)) * (F.col("tz") - F.lag("tz").over(order))))
-    near = stepped.join(segments.select(*_SEGMENT), "run").filter(F.col("idx").between(F.col("start_idx") - 15, F.col("start_idx")))
+    near = within(segments.select(*_SEGMENT, (F.col("start_idx") - 15).alias("from_idx")), stepped, "from_idx", "start_idx")
     before = F.col("start_idx") - F.col("idx")
     of = near.groupBy(*_SEGMENT).agg(
         F.avg(F.when(before.between(1, 9), F.col("step"))).alias("speed"),

@@ -102,17 +102,22 @@ def _least(a: Column, b: float) -> Column:
     return F.least(a, F.lit(b))
 
 
-def shape_scores(frames: DataFrame) -> DataFrame:
-    """run, idx, soft scores of tuck, pike, layout and open from the joint magnitudes, and the largest one's name."""
-    means = {"knee": ("j3", "j4"), "hip": ("j0", "j1"), "shoulder": ("j15", "j16")}
-    knee, hip, shoulder = (((F.col(a) + F.col(b)) / 2) for a, b in means.values())
+def soft_shapes(df: DataFrame, knee: Column, hip: Column, shoulder: Column) -> DataFrame:
+    """Adds soft scores of tuck, pike, layout and open from the bends in degrees, and the largest one's name."""
     tuck = F.when((knee > 70) & (hip > 50), _least((knee - 70) / 50 * (hip - 50) / 50, 1.0)).when((knee > 55) & (hip > 40), 0.3).otherwise(0.0)
     pike = F.when((knee < 50) & (hip > 50), _least((50 - knee) / 50 * (hip - 50) / 50, 1.0)).otherwise(0.0)
     base = F.when((knee < 50) & (hip < 40), _least((50 - knee) / 50 * (40 - hip) / 40, 1.0)).otherwise(0.0)
     opened = F.when(shoulder > 40, base * _least((shoulder - 40) / 60, 1.0)).otherwise(0.0)
     layout = F.when(shoulder > 40, base * (1 - opened)).otherwise(base)
-    raw = frames.select("run", "idx", tuck.alias("tuck"), pike.alias("pike"), layout.alias("layout"), opened.alias("open"))
+    raw = df.withColumns({"tuck": tuck, "pike": pike, "layout": layout, "open": opened})
     total = F.col("tuck") + F.col("pike") + F.col("layout") + F.col("open")
-    shares = raw.select("run", "idx", *(F.when(total > 0, F.col(k) / total).otherwise(1.0 if k == "layout" else 0.0).alias(k) for k in ("tuck", "pike", "layout", "open")))
+    shares = raw.withColumns({k: F.when(total > 0, F.col(k) / total).otherwise(1.0 if k == "layout" else 0.0) for k in ("tuck", "pike", "layout", "open")})
     most = F.greatest("tuck", "pike", "layout", "open")
     return shares.withColumn("shape", F.when(F.col("tuck") == most, "tuck").when(F.col("pike") == most, "pike").when(F.col("layout") == most, "layout").otherwise("open"))
+
+
+def shape_scores(frames: DataFrame) -> DataFrame:
+    """run, idx, soft scores of tuck, pike, layout and open from the joint magnitudes, and the largest one's name."""
+    means = {"knee": ("j3", "j4"), "hip": ("j0", "j1"), "shoulder": ("j15", "j16")}
+    knee, hip, shoulder = (((F.col(a) + F.col(b)) / 2) for a, b in means.values())
+    return soft_shapes(frames, knee, hip, shoulder).select("run", "idx", "tuck", "pike", "layout", "open", "shape")

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionframe.operators.intervals import within
+
 
 def keypoint_quality(detections: DataFrame, frames: DataFrame) -> DataFrame:
     """detection_id, quality: mean over a detection's frames of the mean keypoint confidence, 0 without frames.
 
-    ``detections`` has run, start_idx, end_idx; the join is by run with the interval as residual condition.
+    ``detections`` has run, start_idx, end_idx.
     """
     of_frame = frames.select("run", "idx", F.array_compact(F.array(*(f"c{i}" for i in range(17)))).alias("c"))
     mean = F.try_divide(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), F.size("c"))
-    inside = detections.join(of_frame.select("run", "idx", mean.alias("mean")), "run").filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
+    inside = within(detections.select("run", "detection_id", "start_idx", "end_idx"), of_frame.select("run", "idx", mean.alias("mean")))
     found = inside.groupBy("detection_id").agg(F.avg("mean").alias("quality"))
     return detections.select("detection_id").join(found, "detection_id", "left").select("detection_id", F.coalesce("quality", F.lit(0.0)).alias("quality"))
 

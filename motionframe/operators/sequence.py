@@ -88,13 +88,16 @@ def padded_islands(active: DataFrame) -> DataFrame:
     return numbered.filter("active").groupBy("run", "place").agg(F.min("pad_from").alias("start_idx"), F.max("pad_to").alias("end_idx")).drop("place")
 
 
-def merge_intervals(intervals: DataFrame, start: str, end: str, gap: int) -> DataFrame:
-    """run, ``start``, ``end``: intervals of a run joined while the next starts within ``gap`` of the furthest end so far."""
+def merge_intervals(intervals: DataFrame, start: str, end: str, gap: int, *carried: Column) -> DataFrame:
+    """run, ``start``, ``end``: intervals of a run joined while the next starts within ``gap`` of the furthest end so far.
+
+    ``carried`` are aggregates over the intervals that are joined.
+    """
     order = Window.partitionBy("run").orderBy(start, end)
     furthest = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(furthest.isNull() | (F.col(start) - furthest > gap), 1).otherwise(0)
     grouped = intervals.withColumn("fresh", fresh).withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("run", "part").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("part")
+    return grouped.groupBy("run", "part").agg(F.min(start).alias(start), F.max(end).alias(end), *carried).drop("part")
 
 
 def with_times(intervals: DataFrame, frames: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motionframe import further_queries
+from motionframe import further_queries, turn_queries
 from motionframe.functions import names
 from motionframe.operators import catalog, kinematics, matching, rotation, scoring, sequence
-from motionframe.plans import further_sql, sql
+from motionframe.plans import further_sql, sql, turn_sql
 from motionframe.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -468,8 +468,8 @@ def conversation_log(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | further_queries.queries()
+    return _QUERIES | further_queries.queries() | turn_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracle_sql() | further_sql.oracle_sql(further_queries.RULES)
+    return sql.oracle_sql() | further_sql.oracle_sql(further_queries.RULES) | turn_sql.oracle_sql()

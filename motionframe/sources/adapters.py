@@ -47,6 +47,23 @@ def rotation_frames(embeddings: DataFrame, scale: float = 4.0) -> DataFrame:
     )
 
 
+def ankles(embeddings: DataFrame) -> DataFrame:
+    """run, idx, left_ankle, right_ankle: heights about a metre below the body's centre; every fourth frame has none."""
+    height = lambda i: F.when(F.col("idx") % 4 != 3, _value(4) - 1 + _value(i)).alias
+    return _indexed(embeddings).select("run", "idx", height(60)("left_ankle"), height(61)("right_ankle"))
+
+
+def person_boxes(events: DataFrame) -> DataFrame:
+    """run, idx, x0, y0, x1, y1, width, height: a box for each frame of the signal but every third, and but those of the first five whose value is under 5."""
+    v, at = F.col("v"), F.col("idx")
+    seen = (at % 3 != 0) & ((at >= 5) | (v >= 5))
+    corner = lambda c: F.when(seen, c)
+    left, top = v * 12.0, v * 7.0
+    return signal_frames(events).select(
+        "run", "idx", corner(left).alias("x0"), corner(top).alias("y0"), corner(left + 60 + at % 7 * 40).alias("x1"), corner(top + 90 + at % 5 * 50).alias("y1"), F.lit(1280.0).alias("width"), F.lit(720.0).alias("height")
+    )
+
+
 def detections(orders: DataFrame, lineitem: DataFrame, part: DataFrame) -> DataFrame:
     """run, detection_id, trick_id, confidence, start_ms, end_ms."""
     sold = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey).join(part, lineitem.l_partkey == part.p_partkey)
