@@ -38,6 +38,34 @@ FAMILIES = (
 TWIST_WORDS = ("flip", "gainer", "webster", "front", "back", "cork", "corkscrew", "arabian", "pimp")
 NO_SPIN_WORDS = ("flip", "gainer", "webster", "cork", "corkscrew")
 MULTIPLIERS = ("double", "triple", "quad")
+#: Words of a name that tell a flip, besides the special words.
+FLIP_WORDS = ("flip", "cork", "corkscrew", "gainer", "webster", "arabian", "raiz", "aerial", "cartwheel", "handspring", "roundoff")
+#: Compound words and how they are written apart.
+COMPOUNDS = {
+    "backflip": "back flip",
+    "frontflip": "front flip",
+    "sideflip": "side flip",
+    "kickflip": "kick flip",
+    "handspring": "hand spring",
+    "handstand": "hand stand",
+    "roundoff": "round off",
+    "cartwheel": "cart wheel",
+    "corkscrew": "cork screw",
+    "butterfly": "butter fly",
+    "snapuswipe": "snapu swipe",
+    "backswing": "back swing",
+    "frontswing": "front swing",
+    "sideswing": "side swing",
+    "fulltwist": "full twist",
+    "doubleleg": "double leg",
+    "masterscoot": "master scoot",
+    "moonkick": "moon kick",
+    "flashkick": "flash kick",
+    "jackknife": "jack knife",
+    "touchdown": "touch down",
+    "swingthrough": "swing through",
+    "swingthru": "swing thru",
+}
 
 
 def slug(name: Column) -> Column:
@@ -61,6 +89,32 @@ def variants(name: Column) -> Column:
     return F.array_sort(F.array_distinct(every))
 
 
+def normal(name: Column) -> Column:
+    """Lower case, hyphens and underlines as spaces, nothing but letters, digits and single spaces."""
+    kept = F.regexp_replace(F.regexp_replace(F.lower(name), "[-_]", " "), "[^a-z0-9 ]", "")
+    return F.trim(F.regexp_replace(kept, " +", " "))
+
+
+def all_variants(name: Column) -> Column:
+    """The normal form, each with two neighbouring words joined, with all compounds apart, and with each compound joined or apart."""
+    form = normal(name)
+    words = F.filter(F.split(form, " "), lambda t: t != "")
+    count = F.size(words)
+    joins = F.transform(
+        F.when(count > 1, F.sequence(F.lit(1), count - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.concat_ws(" ", F.slice(words, F.lit(1), i - 1), F.concat(F.element_at(words, i), F.element_at(words, i + 1)), F.slice(words, i + 2, F.greatest(count, F.lit(1)))),
+    )
+    apart = F.array_join(F.transform(words, lambda t: F.coalesce(F.element_at(_table(COMPOUNDS), t), t)), " ")
+    each = [F.when(F.contains(form, F.lit(a)), F.replace(form, F.lit(a), F.lit(b))) for one, two in COMPOUNDS.items() for a, b in ((two, one), (one, two))]
+    return F.array_distinct(F.concat(F.array(form, apart), joins, F.array_compact(F.array(*each))))
+
+
+def title(name: Column) -> Column:
+    """Letters in lower case but for those that no letter precedes."""
+    chars = F.split(name, "")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(F.coalesce(F.get(chars, i - 1), F.lit("")).rlike("[A-Za-z]"), F.lower(c)).otherwise(F.upper(c))), "")
+
+
 def _table(values: dict) -> Column:
     return F.create_map(*(F.lit(x) for item in values.items() for x in item))
 
@@ -123,3 +177,24 @@ def parse(words: Column) -> dict[str, Column]:
         "entry": F.when(F.array_contains(words, "wall"), "wall").otherwise(_last(words, ENTRIES, _special(words, "entry", F.lit("standing")))),
         "family": family,
     }
+
+
+def explicit(words: Column) -> dict[str, Column]:
+    """Which of the fields of :func:`parse` the name says outright, so that no hint changes them."""
+    parsed = parse(words)
+    pairs = F.transform(F.sequence(F.lit(0), F.size(words)), lambda i: (F.get(words, i + 1) == "full") & F.get(words, i).isin(*MULTIPLIERS))
+    multiplied = F.exists(pairs, lambda t: F.coalesce(t, F.lit(False)))
+    flip = _any(words, FLIP_WORDS) | _any(words, tuple(SPECIALS))
+    spin = F.coalesce(F.get(words, F.lit(0)).isin(*SPIN_PREFIXES), F.lit(False)) & ~_any(words, NO_SPIN_WORDS)
+    special = lambda field: _any(words, tuple(w for w, changes in SPECIALS.items() if field in changes))
+    half = F.array_position(words, "half") - 1
+    full = F.array_contains(words, "full") & (_any(words, TWIST_WORDS) | (parsed["rotation"] >= 1))
+    return {
+        "rotation": _any(words, tuple(ROTATIONS)) | flip,
+        "twist": flip | multiplied | full | spin | ((half >= 0) & (parsed["rotation"] >= 1) & (half > F.floor(F.size(words) / 2))),
+        "axis": flip | multiplied | spin | _any(words, tuple(AXES)),
+        "direction": special("direction") | spin | _any(words, tuple(DIRECTIONS)),
+        "shape": multiplied | _any(words, tuple(SHAPES)),
+        "entry": special("entry") | _any(words, tuple(ENTRIES)),
+        "family": F.lit(True),
+    }
