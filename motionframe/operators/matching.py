@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionframe.operators import etl
 from motionframe.sources import storage
 
 #: Fixed values of the weighted distance.
@@ -96,6 +97,24 @@ def hybrid_fusion(physics: DataFrame, motion: DataFrame, facts: DataFrame) -> Da
     return known.select("sig_id", "trick_id", F.round(F.least(share * F.col("p") + (1 - share) * F.col("m") + bonus, F.lit(1.0)), 3).alias("confidence"))
 
 
+def fused_by_name(physics: DataFrame, motion: DataFrame, facts: DataFrame, catalog: DataFrame) -> DataFrame:
+    """sig_id, trick_id, name, p, m, confidence: candidates of a matcher that knows ids (sig_id, trick_id, name, confidence) and of one that
+    knows names (sig_id, nth, name, confidence).
+
+    A name is resolved in ``catalog`` (trick_id, name, pos) by slug, else by lower-case name.  Of matches that resolve to one id the last
+    counts; a name that does not gets its slug with underlines for spaces as id, where the surest counts, and raises one already there.
+    """
+    known = etl.resolved_names(motion.select("name").distinct(), catalog)
+    found = motion.join(known, "name", "left").withColumns({"own": F.coalesce("trick_id", F.regexp_replace(F.lower("name"), " ", "_")), "is_known": F.col("trick_id").isNotNull()}).drop("trick_id")
+    last = found.withColumn("from_nth", F.max(F.when(F.col("is_known"), F.col("nth"))).over(Window.partitionBy("sig_id", "own")))
+    counted = last.filter(F.col("from_nth").isNull() | (F.col("nth") >= F.col("from_nth"))).groupBy("sig_id", "own").agg(F.max("confidence").alias("m"))
+    named = found.groupBy("sig_id", "own").agg(F.min_by("name", "nth").alias("motion_name")).join(counted, ["sig_id", "own"]).withColumnRenamed("own", "trick_id")
+    names_ = physics.select("sig_id", "trick_id", F.col("name").alias("physics_name")).join(named.select("sig_id", "trick_id", "motion_name"), ["sig_id", "trick_id"], "full_outer")
+    both = physics.select("sig_id", "trick_id", F.col("confidence").alias("p")).join(named.select("sig_id", "trick_id", "m"), ["sig_id", "trick_id"], "full_outer")
+    fused = hybrid_fusion(both.filter("p IS NOT NULL").select("sig_id", "trick_id", F.col("p").alias("confidence")), both.filter("m IS NOT NULL").select("sig_id", "trick_id", F.col("m").alias("confidence")), facts)
+    return fused.join(both, ["sig_id", "trick_id"]).join(names_, ["sig_id", "trick_id"]).select("sig_id", "trick_id", F.coalesce("physics_name", "motion_name").alias("name"), F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("m", F.lit(0.0)).alias("m"), "confidence")
+
+
 def ensemble(first: DataFrame, second: DataFrame, weight: float = 0.6) -> DataFrame:
     """run, trick_id, confidence: weighted mean of two strategies, or the one that is there."""
     a, b = first.withColumnRenamed("confidence", "a"), second.withColumnRenamed("confidence", "b")

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from motionframe import further_queries, turn_queries
+from motionframe import catalog_queries, further_queries, turn_queries
 from motionframe.functions import names
 from motionframe.operators import catalog, kinematics, matching, rotation, scoring, sequence
-from motionframe.plans import further_sql, sql, turn_sql
+from motionframe.plans import catalog_sql, further_sql, sql, turn_sql
 from motionframe.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,13 +295,7 @@ def competition_score(spark, d):
 
 
 def _named(spark, d):
-    """Names put together from movement words, by key; the words cycle through all that the parser knows."""
-    words = ["double", "full", "back", "cork", "720", "side", "flip", "wall", "half", "gainer", "Triple", "layout", "cheat", "front", "arabian", "pike", "kong", "roll", "full", "B-Twist", "webster", "540", "corkscrew", "raiz", "handspring", "twist"]
-    part = adapters.read(spark, d, "part")
-    listed = F.array(*(F.lit(w) for w in words))
-    at = lambda f: F.element_at(listed, (f % len(words) + 1).cast("int"))
-    key = F.col("p_partkey")
-    return part.select(key.alias("id"), F.concat_ws(" ", at(key), at(F.floor(key / 26) + key * 3), at(F.floor(key / 7) + 5), at(key * key)).alias("name"))
+    return adapters.movement_names(adapters.read(spark, d, "part"))
 
 
 @_query
@@ -468,8 +462,8 @@ def conversation_log(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return _QUERIES | further_queries.queries() | turn_queries.queries()
+    return _QUERIES | further_queries.queries() | turn_queries.queries() | catalog_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.oracle_sql() | further_sql.oracle_sql(further_queries.RULES) | turn_sql.oracle_sql()
+    return sql.oracle_sql() | further_sql.oracle_sql(further_queries.RULES) | turn_sql.oracle_sql() | catalog_sql.oracle_sql()

@@ -103,3 +103,25 @@ def physics_catalog(part: DataFrame) -> DataFrame:
         _pick(CONTEXTS, 5).alias("context"),
         (F.floor(F.col("p_retailprice") / 20) / 10).alias("score"),
     )
+
+
+def movement_names(part: DataFrame) -> DataFrame:
+    """id, name: names put together from movement words, by key; the words cycle through all that the parser knows."""
+    words = ["double", "full", "back", "cork", "720", "side", "flip", "wall", "half", "gainer", "Triple", "layout", "cheat", "front", "arabian", "pike", "kong", "roll", "full", "B-Twist", "webster", "540", "corkscrew", "raiz", "handspring", "twist"]
+    listed = F.array(*(F.lit(w) for w in words))
+    at = lambda f: F.element_at(listed, (f % len(words) + 1).cast("int"))
+    key = F.col("p_partkey")
+    return part.select(key.alias("id"), F.concat_ws(" ", at(key), at(F.floor(key / 26) + key * 3), at(F.floor(key / 7) + 5), at(key * key)).alias("name"))
+
+
+#: Words of names that several sources write in several ways.
+WRITTEN = ("back", "Flip", "back-flip", "backflip", "hand", "spring", "Handspring", "side", "swing", "full", "twist", "fulltwist", "roundoff", "ROUND", "off", "a")
+
+
+def source_names(part: DataFrame) -> DataFrame:
+    """source, pos, name, alias: four sources by key; those of the first have aliases, but for every third."""
+    listed = F.array(*(F.lit(w) for w in WRITTEN))
+    key = F.col("p_partkey")
+    at = lambda f: F.element_at(listed, (f % len(WRITTEN) + 1).cast("int"))
+    name, alias = F.concat_ws(" ", at(key * 7), at(F.floor(key / 5) * 3 + key)), F.concat_ws("_", at(key + 3), at(key * key))
+    return part.select((key % 4).alias("source"), key.alias("pos"), F.when(key % 4 == 2, F.upper(name)).otherwise(name).alias("name"), F.when((key % 4 == 0) & (key % 3 != 0), alias).alias("alias"))
