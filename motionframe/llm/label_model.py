@@ -22,13 +22,15 @@ class LabelModel:
     prior: float
     #: rates[rule][class][vote]: probability of vote 0, 1 or abstaining (index 2) in that class
     rates: tuple[tuple[tuple[float, float, float], tuple[float, float, float]], ...]
+    #: whether abstaining tells anything, by how often a rule does so in either class
+    silence_counts: bool = False
 
     def posterior(self, votes: tuple[int, ...]) -> float:
-        """Probability of class 1 given the votes; abstentions count as no evidence."""
+        """Probability of class 1 given the votes; abstentions are no evidence unless ``silence_counts``."""
         log_odds = math.log(self.prior) - math.log(1 - self.prior)
         for rule, vote in zip(self.rates, votes, strict=True):
-            if vote >= 0:
-                log_odds += math.log(rule[1][vote]) - math.log(rule[0][vote])
+            if vote >= 0 or self.silence_counts:
+                log_odds += math.log(rule[1][vote]) - math.log(rule[0][vote])  # -1 is the last rate, that of abstaining
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, log_odds))))
 
     def accuracy(self, rule: int) -> float:
@@ -38,10 +40,10 @@ class LabelModel:
         return right / votes
 
 
-def fit(patterns: dict[tuple[int, ...], int], rules: int, iterations: int = 50, least_prior: float = 0.01) -> LabelModel:
-    """Estimate the model from ``{votes: rows}``; with no rows it is a coin flip for every pattern."""
+def fit(patterns: dict[tuple[int, ...], int], rules: int, iterations: int = 50, least_prior: float = 0.01, silence_counts: bool = False) -> LabelModel:
+    """Estimate the model from ``{votes: rows}``; with no rows its prior is a coin flip."""
     weight = {v: float(n) for v, n in patterns.items()}
-    model = LabelModel(0.5, (PRIOR_RATES,) * rules)
+    model = LabelModel(0.5, (PRIOR_RATES,) * rules, silence_counts)
     belief = {v: model.posterior(v) for v in weight}
     for _ in range(iterations):
         total = sum(weight.values())
@@ -55,7 +57,7 @@ def fit(patterns: dict[tuple[int, ...], int], rules: int, iterations: int = 50,
                 counts[1][vote] += n * belief[votes]
                 counts[0][vote] += n * (1 - belief[votes])
             rates.append(tuple(tuple(x / sum(row) for x in row) for row in counts))
-        before, model = model, LabelModel(prior, tuple(rates))
+        before, model = model, LabelModel(prior, tuple(rates), silence_counts)
         belief = {v: model.posterior(v) for v in weight}
         if abs(before.prior - model.prior) < 1e-9 and _moved(before, model) < 1e-7:
             break

@@ -2,7 +2,8 @@
 
 Text statistics are computed once per document.  Rules turn them into votes (1 good, 0 bad, -1 abstain); the
 votes of all documents, gathered as pattern counts, train a label model, and a document is kept if its posterior
-quality reaches ``least_quality`` and it does not fail the base rules.
+quality reaches ``least_quality`` and it does not fail the base rules.  That a rule abstains counts by how often it does so for good
+and for poor text: good text hardly ever fails to look like prose.
 
 Edge cases: a null or empty text has no words, fails the base rules and is not kept; repeated rows give repeated
 results; an empty table gives an empty result; columns besides ``doc_id`` and ``text`` are ignored.
@@ -158,7 +159,7 @@ def classify(docs: DataFrame, least_quality: float = LEAST_QUALITY) -> DataFrame
     cast = found.select("*", *(v.alias(f"vote_{k}") for k, v in voted.items()))
     votes = [f"vote_{k}" for k in names]
     counts = pattern_counts(cast, votes)
-    model = label_model.fit(counts, len(names))
+    model = label_model.fit(counts, len(names), silence_counts=True)
     table = found.sparkSession.createDataFrame([(*v, model.posterior(v)) for v in counts], ", ".join(f"{k} int" for k in votes) + ", quality double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = cast.join(F.broadcast(table), votes)  # a few hundred rows: a rule has two outcomes
