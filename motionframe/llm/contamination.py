@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionframe.llm import wordhash
+from motionframe.llm import wordhash, workspace
 
 WINDOW = 10
 
@@ -265,9 +265,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     A document whose hit words exceed ``max_coverage`` of its words is dropped.  Columns and rows are otherwise
     those of ``docs``, but ``n_chars``, if there, follows a new text; a null text stays null.
     """
-    names = docs.columns
-    clash = {c: f"_{c}_in" for c in ("n_words", "spans", "items") if c in names}
-    found = matches(docs.withColumnsRenamed(clash), benchmark, window)
+    plain = workspace.plainly_named(docs, "text", "n_chars")
+    found = matches(plain, benchmark, window)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last_word"] - s["first_word"] + 1)
     kept = found.filter(hit <= F.col("n_words") * F.lit(max_coverage))
     raw = F.encode("text", "UTF-8")
@@ -277,7 +276,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     parts = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda p: F.decode(F.substring(raw, (p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")), "UTF-8"))
     text = F.when(F.size(cut_at) == 0, F.col("text")).otherwise(F.array_join(parts, ""))
     new = kept.withColumn("text", text)
-    if "n_chars" in names:
+    if "n_chars" in plain.columns:
         new = new.withColumn("n_chars", F.when(F.size(cut_at) == 0, F.col("n_chars")).otherwise(F.length("text")))
-    new = new.drop("n_words", "spans", "items")
-    return new.withColumnsRenamed({v: k for k, v in clash.items()}).select(*names)
+    return new.select(*plain.columns).toDF(*docs.columns)

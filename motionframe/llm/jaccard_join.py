@@ -253,10 +253,11 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
     Rows without shingles or without a doc_id stay; rows equal in doc_id and text go or stay together.
     """
-    copies = _labelled(docs, width, percent).filter("component_id != doc_id").select(*(F.col(k).alias(f"_{k}") for k in ("doc_id", "t1", "t2"))).distinct()
+    plain = workspace.plainly_named(docs, "doc_id", "text")
+    copies = _labelled(plain, width, percent).filter("component_id != doc_id").select(*(F.col(k).alias(f"copy_{k}") for k in ("doc_id", "t1", "t2"))).distinct()
     small = workspace.sized(workspace.cut(copies))
-    same = [own == F.col(f"_{k}") for own, k in zip((docs["doc_id"].cast("long"), *_text_hashes()), ("doc_id", "t1", "t2"))]
-    return docs.join(small, same, "left_anti")
+    same = [own == F.col(f"copy_{k}") for own, k in zip((plain["doc_id"].cast("long"), *_text_hashes()), ("doc_id", "t1", "t2"))]
+    return plain.join(small, same, "left_anti").toDF(*docs.columns)
 
 
 def groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -184,13 +184,6 @@ def _keys() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
 
 
-def _with_lost(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """``docs`` with the other columns of ``lost``, which has the key of texts, named with a leading underline."""
-    named = lost.select(*(F.col(c).alias(f"_{c}") for c in lost.columns))
-    same = [own == F.col(f"_{k}") for own, k in zip(_keys(), _KEY)]
-    return docs.join(workspace.cut(named), same, "left")
-
-
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed and owners of every row."""
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
@@ -206,9 +199,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     ``n_chars``, if there, follows the new text.
     """
-    both = _with_lost(docs, repeated_lines(docs).drop("owners"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, at: ~F.array_contains("_removed", at)), "\n")
-    new = both.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)).filter("_removed IS NULL OR text RLIKE '[^ \\t-\\r]'")
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return new.select(*docs.columns)
+    plain = workspace.plainly_named(docs, "doc_id", "text", "n_chars")
+    lost = workspace.cut(repeated_lines(plain).select(*(F.col(c).alias(f"lost_{c}") for c in (*_KEY, "removed"))))
+    both = plain.join(lost, [own == F.col(f"lost_{k}") for own, k in zip(_keys(), _KEY)], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, at: ~F.array_contains("lost_removed", at)), "\n")
+    new = both.withColumn("text", F.when(F.col("lost_removed").isNull(), F.col("text")).otherwise(kept)).filter("lost_removed IS NULL OR text RLIKE '[^ \\t-\\r]'")
+    if "n_chars" in plain.columns:
+        new = new.withColumn("n_chars", F.when(F.col("lost_removed").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+    return new.select(*plain.columns).toDF(*docs.columns)

@@ -73,3 +73,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
+
+
+def plainly_named(docs: DataFrame, *known: str) -> DataFrame:
+    """``docs`` with every column but ``known`` renamed by its place, so that no other name can clash, whatever its case."""
+    found = {k: next((c for c in (*[c for c in docs.columns if c == k], *[c for c in docs.columns if c.lower() == k])), None) for k in known}
+    places = {docs.columns.index(c): k for k, c in found.items() if c is not None}
+    return docs.toDF(*(places.get(k, f"other_{k}") for k in range(len(docs.columns))))
