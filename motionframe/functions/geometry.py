@@ -48,12 +48,20 @@ def clip(x: str, low: str, high: str) -> str:
     return f"CASE WHEN {x} < {low} THEN {low} WHEN {x} > {high} THEN {high} ELSE {x} END"
 
 
-def angle(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> str:
-    """Angle at b in degrees."""
+def cosine(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> str:
+    """Cosine of the angle at b, which rounding may take beyond 1."""
     dot = f"(({ax} - {bx}) * ({cx} - {bx}) + ({ay} - {by}) * ({cy} - {by}))"
     norms = f"(sqrt(({ax} - {bx}) * ({ax} - {bx}) + ({ay} - {by}) * ({ay} - {by})) * sqrt(({cx} - {bx}) * ({cx} - {bx}) + ({cy} - {by}) * ({cy} - {by})) + 1e-8)"
-    cosine = f"({dot} / {norms})"
-    return f"degrees(acos({clip(cosine, '-1e0', '1e0')}))"
+    return f"({dot} / {norms})"
+
+
+def of_cosine(x: str) -> str:
+    return f"degrees(acos({clip(x, '-1e0', '1e0')}))"
+
+
+def angle(ax: str, ay: str, bx: str, by: str, cx: str, cy: str) -> str:
+    """Angle at b in degrees."""
+    return of_cosine(cosine(ax, ay, bx, by, cx, cy))
 
 
 def midpoint(joints: tuple[str, ...], axis: str) -> str:
@@ -65,16 +73,25 @@ def seen(joints: tuple[str, ...], least: float = MIN_CONFIDENCE) -> str:
     return "(" + " AND ".join(f"coalesce(c{INDEX[j]}, -1e0) >= {least}" for j in joints) + ")"
 
 
+def _corners() -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
+    """For each angle the joints that it needs and its six coordinates."""
+    out = {name: (ends, tuple(f"{a}{INDEX[j]}" for j in ends for a in "xy")) for name, ends in ANGLES.items()}
+    return out | {name: (tuple(j for part in parts for j in part), tuple(midpoint(p, a) for p in parts for a in "xy")) for name, parts in MIDPOINT_ANGLES.items()}
+
+
+def joint_cosines() -> dict[str, str]:
+    """The cosines of the 10 angles that are not means of two; NULL where a joint is not seen."""
+    return {name: f"CASE WHEN {seen(needed)} THEN {cosine(*at)} END" for name, (needed, at) in _corners().items()}
+
+
+def mean_of_sides(left: str, right: str) -> str:
+    return f"coalesce(({left} + {right}) / 2e0, {left}, {right})"
+
+
 def joint_angles() -> dict[str, str]:
     """The 14 angles over columns x0.., y0.., c0..; NULL where a joint is not seen."""
-    out = {name: f"CASE WHEN {seen(ends)} THEN {angle(*(f'{a}{INDEX[j]}' for j in ends for a in 'xy'))} END" for name, ends in ANGLES.items()}
-    for name, parts in MIDPOINT_ANGLES.items():
-        every = tuple(j for part in parts for j in part)
-        out[name] = f"CASE WHEN {seen(every)} THEN {angle(*(midpoint(p, a) for p in parts for a in 'xy'))} END"
-    for joint in PAIRED:
-        left, right = f"({out[f'left_{joint}']})", f"({out[f'right_{joint}']})"
-        out[joint] = f"coalesce(({left} + {right}) / 2e0, {left}, {right})"
-    return out
+    out = {name: f"CASE WHEN {seen(needed)} THEN {angle(*at)} END" for name, (needed, at) in _corners().items()}
+    return out | {joint: mean_of_sides(f"({out[f'left_{joint}']})", f"({out[f'right_{joint}']})") for joint in PAIRED}
 
 
 def torso_length() -> str:

@@ -13,8 +13,14 @@ ANGLE_SCALE, VELOCITY_CLIP, ACCELERATION_CLIP, TILT_VELOCITY_CLIP, COM_VELOCITY_
 
 
 def joint_angles(poses: DataFrame) -> DataFrame:
-    """run, idx, t_ms and the 14 angles, NULL where a joint is not seen."""
-    return poses.select("run", "idx", "t_ms", *(F.expr(e).alias(name) for name, e in g.joint_angles().items()))
+    """run, idx, t_ms and the 14 angles, NULL where a joint is not seen.
+
+    Cosines, angles and means of sides are columns one after the other: written out in full the code is too long to be compiled.
+    """
+    cosines = g.joint_cosines()
+    of_corner = poses.select("run", "idx", "t_ms", *(F.expr(e).alias(f"cos_{name}") for name, e in cosines.items()))
+    single = of_corner.select("run", "idx", "t_ms", *(F.expr(g.of_cosine(f"cos_{name}")).alias(name) for name in cosines))
+    return single.select("*", *(F.expr(g.mean_of_sides(f"left_{joint}", f"right_{joint}")).alias(joint) for joint in g.PAIRED))
 
 
 def body_frame(poses: DataFrame) -> DataFrame:
