@@ -13,8 +13,8 @@ At a similarity of 0.8 two lines of more than 64 shingles meet in a bucket with
 bins are not all of their own, have a second set of bands for that.  Everything after that is exact.  A line is known by
 a 128-bit hash of its text.
 
-Edge cases: a null text has no lines and stays null; lines of fewer than ``LEAST_CHARS`` characters are
-repeats of equal lines only; lines of blanks are left alone; rows are told apart by doc_id and text, so texts
+Edge cases: a null text has no lines and stays null; a line shorter than a shingle is its own one
+shingle and so links with equal lines only; lines of blanks are left alone; rows are told apart by doc_id and text, so texts
 that share a doc_id, or have none, lose only lines of their own, and rows equal in both keep the same lines; rows
 without a doc_id come after all others; an empty table gives an empty result; other columns pass through.
 """
@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from motionframe.llm import buckets, workspace
 
 SHINGLE = 9
-#: Characters of a line from which it links with lines that are not equal.
-LEAST_CHARS = 30
 #: A character that is no blank.
 WORD = r"[^ \t-\r]"
 #: Percent of the union that two linked lines share at least.
@@ -103,24 +101,23 @@ def _filled(bins: int) -> Column:
 
 
 def signatures(docs: DataFrame, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """node (a number of its own), h1, h2, key, repeated, bands (null for lines too short to link) of every distinct line.
+    """node (a number of its own), h1, h2, key, repeated, bands of every distinct line.
 
     The lines lie by their hash already, so the minima over a line's shingles are taken where it is and none is shuffled.
     """
-    fuzzy = F.length("line") >= LEAST_CHARS
-    named = distinct_lines(docs).select("h1", "h2", "key.*", "repeated", F.when(fuzzy, _encoded(F.col("line"))).otherwise(F.lit(b"")).alias("encoded"))
+    named = distinct_lines(docs).select("h1", "h2", "key.*", "repeated", _encoded(F.col("line")).alias("encoded"))
     each = named.select("h1", "h2", *_KEY, "repeated", "encoded", F.explode(_starts(F.col("encoded"))).alias("at"))
-    hashed = each.select("h1", "h2", *_KEY, "repeated", (F.length("encoded") > 0).alias("fuzzy"), _hash_at(F.col("encoded"), F.col("at")).alias("x"))
+    hashed = each.select("h1", "h2", *_KEY, "repeated", _hash_at(F.col("encoded"), F.col("at")).alias("x"))
     binned = hashed.withColumn("bin", F.shiftrightunsigned("x", 64 - (bins.bit_length() - 1)))
     # a filtered minimum costs one comparison where the bin is another
     minima = [F.expr(f"min(x) FILTER (WHERE bin = {k}L)").alias(f"m{k}") for k in range(bins)]
-    signed = binned.groupBy("h1", "h2").agg(*(F.min(k).alias(k) for k in _KEY), F.max("repeated").alias("repeated"), F.max("fuzzy").alias("fuzzy"), F.count("*").alias("n"), *minima)
+    signed = binned.groupBy("h1", "h2").agg(*(F.min(k).alias(k) for k in _KEY), F.max("repeated").alias("repeated"), F.count("*").alias("n"), *minima)
     some_empty = reduce(or_, (F.col(f"m{k}").isNull() for k in range(bins)))
     kept = ["h1", "h2", *_KEY, "repeated", "n"]
-    packed = signed.select(*kept, "fuzzy", some_empty.alias("some_empty"), F.array(*(f"m{k}" for k in range(bins))).alias("m"))
-    full = packed.select(*kept, "fuzzy", F.when(F.col("fuzzy"), F.when(F.col("some_empty"), _filled(bins)).otherwise(F.col("m"))).alias("m"))
+    packed = signed.select(*kept, some_empty.alias("some_empty"), F.array(*(f"m{k}" for k in range(bins))).alias("m"))
+    full = packed.select(*kept, F.when(F.col("some_empty"), _filled(bins)).otherwise(F.col("m")).alias("m"))
     every, short = ([F.xxhash64(F.lit(f"{name}{b}"), *(F.get("m", F.lit(k)) for k in at)) for b, at in enumerate(layout)] for name, layout in zip("ab", bands(bins, rows)))
-    keys = F.when(F.col("fuzzy"), F.when(F.col("n") < FEW, F.array(*every, *short)).otherwise(F.array(*every)))
+    keys = F.when(F.col("n") < FEW, F.array(*every, *short)).otherwise(F.array(*every))
     return full.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", F.struct(*_KEY).alias("key"), "repeated", keys.alias("bands"))
 
 

@@ -19,9 +19,8 @@ def brute(rows, similarity=0.8):
             t = group[t]
         return t
 
-    long = [t for t in texts if len(t) >= line_dedup.LEAST_CHARS]
-    for a in long:
-        for b in long:
+    for a in texts:
+        for b in texts:
             both = len(sets[a] & sets[b])
             if a < b and both and both >= similarity * (len(sets[a]) + len(sets[b]) - both):
                 group[root(a)] = root(b)
