@@ -106,8 +106,8 @@ def dtw_match(spark, d):
     framed = signature.trajectories(signature.features(_poses(spark, d)), 24)
     lines = framed.groupBy("run", "step").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda c: c["value"]).alias("f"))
     whole = lines.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "f"))), lambda c: c["f"]).alias("t"))
-    pairs = whole.select(F.col("run").alias("query"), F.col("t").alias("a")).crossJoin(F.broadcast(whole.select(F.col("run").alias("reference"), F.col("t").alias("b")))).filter("query != reference")
-    return _rounded(trajectory.best_reference(trajectory.dtw_confidence(pairs, scale=8.0)), 6)
+    runs = whole.withColumnRenamed("t", "trajectory")
+    return _rounded(trajectory.best_by_warping(runs, runs, scale=8.0, other_runs=True), 6)
 
 
 @_query

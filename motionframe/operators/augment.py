@@ -7,12 +7,14 @@ those of :mod:`motionframe.operators.features`; derivatives are made anew from w
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionframe.functions import geometry as g
 from motionframe.operators import features as f
+from motionframe.sources import storage
 
 #: Cells of the left side and of the right side among the angles, keypoints and limb ratios.
 ANGLE_PAIRS = ((0, 1), (2, 3), (4, 5), (6, 7))
@@ -88,16 +90,24 @@ def with_derivatives(cells: DataFrame, fps: float = 30.0) -> DataFrame:
     return base.unionByName(velocity).unionByName(acceleration).unionByName(body)
 
 
-def stretched(cells: DataFrame, factor: float, fps: float = 30.0) -> DataFrame:
-    """Each run in ``frames / factor`` frames (4 at least), linear between the known values of each cell and constant outside them."""
-    lengths = cells.groupBy("run").agg((F.max("idx") + 1).alias("n")).withColumn("m", F.greatest(F.lit(4), F.floor(F.col("n") / factor)).cast("long"))
-    wanted = lengths.select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("to"), (F.col("n") - 1).alias("last"), "m")
-    wanted = wanted.select("run", "to", (F.col("to") * F.col("last") / (F.col("m") - 1)).alias("at"))
-    known = cells.withColumns({"next": F.lead("idx").over(_order()), "next_value": F.lead("value").over(_order()), "before": F.lag("idx").over(_order())})
-    joined = known.join(wanted, "run").filter(((F.col("at") >= F.col("idx")) | F.col("before").isNull()) & ((F.col("at") < F.col("next")) | F.col("next").isNull()))
-    share = F.greatest(F.lit(0.0), (F.col("at") - F.col("idx")) / (F.col("next") - F.col("idx")))
-    line = F.when(F.col("next").isNull(), F.col("value")).otherwise(F.col("value") + share * (F.col("next_value") - F.col("value")))
-    return with_derivatives(joined.select("run", F.col("to").alias("idx"), "cell", line.alias("value")), fps)
+def stretched(cells: DataFrame, factor: float | Column, fps: float = 30.0) -> DataFrame:
+    """Each run in ``frames / factor`` frames (4 at least), linear between the known values of each cell and constant outside them.
+
+    ``factor`` may depend on the run.  Known and wanted places of a cell are sorted together, so nothing is joined by run.
+    """
+    each = cells.withColumn("factor", factor if isinstance(factor, Column) else F.lit(float(factor)))
+    lengths = each.groupBy("run").agg((F.max("idx") + 1).alias("n"), F.first("factor").alias("factor")).withColumn("m", F.greatest(F.lit(4), F.floor(F.col("n") / F.col("factor"))).cast("long"))
+    wanted = cells.select("run", "cell").distinct().join(lengths, "run").select("run", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("to"), (F.col("n") - 1).alias("last"), "m")
+    asked = wanted.select("run", "cell", "to", (F.col("to") * F.col("last") / (F.col("m") - 1)).alias("at"), F.lit(None).cast("double").alias("value"))
+    known = cells.select("run", "cell", F.lit(None).cast("long").alias("to"), F.col("idx").cast("double").alias("at"), "value")
+    order = Window.partitionBy("run", "cell").orderBy("at", F.col("to").asc_nulls_first())
+    point = F.when(F.col("to").isNull(), F.struct("at", "value"))
+    placed = known.unionByName(asked).withColumns(
+        {"left": F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "right": F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))}
+    )
+    share = F.try_divide(F.col("at") - F.col("left.at"), F.col("right.at") - F.col("left.at"))
+    line = F.col("left.value") + share * (F.col("right.value") - F.col("left.value"))
+    return with_derivatives(placed.filter("to IS NOT NULL").select("run", F.col("to").alias("idx"), "cell", F.coalesce(line, "left.value", "right.value").alias("value")), fps)
 
 
 def perturbed(cells: DataFrame, deviation: float, smoothing: int, seed: int, fps: float = 30.0) -> DataFrame:
@@ -131,6 +141,59 @@ def occluded(cells: DataFrame, rate: float, seed: int) -> DataFrame:
     return marked.filter(~gone).drop("point")
 
 
+@dataclass(frozen=True)
+class AugmentConfig:
+    """How strong each change is, and how probable; the defaults are fixed values."""
+
+    stretch: tuple[float, float] = (0.7, 1.3)
+    stretch_chance: float = 0.8
+    angle_deviation: float = 5.0
+    angle_smoothing: int = 5
+    angle_chance: float = 0.8
+    proportions: tuple[float, float] = (0.85, 1.15)
+    proportions_chance: float = 0.6
+    position_deviation: float = 0.02
+    position_chance: float = 0.8
+    mirror_chance: float = 0.5
+    dropout_rate: float = 0.05
+    dropout_chance: float = 0.3
+    fps: float = 30.0
+
+
+#: Variants of one run at most; a variant's run number is the run's times this and its own.
+VARIANTS = 1_000_000
+
+
+def variants(cells: DataFrame, counts: DataFrame, seed: int, config: AugmentConfig | None = None) -> DataFrame:
+    """cells of ``count`` variants of each run in ``counts`` (run, count), numbered run * ``VARIANTS`` + 0, 1, ...
+
+    Each variant takes, by its own draws and in this order: stretching in time, noise on angles, other proportions, noise on positions,
+    exchange of left and right, and loss of keypoints.  The same seed gives the same variants, however the rows lie.
+    """
+    config = config or AugmentConfig()
+    copies = counts.filter("count > 0").select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("nth"))
+    now = cells.join(copies, "run").select((F.col("run") * VARIANTS + F.col("nth")).alias("run"), "idx", "cell", "value")
+    low, high = config.stretch
+    factor = low + uniform(seed + 1, "run") * (high - low)
+    steps = (
+        (config.stretch_chance, lambda df: stretched(df, factor, config.fps)),
+        (config.angle_chance, lambda df: perturbed(df, config.angle_deviation, config.angle_smoothing, seed + 20, config.fps)),
+        (config.proportions_chance, lambda df: reproportioned(df, *config.proportions, seed + 30)),
+        (config.position_chance, lambda df: blurred(df, config.position_deviation, seed + 40)),
+        (config.mirror_chance, mirrored),
+        (config.dropout_chance, lambda df: occluded(df, config.dropout_rate, seed + 60)),
+    )
+    for nth, (chance, change) in enumerate(steps):
+        if chance <= 0:
+            continue
+        # the steps split the rows by run, so what is written once is not made again for either part
+        now = storage.cut(now)
+        drawn = uniform(seed + 100 + nth, "run") < chance
+        changed = change(now.filter(drawn)).select("run", "idx", "cell", "value")
+        now = changed if chance >= 1 else changed.unionByName(now.filter(~drawn))
+    return now
+
+
 def even_split(references: DataFrame, total: int) -> DataFrame:
     """id, count: ``total`` variants dealt evenly over the references, the first in order taking what is left over."""
     # one row a reference; their number is counted, and the places come from one window over ids

@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motionframe.functions import geometry as g
 from motionframe.operators import matching, rotation
 from motionframe.operators.intervals import within
 from motionframe.operators.sequence import by_frame
+from motionframe.sources import storage
 
 _SEGMENT = ["run", "start_idx", "end_idx"]
 
@@ -151,6 +153,53 @@ def entry(segments: DataFrame, frames: DataFrame) -> DataFrame:
     return of.select(*_SEGMENT, F.when(F.col("start_idx") < 5, "standing").when(running, "running").when(wall, "wall").otherwise("standing").alias("entry"))
 
 
+def physics(segments: DataFrame, frames: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Everything that tells what was turned in each segment: flips and twists (snapped, raw and in degrees), axis and its angle, direction, shape, entry.
+
+    ``frames`` has orientations, places and joints, ``tracked`` is :func:`rotation.tracking` of them.  The twist is what is left of the
+    turning along the body's axis once the solid angle that the axis swept is taken off.  A turn with twist is off axis if the tilt in its
+    faster half of frames is middling and never near the vertical.
+    """
+    keys = storage.cut(segments.select(*_SEGMENT))
+    shown = rotation.swept(tracked.select("run", "idx", "ux", "uy", "uz", "tilt", "tilt_cumulative", "twist_cumulative", "rate")).drop("ux", "uy", "uz")
+    # every part reads the frames with all that is known of them, so they are put together once
+    whole = storage.cut(turned_vectors(frames).join(shown, ["run", "idx"]))
+    inside = frames_of(keys, whole.select("run", "idx", "tilt", "tilt_cumulative", "twist_cumulative", "rate", "swept"))
+    of = inside.groupBy(*_SEGMENT).agg(
+        (F.max_by("tilt_cumulative", "idx") - F.min_by("tilt_cumulative", "idx")).alias("flip_deg"),
+        F.abs(F.max_by("twist_cumulative", "idx") - F.min_by("twist_cumulative", "idx")).alias("twist_deg_raw"),
+        F.abs(F.degrees(F.sum(F.when(F.col("idx") > F.col("start_idx"), F.col("swept")).otherwise(0.0)))).alias("phase_deg"),
+        F.max("tilt").alias("max_tilt"),
+        F.greatest(F.median("rate"), F.lit(5.0)).alias("level"),
+        F.avg("tilt").alias("any_mean"),
+        F.median("tilt").alias("any_median"),
+    )
+    fast = inside.join(of.select(*_SEGMENT, "level"), _SEGMENT).filter(F.col("rate") > F.col("level")).groupBy(*_SEGMENT).agg(F.avg("tilt").alias("peak_mean"), F.median("tilt").alias("peak_median"))
+    named = of.join(fast, _SEGMENT, "left")
+    for part in (flip_axis(keys, whole).withColumnRenamed("axis", "flip_axis"), direction(keys, whole), shape(keys, whole), entry(keys, whole)):
+        named = named.join(part, _SEGMENT)
+    counted = named.withColumn("twist_deg", F.greatest(F.lit(0.0), F.col("twist_deg_raw") - F.col("phase_deg"))).withColumns({"flip_raw": F.col("flip_deg") / 360, "twist_raw": F.col("twist_deg") / 360, "inverted": F.col("max_tilt") > 120})
+    middle, mean = F.coalesce("peak_median", "any_median"), F.coalesce("peak_mean", "any_mean")
+    spin = (F.col("flip_raw") < 0.2) & (F.col("twist_raw") > 0.5)
+    cork = F.col("inverted") & (F.col("twist_raw") > 0.3) & (middle > 30) & (middle < 80) & (F.col("max_tilt") < 155)
+    plain = F.col("inverted") & (F.col("twist_raw") < 0.3)
+    snapped = lambda c: F.round(F.expr(g.snap_to_half(c)), 1)
+    return counted.select(
+        *_SEGMENT,
+        snapped("flip_raw").alias("flips"),
+        snapped("twist_raw").alias("twists"),
+        F.round("flip_raw", 2).alias("flips_raw"),
+        F.round("twist_raw", 2).alias("twists_raw"),
+        *(F.round(c, 1).alias(c) for c in ("flip_deg", "twist_deg", "twist_deg_raw", "phase_deg", "max_tilt")),
+        F.when(spin, "longitudinal").when(plain, F.col("flip_axis")).when(cork, "off_axis").otherwise("lateral").alias("axis"),
+        F.round(F.when(spin, 0.0).when(~plain & cork, mean).otherwise(90.0), 1).alias("axis_angle"),
+        "direction",
+        "shape",
+        "entry",
+        "inverted",
+    )
+
+
 def axis_class(x: Column, y: Column, z: Column) -> Column:
     """The named axis that a rotation vector follows, tried in the order lateral, sagittal, longitudinal."""
     norm = F.sqrt(x * x + y * y + z * z)

@@ -50,14 +50,19 @@ def tracking(frames: DataFrame) -> DataFrame:
     )
 
 
-def geometric_phase(tracked: DataFrame) -> DataFrame:
-    """run, phase: the solid angle in degrees that the body's up axis sweeps around the vertical."""
+def swept(tracked: DataFrame) -> DataFrame:
+    """Adds swept: the solid angle between the body's up axis in the frame before, in this one, and the vertical; 0 at the first frame."""
     order = by_frame()
-    v = tracked.select("run", "idx", "ux", "uy", "uz", *(F.lag(f"u{a}").over(order).alias(f"b{a}") for a in "xyz"))
+    v = tracked.withColumns({f"b{a}": F.lag(f"u{a}").over(order) for a in "xyz"})
     cross = F.col("bz") * F.col("ux") - F.col("bx") * F.col("uz")
     below = 1 + F.col("by") + F.col("uy") + F.col("bx") * F.col("ux") + F.col("by") * F.col("uy") + F.col("bz") * F.col("uz")
     part = F.when(F.abs(below) > 1e-10, 2 * F.atan2(cross, below)).otherwise(0.0)
-    return v.groupBy("run").agg(F.degrees(F.sum(F.coalesce(part, F.lit(0.0)))).alias("phase"))
+    return v.withColumn("swept", F.coalesce(part, F.lit(0.0))).drop("bx", "by", "bz")
+
+
+def geometric_phase(tracked: DataFrame) -> DataFrame:
+    """run, phase: the solid angle in degrees that the body's up axis sweeps around the vertical."""
+    return swept(tracked).groupBy("run").agg(F.degrees(F.sum("swept")).alias("phase"))
 
 
 def inversion_crossings(tracked: DataFrame, level: float = 90.0) -> DataFrame:

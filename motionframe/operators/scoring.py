@@ -49,11 +49,22 @@ def suppress_overlaps(detections: DataFrame, overlap: float = 0.5) -> DataFrame:
     return grouped.select("run", "trick_id", F.explode(kept).alias("k")).select("run", "trick_id", "k.detection_id", (-F.col("k.rank")).alias("confidence"), F.col("k.s").alias("start_ms"), F.col("k.e").alias("end_ms"))
 
 
-def top_scored(detections: DataFrame, difficulty: DataFrame, least: float = 0.5, n: int = 3) -> DataFrame:
-    """run, rank, detection_id, weighted, total: the hardest ``n`` detections of each run with their summed score."""
+def ranked(detections: DataFrame, difficulty: DataFrame, least: float = 0.5, n: int = 3) -> DataFrame:
+    """run, rank, detection_id, trick_id, confidence, difficulty, weighted: the hardest ``n`` detections of each run, overlaps suppressed."""
     known = suppress_overlaps(detections.filter(F.col("confidence") >= least)).join(difficulty, "trick_id", "left").withColumn("difficulty", F.coalesce("difficulty", F.lit(0.0)))
     order = Window.partitionBy("run").orderBy(F.col("difficulty").desc(), F.col("confidence").desc(), "detection_id")
-    best = known.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n).withColumn("weighted", F.round(F.col("difficulty") * F.col("confidence"), 3))
+    best = known.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= n)
+    return best.select("run", "rank", "detection_id", "trick_id", "confidence", "difficulty", F.round(F.col("difficulty") * F.col("confidence"), 3).alias("weighted"))
+
+
+def totals(top: DataFrame) -> DataFrame:
+    """run, total and max_possible of :func:`ranked` detections: what they score, and would score if they were certain."""
+    return top.groupBy("run").agg(F.round(F.sum("weighted"), 3).alias("total"), F.round(F.sum("difficulty"), 3).alias("max_possible"))
+
+
+def top_scored(detections: DataFrame, difficulty: DataFrame, least: float = 0.5, n: int = 3) -> DataFrame:
+    """run, rank, detection_id, weighted, total: the hardest ``n`` detections of each run with their summed score."""
+    best = ranked(detections, difficulty, least, n)
     return best.select("run", "rank", "detection_id", "weighted", F.sum("weighted").over(Window.partitionBy("run")).alias("total"))
 
 

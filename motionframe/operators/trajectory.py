@@ -47,6 +47,80 @@ def dtw_confidence(pairs: DataFrame, scale: float = SCALE) -> DataFrame:
     return pairs.select("query", "reference", "a", "b").mapInPandas(run, "query long, reference long, confidence double")
 
 
+def _envelope_bound(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """No more than the warped distance: each frame of ``a`` is at least as far from all it may meet as from their box."""
+    off = np.maximum(np.maximum(low - a, a - high), 0.0)
+    return float(np.sqrt((off * off).sum(axis=1)).sum())
+
+
+def _envelopes(b: np.ndarray, n: int, band: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` frames the least and largest values of the frames of ``b`` that the band lets it meet."""
+    reach = max(1, int(band * max(n, len(b))))
+    spans = [(max(0, i - reach), min(len(b), i + reach + 1)) for i in range(n)]
+    return np.array([b[s:e].min(axis=0) for s, e in spans]), np.array([b[s:e].max(axis=0) for s, e in spans])
+
+
+def nearest_reference(query: np.ndarray, references: list[tuple[object, np.ndarray]], scale: float = SCALE, band: float = BAND) -> tuple[object, float, int]:
+    """The reference of the highest confidence, the first of equals, its confidence, and how many were compared in full.
+
+    References are tried in the order of a lower bound of their distance, until the bound alone rules the rest out.
+    """
+    bounds = []
+    for key, b in references:
+        size = max(len(query), len(b), 1)
+        reach = max(1, int(band * max(len(query), len(b))))
+        possible = len(query) and len(b) and abs(len(query) - len(b)) <= reach
+        bound = _envelope_bound(query, *_envelopes(b, len(query), band)) if possible else float("inf")
+        # a little is left for rounding, so a bound never rules out an equal
+        bounds.append((max(0.0, 1.0 - bound / size / scale) * (1 + 1e-12) + 1e-12, key, b, size))
+    best, compared = (None, -1.0), 0
+    for most, key, b, size in sorted(bounds, key=lambda x: -x[0]):
+        if most < best[1]:
+            break
+        compared += 1
+        sure = max(0.0, 1.0 - warped_distance(query, b, band) / size / scale)
+        if sure > best[1] or sure == best[1] and key < best[0]:
+            best = (key, sure)
+    return best[0], best[1], compared
+
+
+#: Runs of a block; two blocks meet in one task.
+BLOCK = 64
+
+
+def _blocks(runs: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``name`` and its runs (run, trajectory) as rows of ``BLOCK`` runs or so; the number of blocks."""
+    n = max(1, -(-runs.count() // BLOCK))
+    return runs.withColumn(name, F.pmod(F.xxhash64("run"), F.lit(n))), n
+
+
+def best_by_warping(queries: DataFrame, references: DataFrame, least: float = 0.3, scale: float = SCALE, other_runs: bool = False) -> DataFrame:
+    """query, reference, confidence of the surest of ``references`` for each of ``queries`` (run, trajectory), if it reaches ``least``.
+
+    Queries meet the references a block at a time: the references' block is the key, each block of queries goes to every one, and within
+    a task envelopes rule most of them out.  With ``other_runs`` a query does not meet the reference of its own run.
+    """
+    asked, n_query = _blocks(queries, "query_block")
+    known, n_known = _blocks(references, "known_block")
+    spread = asked.select("query_block", F.lit(True).alias("asks"), "run", "trajectory", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_known - 1).cast("long"))).alias("known_block"))
+    held = known.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))).alias("query_block"), F.lit(False).alias("asks"), "run", "trajectory", "known_block")
+
+    def met(frame: pd.DataFrame) -> pd.DataFrame:
+        shown = [np.array([list(f) for f in t], dtype=float).reshape(len(t), -1) for t in frame["trajectory"]]
+        asks = frame["asks"].to_numpy(bool)
+        runs = frame["run"].tolist()
+        there = [(runs[k], shown[k]) for k in np.flatnonzero(~asks)]
+        found = []
+        for k in np.flatnonzero(asks):
+            own = [r for r in there if r[0] != runs[k]] if other_runs else there
+            if own:
+                found.append((runs[k], *nearest_reference(shown[k], own, scale)[:2]))
+        return pd.DataFrame(found, columns=["query", "reference", "confidence"])
+
+    met_rows = spread.unionByName(held).groupBy("query_block", "known_block").applyInPandas(met, "query long, reference long, confidence double")
+    return best_reference(met_rows, least)
+
+
 def best_reference(compared: DataFrame, least: float = 0.3) -> DataFrame:
     """query, reference, confidence of each query's surest reference, the first of equals, if it reaches ``least``."""
     best = compared.groupBy("query").agg(F.max_by("reference", F.struct("confidence", -F.col("reference"))).alias("reference"), F.max("confidence").alias("confidence"))

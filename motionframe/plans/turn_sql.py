@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from motionframe.plans.further_sql import _CROSS, _description
+from motionframe import further_queries
+from motionframe.plans import further_sql
+from motionframe.plans.further_sql import _CROSS, _description, _rules_sql
 from motionframe.plans.sql import POSE, SIGNAL, TRACK, merged
 
 # lengths at ten frames a second: joining gap 6, least length 3, padding 3, pause 1, distance of cuts 5, most 35
@@ -69,6 +71,36 @@ _SHAPE = """CASE WHEN knee > 70 AND hip > 50 THEN least((knee - 70) / 50 * (hip
 CASE WHEN knee < 50 AND hip < 40 THEN least((50 - knee) / 50 * (40 - hip) / 40, 1e0) ELSE 0e0 END AS base, CASE WHEN shoulder > 40 THEN least((shoulder - 40) / 60, 1e0) ELSE 0e0 END AS arms"""
 
 
+def _physics() -> str:
+    """Axis, direction, shape and entry are the SQL of their own queries, over these segments instead of stretches."""
+    own = further_sql.oracle_sql(further_queries.RULES)
+    stretches = "seg AS (SELECT run, idx // 20 * 20 AS start_idx, max(idx) AS end_idx FROM rot GROUP BY run, idx // 20 * 20)"
+    parts = ", ".join(f"p_{k} AS ({own[f'segment_{k}'].replace(stretches, 'seg AS (SELECT run, start_idx, end_idx FROM hys)')})" for k in ("axis", "direction", "shape", "entry"))
+    snap = lambda x: f"round(CASE WHEN abs({x} - round({x} * 2) / 2) <= 0.2 THEN round({x} * 2) / 2 ELSE {x} END, 1)"
+    on = "USING (run, start_idx, end_idx)"
+    return f"""WITH {HYSTERESIS}, {parts},
+swp AS (SELECT run, idx, tilt, rate, tilt_cumulative, twist_cumulative, coalesce(CASE WHEN abs(d) > 1e-10 THEN 2e0 * atan2(bz * ux - bx * uz, d) ELSE 0e0 END, 0e0) AS s FROM (SELECT *, 1e0 + by_ + uy + bx * ux + by_ * uy + bz * uz AS d FROM trk)),
+ins AS (SELECT h.start_idx, h.end_idx, s.*, median(rate) OVER (PARTITION BY s.run, h.start_idx, h.end_idx) AS mid FROM hys h JOIN swp s ON s.run = h.run AND s.idx BETWEEN h.start_idx AND h.end_idx),
+agg AS (SELECT run, start_idx, end_idx, max_by(tilt_cumulative, idx) - min_by(tilt_cumulative, idx) AS fd, abs(max_by(twist_cumulative, idx) - min_by(twist_cumulative, idx)) AS tr, abs(degrees(sum(CASE WHEN idx > start_idx THEN s ELSE 0e0 END))) AS ph, max(tilt) AS mt,
+  coalesce(median(tilt) FILTER (WHERE rate > greatest(mid, 5e0)), median(tilt)) AS med, coalesce(avg(tilt) FILTER (WHERE rate > greatest(mid, 5e0)), avg(tilt)) AS avg_ FROM ins GROUP BY ALL),
+cnt AS (SELECT *, greatest(0e0, tr - ph) AS td, fd / 360 AS f, greatest(0e0, tr - ph) / 360 AS t FROM agg),
+knd AS (SELECT *, f < 0.2 AND t > 0.5 AS spin, mt > 120 AND t < 0.3 AS plain, mt > 120 AND t > 0.3 AND med > 30 AND med < 80 AND mt < 155 AS cork FROM cnt)
+SELECT run, start_idx, end_idx, {snap('f')} AS flips, {snap('t')} AS twists, round(f, 2) AS flips_raw, round(t, 2) AS twists_raw, round(fd, 1) AS flip_deg, round(td, 1) AS twist_deg, round(tr, 1) AS twist_deg_raw, round(ph, 1) AS phase_deg, round(mt, 1) AS max_tilt,
+  CASE WHEN spin THEN 'longitudinal' WHEN plain THEN axis WHEN cork THEN 'off_axis' ELSE 'lateral' END AS axis, CASE WHEN spin THEN 0e0 WHEN NOT plain AND cork THEN round(avg_, 1) ELSE 90e0 END AS axis_angle, direction, shape, entry, mt > 120 AS inverted
+FROM knd JOIN p_axis {on} JOIN p_direction {on} JOIN p_shape {on} JOIN p_entry {on}"""
+
+
+def _analysis(rest: str) -> str:
+    seen = " + ".join(f"c{i}" for i in range(17))
+    worth = " ".join(f"WHEN '{t}' THEN {v}e0" for t, v in (("squat", 3.5), ("reach", 2.0), ("still", 1.25)))
+    return f"""WITH {_rules_sql(further_queries.RULES)}, mea AS (SELECT run, idx, ({seen}) / 17e0 AS mean FROM pose),
+qua AS (SELECT m.run, m.trick_id, coalesce(avg(mean), 0e0) AS q FROM mat m LEFT JOIN mea ON mea.run = m.run AND mea.idx BETWEEN start_idx AND end_idx GROUP BY ALL),
+ref AS (SELECT m.run, m.trick_id, round(least((0.4e0 * confidence + 0.2e0 * q) / (0.4e0 + 0.2e0), 1e0), 6) AS confidence, a.t_ms AS start_ms, b.t_ms AS end_ms FROM mat m JOIN qua USING (run, trick_id) JOIN ang a ON a.run = m.run AND a.idx = m.start_idx JOIN ang b ON b.run = m.run AND b.idx = m.end_idx),
+det AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY start_ms, end_ms, trick_id) AS detection_id, trick_id, confidence, start_ms, end_ms FROM ref WHERE confidence >= 0.3),
+bes AS (SELECT *, CASE trick_id {worth} END AS difficulty FROM det WHERE confidence >= 0.3 QUALIFY row_number() OVER (PARTITION BY run ORDER BY difficulty DESC, confidence DESC, detection_id) <= 2),
+scr AS (SELECT run, round(sum(round(difficulty * confidence, 3)), 3) AS total, round(sum(difficulty), 3) AS max_possible FROM bes GROUP BY run) {rest}"""
+
+
 def oracle_sql() -> dict[str, str]:
     turned = "ax * ax + ay * ay + az * az > 0.01"
     axis = lambda a: f"CASE WHEN bool_or(airborne) THEN avg(a{a}) FILTER (WHERE airborne AND {turned}) ELSE avg(a{a}) FILTER (WHERE {turned}) END AS m{a}"
@@ -107,5 +139,11 @@ fil AS (SELECT run, idx, n, {', '.join(line(c) for c in ('x0', 'y0', 'x1', 'y1')
 smo AS (SELECT run, idx, n, sum((x0 + x1) / 2) {wide} AS cx, sum((y0 + y1) / 2) {wide} AS cy, sum(greatest(greatest(x1 - x0, y1 - y0) * 1.8e0, 400e0)) {wide} AS side FROM fil),
 mid AS (SELECT run, median(side) AS m FROM smo GROUP BY run), hal AS (SELECT s.*, least(greatest(side, m * 0.8e0), m * 1.2e0) / 2 AS h FROM smo s JOIN mid USING (run))
 SELECT run, idx, {part(x0, '0e0', 'x0')}, {part(y0, '0e0', 'y0')}, {part(x1, '1280e0', 'x1')}, {part(y1, '720e0', 'y1')} FROM hal""",
+        "segment_physics": _physics(),
+        "analysis_detections": _analysis("SELECT run, detection_id, trick_id, round(confidence, 4) AS confidence, round(start_ms, 4) AS start_ms, round(end_ms, 4) AS end_ms, (run, trick_id) IN (SELECT (run, trick_id) FROM bes) AS is_top3 FROM det"),
+        "analysis_scores": _analysis("SELECT run, total, max_possible FROM scr"),
+        "analysis_audit": _analysis("""SELECT run, row_number() OVER (PARTITION BY run ORDER BY ms NULLS LAST, detection_id) AS nth, kind, message FROM (
+  SELECT run, 'detection' AS kind, start_ms AS ms, detection_id, format('{:02d}:{:02d} {} ({:.2f})', CAST(floor(start_ms / 1000) AS BIGINT) // 60, CAST(floor(start_ms / 1000) AS BIGINT) % 60, trick_id, round(confidence, 2)) AS message FROM det
+  UNION ALL SELECT r.run, 'score', NULL, NULL, format('total {:.2f}', round(coalesce(total, 0e0), 2)) FROM (SELECT DISTINCT run FROM pose) r LEFT JOIN scr USING (run))"""),
         "turn_axis": f"WITH {HYSTERESIS}, {_description('x AS (SELECT 1)').removeprefix(TRACK + ',')}, ins AS (SELECT s.start_idx, s.end_idx, b.* FROM hys s JOIN basis b ON b.run = s.run AND b.idx BETWEEN s.start_idx AND s.end_idx), st AS (SELECT * FROM ins WHERE idx = start_idx), mi AS (SELECT * FROM ins QUALIFY row_number() OVER (PARTITION BY run, start_idx, end_idx ORDER BY abs(tilt - 45e0), idx) = 1), cr AS (SELECT st.*, {_CROSS.format(a='st', b='mi')} FROM st JOIN mi USING (run, start_idx, end_idx)) SELECT run, start_idx, end_idx, CASE WHEN sqrt(cx * cx + cy * cy + cz * cz) > 0.1 AND abs(cx * rx + cy * ry + cz * rz) <= abs(cx * fx + cy * fy + cz * fz) THEN 'sagittal' ELSE 'lateral' END AS axis FROM cr",
     }

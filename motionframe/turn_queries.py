@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motionframe import further_queries
+from motionframe.operators import analysis, boxes, describe, kinematics, rotation, rules, turns
 from motionframe.operators import biomechanics as bio
-from motionframe.operators import boxes, describe, rotation, turns
 from motionframe.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,5 +97,37 @@ def turn_axis(spark, d):
     return describe.flip_axis(_segments(spark, d), tilted)
 
 
+@_query
+def segment_physics(spark, d):
+    frames = _turns(spark, d)
+    return describe.physics(_segments(spark, d), frames, rotation.tracking(frames))
+
+
+#: What the tricks of the small rule catalog are worth, and how many detections of a run count.
+DIFFICULTY, COUNTED = (("squat", 3.5), ("reach", 2.0), ("still", 1.25)), 2
+
+
+def _analysis(spark, d):
+    poses = _poses(spark, d)
+    frames = kinematics.joint_angles(poses)
+    angles = rules.angle_rows(frames, ["left_knee", "right_knee", "left_shoulder", "spine"])
+    return analysis.analyze(frames, angles, poses, further_queries._rules(spark), spark.createDataFrame(DIFFICULTY, "trick_id string, difficulty double"), 0.3, COUNTED)
+
+
+@_query
+def analysis_detections(spark, d):
+    return _rounded(_analysis(spark, d).detections)
+
+
+@_query
+def analysis_scores(spark, d):
+    return _analysis(spark, d).scores
+
+
+@_query
+def analysis_audit(spark, d):
+    return _analysis(spark, d).audit
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
