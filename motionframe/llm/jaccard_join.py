@@ -213,12 +213,32 @@ def _component(labels: DataFrame | None, df: DataFrame, name: str) -> DataFrame:
     return df.join(labels.select(F.col("node").alias(name), F.col("component").alias(made)), name, "left").withColumn(made, F.coalesce(made, name))
 
 
+#: So often a point meets the pivot that it shares most regions with before the regions are divided.
+FIRST_MEETINGS = 2
+
+
+def _one_pivot_each(opened: DataFrame, turn: int) -> DataFrame:
+    """a, b: every point b and the one of its regions' pivots, the points of the least hash, that it shares most regions with."""
+    # by component first, so that what is joined already gives one pivot to all its regions
+    order = F.struct(F.xxhash64("component", F.lit(-1 - turn)), F.xxhash64("node", F.lit(-1 - turn)), "node")
+    pivots = opened.groupBy("bucket").agg(F.min_by(F.struct("node", "component"), order).alias("p"))
+    shared = opened.join(pivots, "bucket").filter(F.col("component") != F.col("p.component")).groupBy("node", F.col("p.node").alias("pivot")).agg(F.count("*").alias("regions"))
+    return shared.groupBy("node").agg(F.max_by("pivot", F.struct("regions", "pivot")).alias("a")).select("a", F.col("node").alias("b"))
+
+
 def components_of(rows: DataFrame, points: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame | None:
     """node, component of the points (node, n, text and sketch) that link with another in a region (bucket, node); None if no two link."""
     labels, wide = None, max(2 * percent - 100, 0)
     sizes = points.select("node", "n", *_SKETCHED)
     sizes = workspace.cut(sizes)
     rows = workspace.cut(buckets.distinct_buckets(rows).select("bucket", "node"))
+    # a large group of copies is in very many regions; first each point meets one pivot, so that most of the group is one component
+    for turn in range(FIRST_MEETINGS):
+        opened = buckets.open_rows(rows, labels)
+        if opened.isEmpty():
+            return labels
+        met = _may_be_near(_one_pivot_each(opened, turn), sizes, percent).select("a", "b")
+        labels = _merged(labels, workspace.cut(distances(met, points, width)).filter(F.col("shared") * 100 >= F.col("joined") * percent))
     for turn in itertools.count():  # ends, as pivots leave their regions and grow in number
         opened = buckets.open_rows(rows, labels)
         if opened.isEmpty():
