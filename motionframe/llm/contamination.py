@@ -194,19 +194,23 @@ def item_blocks(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORD
         yield Items(rows, window)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep_text: bool = True, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Adds n_words, spans (merged hit word ranges, with the byte range of each) and items to every row of ``docs``.
 
+    The tasks hold one block of the benchmark at a time; between blocks the rows are written to the shared folder.
+
     ``docs`` needs a string column ``text``; every other column passes through.  Without ``keep_text`` the text
     comes back null, which saves the way back from Python.
     """
     span = "struct<first_word:long,last_word:long,byte_start:long,byte_end:long>"
     out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast(f"array<{span}>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in item_blocks(benchmark, window)]
-    blocks = blocks or [docs.sparkSession.sparkContext.broadcast(Items([], window))]
-    for block in blocks:
-        out = _scanned(out, block, keep_text or block is not blocks[-1])
-    return out
+    context, shared = docs.sparkSession.sparkContext, None
+    for block in item_blocks(benchmark, window, block_words):
+        if shared is not None:  # the block before is done with, and its memory given back, before this one is sent
+            out = workspace.cut(_scanned(out, shared, True))
+            shared.destroy()
+        shared = context.broadcast(block)
+    return _scanned(out, shared or context.broadcast(Items([], window)), keep_text)
 
 
 def _scanned(docs: DataFrame, shared, keep_text: bool) -> DataFrame:
