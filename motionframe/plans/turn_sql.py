@@ -90,6 +90,23 @@ SELECT run, start_idx, end_idx, {snap('f')} AS flips, {snap('t')} AS twists, rou
 FROM knd JOIN p_axis {on} JOIN p_direction {on} JOIN p_shape {on} JOIN p_entry {on}"""
 
 
+def _planar(rest: str) -> str:
+    trunk = lambda a: f"({a}5 + {a}6 + {a}11 + {a}12) / 4e0"
+    vector = lambda a, b: f"[x{a} - x{b}, y{a} - y{b}]"
+    norm = lambda v: f"sqrt(list_dot_product({v}, {v}))"
+    bend = lambda a, b, c: f"degrees(acos(greatest(-1e0, least(1e0, list_dot_product({vector(a, b)}, {vector(c, b)}) / ({norm(vector(a, b))} * {norm(vector(c, b))} + 1e-8)))))"
+    return f"""WITH {POSE}, sho AS (SELECT run, idx, {trunk('x')} AS trunk_x, {trunk('y')} AS trunk_y, atan2(y0 - {trunk('y')}, x0 - {trunk('x')}) AS body_angle, abs(y5 - y6) AS lean, x5 - x6 AS across,
+  ({bend(11, 13, 15)} + {bend(12, 14, 16)}) / 2 AS knee, ({bend(5, 11, 13)} + {bend(6, 12, 14)}) / 2 AS hip FROM pose),
+stp AS (SELECT *, body_angle - lag(body_angle) OVER w AS step, across - lag(across) OVER w AS shift FROM sho WINDOW w AS {_W}),
+phy AS (SELECT *, coalesce(CASE WHEN step > pi() THEN step - 2 * pi() WHEN step < -pi() THEN step + 2 * pi() ELSE step END, 0e0) AS turn, sign(shift) AS way FROM stp),
+smo AS (SELECT run, idx, sum(abs(turn)) OVER (PARTITION BY run ORDER BY idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3e0 AS s FROM phy), lev AS (SELECT run, avg(s) + stddev_pop(s) AS level, max(idx) AS last FROM smo GROUP BY run),
+isl AS (SELECT run, min(idx) AS start_idx, max(idx) AS end_idx FROM (SELECT s.run, idx, idx - row_number() OVER (PARTITION BY s.run ORDER BY idx) AS place FROM smo s JOIN lev USING (run) WHERE s > level) GROUP BY run, place),
+{merged("isl", "start_idx", "end_idx", 3, "joi")}, air AS (SELECT j.run, greatest(0, start_idx - 2) AS start_idx, least(last, end_idx + 3) AS end_idx FROM joi j JOIN lev USING (run)),
+seg AS (SELECT * FROM air WHERE (end_idx - start_idx) / 10e0 > 0.25 AND (end_idx - start_idx) / 10e0 < 5),
+ins AS (SELECT g.start_idx, g.end_idx, p.*, quantile_cont(abs(turn), 0.7) OVER (PARTITION BY p.run, g.start_idx, g.end_idx) AS level, lag(way) OVER (PARTITION BY p.run, g.start_idx, g.end_idx ORDER BY idx) AS before FROM seg g JOIN phy p ON p.run = g.run AND p.idx BETWEEN g.start_idx AND g.end_idx),
+agg AS (SELECT run, start_idx, end_idx, sum(turn) AS turned, {', '.join(f"coalesce(avg({c}) FILTER (WHERE abs(turn) > level), avg({c})) AS {c}" for c in ('knee', 'hip', 'lean'))}, coalesce(avg(abs(shift)) FILTER (WHERE idx > start_idx), 0e0) AS twist_intensity, count(*) FILTER (WHERE idx >= start_idx + 2 AND way <> before) AS bends FROM ins GROUP BY ALL) {rest}"""
+
+
 def _analysis(rest: str) -> str:
     seen = " + ".join(f"c{i}" for i in range(17))
     worth = " ".join(f"WHEN '{t}' THEN {v}e0" for t, v in (("squat", 3.5), ("reach", 2.0), ("still", 1.25)))
@@ -140,6 +157,10 @@ smo AS (SELECT run, idx, n, sum((x0 + x1) / 2) {wide} AS cx, sum((y0 + y1) / 2)
 mid AS (SELECT run, median(side) AS m FROM smo GROUP BY run), hal AS (SELECT s.*, least(greatest(side, m * 0.8e0), m * 1.2e0) / 2 AS h FROM smo s JOIN mid USING (run))
 SELECT run, idx, {part(x0, '0e0', 'x0')}, {part(y0, '0e0', 'y0')}, {part(x1, '1280e0', 'x1')}, {part(y1, '720e0', 'y1')} FROM hal""",
         "segment_physics": _physics(),
+        "planar_frames": _planar("SELECT run, idx, " + ", ".join(f"round({c}, 4) + 0e0 AS {c}" for c in ("trunk_x", "trunk_y", "body_angle", "turn", "lean", "knee", "hip")) + " FROM phy"),
+        "planar_segments": _planar("SELECT run, start_idx, end_idx FROM seg"),
+        "planar_physics": _planar("""SELECT run, start_idx, end_idx, round((end_idx - start_idx) / 10e0, 3) AS seconds, round(degrees(abs(turned)), 3) AS degrees, round_even(degrees(abs(turned)) / 360, 1) AS flips, CASE WHEN turned > 0 THEN 'forward' ELSE 'backward' END AS direction,
+  CASE WHEN knee < 90 AND hip < 90 THEN 'tuck' WHEN knee > 140 AND hip < 100 THEN 'pike' WHEN knee > 140 AND hip > 140 THEN 'layout' ELSE 'open' END AS shape, round(knee, 3) AS knee, round(hip, 3) AS hip, round(twist_intensity, 3) AS twist_intensity, round_even(bends / 4, 1) AS twists, lean > 0.05 AS sideways, round(lean, 3) AS lean FROM agg"""),
         "analysis_detections": _analysis("SELECT run, detection_id, trick_id, round(confidence, 4) AS confidence, round(start_ms, 4) AS start_ms, round(end_ms, 4) AS end_ms, (run, trick_id) IN (SELECT (run, trick_id) FROM bes) AS is_top3 FROM det"),
         "analysis_scores": _analysis("SELECT run, total, max_possible FROM scr"),
         "analysis_audit": _analysis("""SELECT run, row_number() OVER (PARTITION BY run ORDER BY ms NULLS LAST, detection_id) AS nth, kind, message FROM (

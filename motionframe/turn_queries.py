@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionframe import further_queries
-from motionframe.operators import analysis, boxes, describe, kinematics, rotation, rules, turns
+from motionframe.operators import analysis, boxes, describe, kinematics, planar, rotation, rules, turns
 from motionframe.operators import biomechanics as bio
 from motionframe.sources import adapters
 
@@ -103,6 +103,23 @@ def segment_physics(spark, d):
     return describe.physics(_segments(spark, d), frames, rotation.tracking(frames))
 
 
+@_query
+def planar_frames(spark, d):
+    shown = planar.frame_physics(_poses(spark, d))
+    return _rounded(shown.select("run", "idx", "trunk_x", "trunk_y", "body_angle", "turn", "lean", "knee", "hip"))
+
+
+@_query
+def planar_segments(spark, d):
+    return planar.airborne(planar.frame_physics(_poses(spark, d)), FPS)
+
+
+@_query
+def planar_physics(spark, d):
+    shown = planar.frame_physics(_poses(spark, d))
+    return _rounded(planar.segment_physics(planar.airborne(shown, FPS), shown, FPS), 3)
+
+
 #: What the tricks of the small rule catalog are worth, and how many detections of a run count.
 DIFFICULTY, COUNTED = (("squat", 3.5), ("reach", 2.0), ("still", 1.25)), 2
 
