@@ -157,6 +157,13 @@ smo AS (SELECT run, idx, n, sum((x0 + x1) / 2) {wide} AS cx, sum((y0 + y1) / 2)
 mid AS (SELECT run, median(side) AS m FROM smo GROUP BY run), hal AS (SELECT s.*, least(greatest(side, m * 0.8e0), m * 1.2e0) / 2 AS h FROM smo s JOIN mid USING (run))
 SELECT run, idx, {part(x0, '0e0', 'x0')}, {part(y0, '0e0', 'y0')}, {part(x1, '1280e0', 'x1')}, {part(y1, '720e0', 'y1')} FROM hal""",
         "segment_physics": _physics(),
+        "training_tensors": further_sql.oracle_sql(further_queries.RULES)["feature_cells"].replace("SELECT run, idx, cell, round(", ", nor AS (SELECT run, idx, cell, ").replace(", 4) AS value FROM cells", " AS value FROM cells)") + """,
+ask AS (SELECT k.run, cell, s AS step, s * last / 63e0 AS pos FROM (SELECT DISTINCT run, cell FROM nor) k JOIN (SELECT run, max(idx) AS last FROM nor GROUP BY run) USING (run), unnest(range(64)) AS t(s)),
+lef AS (SELECT a.*, n.idx AS li, n.value AS lv FROM ask a ASOF LEFT JOIN nor n ON n.run = a.run AND n.cell = a.cell AND a.pos >= n.idx), rig AS (SELECT a.*, n.idx AS ri, n.value AS rv FROM lef a ASOF LEFT JOIN nor n ON n.run = a.run AND n.cell = a.cell AND a.pos <= n.idx),
+val AS (SELECT run, cell, step, CASE WHEN lv IS NULL THEN rv WHEN rv IS NULL OR ri = li THEN lv ELSE lv + (pos - li) / (ri - li) * (rv - lv) END AS v FROM rig),
+ful AS (SELECT r.run, s, c, coalesce(v, 0e0) AS v FROM (SELECT DISTINCT run FROM nor) r CROSS JOIN unnest(range(64)) AS t(s) CROSS JOIN unnest(range(75)) AS u(c) LEFT JOIN val ON val.run = r.run AND val.step = s AND val.cell = c)
+SELECT f.run, f.s * 75 + f.c AS place, round(f.v, 3) + 0e0 AS flat, round(g.v, 3) + 0e0 AS channels FROM ful f JOIN ful g ON g.run = f.run AND g.c * 64 + g.s = f.s * 75 + f.c""",
+        "seeded_split": "SELECT c_custkey AS id, c_mktsegment, row_number() OVER (ORDER BY md5('42:' || c_custkey)) - 1 AS place, row_number() OVER (ORDER BY md5('42:' || c_custkey)) - 1 >= count(*) OVER () - CAST(floor(count(*) OVER () * 0.15e0) AS BIGINT) AS held_out FROM customer",
         "planar_frames": _planar("SELECT run, idx, " + ", ".join(f"round({c}, 4) + 0e0 AS {c}" for c in ("trunk_x", "trunk_y", "body_angle", "turn", "lean", "knee", "hip")) + " FROM phy"),
         "planar_segments": _planar("SELECT run, start_idx, end_idx FROM seg"),
         "planar_physics": _planar("""SELECT run, start_idx, end_idx, round((end_idx - start_idx) / 10e0, 3) AS seconds, round(degrees(abs(turned)), 3) AS degrees, round_even(degrees(abs(turned)) / 360, 1) AS flips, CASE WHEN turned > 0 THEN 'forward' ELSE 'backward' END AS direction,

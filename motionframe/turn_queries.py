@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motionframe import further_queries
-from motionframe.operators import analysis, boxes, describe, kinematics, planar, rotation, rules, turns
+from motionframe.operators import analysis, boxes, describe, features, kinematics, planar, rotation, rules, training, turns
 from motionframe.operators import biomechanics as bio
 from motionframe.sources import adapters
 
@@ -120,6 +120,19 @@ def planar_physics(spark, d):
     return _rounded(planar.segment_physics(planar.airborne(shown, FPS), shown, FPS), 3)
 
 
+@_query
+def training_tensors(spark, d):
+    cells = features.normalised(features.frame_rows(_poses(spark, d)))
+    made = training.tensors(cells)
+    return _rounded(made.select("run", F.posexplode(F.arrays_zip("flat", "channels")).alias("place", "v")).select("run", F.col("place").cast("long").alias("place"), F.col("v.flat").alias("flat"), F.col("v.channels").alias("channels")), 3)
+
+
+@_query
+def seeded_split(spark, d):
+    rows = adapters.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
+    return training.tail_split(training.shuffled(rows, "id", 42), 0.15)
+
+
 #: What the tricks of the small rule catalog are worth, and how many detections of a run count.
 DIFFICULTY, COUNTED = (("squat", 3.5), ("reach", 2.0), ("still", 1.25)), 2
 
