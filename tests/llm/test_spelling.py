@@ -72,8 +72,7 @@ def texts(seed, alphabet, n_words=60, edits=6):
     return [(k, " ".join(pool[k::40])) for k in range(40)]
 
 
-@pytest.mark.parametrize("large", [spelling.LARGE, 3])
-@pytest.mark.parametrize("alphabet", ["ab", "abcdéÿ÷Z"])
+@pytest.mark.parametrize(("large", "alphabet"), [(spelling.LARGE, "abcdéÿ÷Z"), (3, "ab")])
 def test_variants_equal_brute_force_also_when_groups_are_divided(spark, large, alphabet):
     rows = texts(len(alphabet), alphabet)
     rows += [(None, rows[0][1]), (None, None), (1, ""), (2, "1234567 ,.- 日本語日本語日本"), rows[3], rows[3], (5, "x" * 30_000 + " " + "x" * 29_999), (6, "x" * 30_000 + " " + "x" * 29_999)]
