@@ -1,7 +1,7 @@
 """Personal data by weak supervision, in DataFrame operations.
 
 Patterns propose candidate spans: the four base kinds, and weaker kinds (local phone numbers, social security
-numbers, titled or known names, long keys and tokens).  Three labelers vote on every candidate or abstain: a regex labeler on its exact
+numbers, names of two words, long keys and tokens).  Three labelers vote on every candidate or abstain: a regex labeler on its exact
 shape, a gazetteer labeler on what it holds (first names, card issuers, reserved networks, top-level domains) and
 a context labeler on the cue words before it.  The vote patterns of all candidates, counted in Spark, train a
 label model by expectation-maximisation; its posteriors train the final classifier, a logistic regression over
@@ -75,7 +75,8 @@ WEAK = (
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"(?i)\b(?:ssn|social security)\b", r"(?i)\b(?:part|order|sku|model)\b"),
     Kind(
         "name",
-        r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra)\b|(?i:my name is|born)",
+        # what every match holds, so that a name without a title is proposed as well
+        r"(?<![A-Za-z])[A-Z][a-z]{1,20} [A-Z][a-z]",
         r"(?<![A-Za-z])[A-Z][a-z]{1,20} [A-Z][a-z]{1,30}(?![A-Za-z])",
         r"(?:\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra)\.? |(?i:my name is|i am|signed|by|born) )\z",
     ),

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from motionframe.llm import pii
 
@@ -73,5 +74,24 @@ def test_keys_and_tokens_are_spans_and_long_words_are_not(spark):
     assert found[1] == ("secret:13:53", 1) and found[2] == ("", 0) and found[3] == ("", 0)
 
 
+def test_names_are_proposed_in_texts_without_a_title(spark):
+    rows = [(1, "signed James Smith, at the end"), (2, "it was Mary Jones who came"), (3, "we went to New Place today")]
+    docs = spark.createDataFrame(rows + [(40 + k, "mail a@b.com") for k in range(20)], "doc_id long, text string")
+    proposed = {(r.doc_id, r.match) for r in pii.candidates(pii._texts(docs)).filter("kind = 'name'").collect()}
+    assert proposed == {(1, "James Smith"), (2, "Mary Jones"), (3, "New Place")}
+    found = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert found[1] == "name:7:18" and found[2] == "name:7:17"
+
+
+@pytest.mark.parametrize("kind", pii.WEAK, ids=lambda k: k.name)
+def test_no_match_of_an_added_kind_fails_the_cheap_test(spark, kind):
+    rng = random.Random(5)
+    pieces = [*PIECES, "Ann Lee", "McAnn Lee", "Éva Kis", "555-0187", "555 123-4567", "a1" * 16, "-" * 31 + "1", "_"]
+    made = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 8))) for _ in range(1500)]
+    texts = spark.createDataFrame([(t,) for t in made], "text string")
+    matched = texts.filter(F.size(F.regexp_extract_all("text", F.lit(kind.pattern), F.lit(0))) > 0)
+    assert matched.count() > 0 and matched.filter(~F.col("text").rlike(kind.test)).count() == 0
+
+
 def test_empty_table(spark):
     assert pii.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
