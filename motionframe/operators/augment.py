@@ -100,10 +100,11 @@ def stretched(cells: DataFrame, factor: float | Column, fps: float = 30.0) -> Da
     wanted = cells.select("run", "cell").distinct().join(lengths, "run").select("run", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("to"), (F.col("n") - 1).alias("last"), "m")
     asked = wanted.select("run", "cell", "to", (F.col("to") * F.col("last") / (F.col("m") - 1)).alias("at"), F.lit(None).cast("double").alias("value"))
     known = cells.select("run", "cell", F.lit(None).cast("long").alias("to"), F.col("idx").cast("double").alias("at"), "value")
-    order = Window.partitionBy("run", "cell").orderBy("at", F.col("to").asc_nulls_first())
+    one = Window.partitionBy("run", "cell")
+    before, after = (order.rowsBetween(Window.unboundedPreceding, 0) for order in (one.orderBy("at", F.col("to").asc_nulls_first()), one.orderBy(F.col("at").desc(), F.col("to").desc_nulls_last())))
     point = F.when(F.col("to").isNull(), F.struct("at", "value"))
     placed = known.unionByName(asked).withColumns(
-        {"left": F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "right": F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))}
+        {"left": F.last(point, ignorenulls=True).over(before), "right": F.last(point, ignorenulls=True).over(after)}
     )
     share = F.try_divide(F.col("at") - F.col("left.at"), F.col("right.at") - F.col("left.at"))
     line = F.col("left.value") + share * (F.col("right.value") - F.col("left.value"))

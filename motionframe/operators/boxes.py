@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motionframe.operators.sequence import by_frame, smooth_zero_padded
+from motionframe.operators.sequence import by_frame, by_frame_backward, smooth_zero_padded
 
 CORNERS = ("x0", "y0", "x1", "y1")
 
@@ -15,7 +15,7 @@ def interpolated(frames: DataFrame, values: tuple[str, ...], known: Column) -> D
     order = by_frame()
     point = F.when(known, F.struct("idx", *values))
     before = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(point, ignorenulls=True).over(by_frame_backward().rowsBetween(Window.unboundedPreceding, 0))
     placed = frames.withColumns({"_before": before, "_after": after})
     share = F.coalesce(F.try_divide(F.col("idx") - F.col("_before.idx"), F.col("_after.idx") - F.col("_before.idx")), F.lit(0.0))
     line = {v: F.coalesce(F.col(f"_before.{v}") + share * (F.col(f"_after.{v}") - F.col(f"_before.{v}")), F.col(f"_before.{v}"), F.col(f"_after.{v}")) for v in values}

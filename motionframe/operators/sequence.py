@@ -26,6 +26,11 @@ def by_frame() -> Window:
     return Window.partitionBy("run").orderBy("idx")
 
 
+def by_frame_backward() -> Window:
+    """For what follows a frame: a window that ends with the last row is gone through anew for every row, one that begins there is not."""
+    return Window.partitionBy("run").orderBy(F.col("idx").desc())
+
+
 def velocity(frames: DataFrame, value: str = "v", name: str = "velocity") -> DataFrame:
     """Adds the change of ``value`` a second; 0 at the first frame and where time stands still."""
     order = by_frame()
@@ -134,10 +139,10 @@ def resample(frames: DataFrame, value: str, length: int) -> DataFrame:
     known = frames.filter(F.col(value).isNotNull()).select("run", F.col("idx").cast("double").alias("at"), F.col(value).alias("known"), F.lit(None).cast("long").alias("step"))
     wanted = ends.select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))).alias("step"), "last")
     wanted = wanted.select("run", (F.col("step") * F.col("last") / (length - 1)).alias("at"), F.lit(None).cast("double").alias("known"), "step")
-    order = Window.partitionBy("run").orderBy("at", F.col("step").asc_nulls_first())
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    one = Window.partitionBy("run")
+    before, after = (order.rowsBetween(Window.unboundedPreceding, 0) for order in (one.orderBy("at", F.col("step").asc_nulls_first()), one.orderBy(F.col("at").desc(), F.col("step").desc_nulls_last())))
     point = F.when(F.col("known").isNotNull(), F.struct("at", "known"))
-    both = known.unionByName(wanted).withColumns({"left": F.last(point, ignorenulls=True).over(before), "right": F.first(point, ignorenulls=True).over(after)})
+    both = known.unionByName(wanted).withColumns({"left": F.last(point, ignorenulls=True).over(before), "right": F.last(point, ignorenulls=True).over(after)})
     share = F.try_divide(F.col("at") - F.col("left.at"), F.col("right.at") - F.col("left.at"))
     line = F.col("left.known") + F.coalesce(share, F.lit(0.0)) * (F.col("right.known") - F.col("left.known"))
     return both.filter("step IS NOT NULL").select("run", "step", F.coalesce(line, F.col("left.known"), F.col("right.known")).alias(value))

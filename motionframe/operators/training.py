@@ -17,19 +17,32 @@ LENGTH, LEAST, HIDDEN = 64, 0.3, (256, 128)
 def resampled(cells: DataFrame, length: int = LENGTH) -> DataFrame:
     """run, step, cell, value of each cell at ``length`` even places of its run, linear between known values and constant outside them.
 
-    The cells are read three times, so they are written once.
+    A step needs only the nearest known values on either side.  So each gap between two steps, and each place of a step, keeps its
+    first and its last known value, and what is put in order is a few rows a step however long the run is.  The cells are read twice,
+    so they are written once.
     """
-    cells = storage.cut(cells)
+    return _resampled(storage.cut(cells), length)
+
+
+def _resampled(cells: DataFrame, length: int) -> DataFrame:
+    gaps = max(length - 1, 1)
     ends = cells.groupBy("run").agg(F.max("idx").alias("last"))
-    wanted = cells.filter("value IS NOT NULL").select("run", "cell").distinct().join(ends, "run").select("run", "cell", "last", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))).alias("step"))
-    asked = wanted.select("run", "cell", "step", (F.col("step") * F.col("last") / max(length - 1, 1)).alias("at"), F.lit(None).cast("double").alias("value"))
-    known = cells.filter("value IS NOT NULL").select("run", "cell", F.lit(None).cast("long").alias("step"), F.col("idx").cast("double").alias("at"), "value")
-    order = Window.partitionBy("run", "cell").orderBy("at", F.col("step").asc_nulls_first())
-    point = F.when(F.col("step").isNull(), F.struct("at", "value"))
-    placed = known.unionByName(asked).withColumns(
-        {"left": F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "right": F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))}
-    )
-    share = F.try_divide(F.col("at") - F.col("left.at"), F.col("right.at") - F.col("left.at"))
+    # place 2k is step k itself and 2k + 1 the frames between it and the next one
+    spot = F.expr(f"CASE WHEN last = 0 THEN 0 ELSE 2 * ((idx * {gaps}) div last) + CASE WHEN (idx * {gaps}) % last = 0 THEN 0 ELSE 1 END END")
+    known = cells.filter("value IS NOT NULL").join(ends, "run").withColumn("place", spot.cast("long"))
+    of_place = known.groupBy("run", "cell", "last", "place").agg(F.min("idx").alias("first_at"), F.min_by("value", "idx").alias("first"), F.max("idx").alias("last_at"), F.max_by("value", "idx").alias("latest"))
+    point = lambda at, value: F.struct(F.col(at).cast("double").alias("at"), F.col(value).alias("value"))
+    found = storage.cut(of_place.select("run", "cell", "last", "place", F.lit(None).cast("long").alias("step"), point("first_at", "first").alias("opens"), point("last_at", "latest").alias("closes")))
+    steps = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")))
+    none = F.lit(None).cast(found.schema["opens"].dataType)
+    asked = found.select("run", "cell", "last").distinct().withColumn("step", steps).select("run", "cell", "last", (2 * F.col("step")).alias("place"), "step", none.alias("opens"), none.alias("closes"))
+    one = Window.partitionBy("run", "cell")
+    # what follows is looked for backwards, as a frame that ends with the last row is gone through anew for every row
+    onward, backward = one.orderBy("place", F.col("step").asc_nulls_first()), one.orderBy(F.col("place").desc(), F.col("step").desc_nulls_last())
+    so_far = lambda column, order: F.last(column, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = found.unionByName(asked).withColumns({"left": so_far("closes", onward), "right": so_far("opens", backward)})
+    at = F.col("step") * F.col("last") / gaps
+    share = F.try_divide(at - F.col("left.at"), F.col("right.at") - F.col("left.at"))
     line = F.col("left.value") + share * (F.col("right.value") - F.col("left.value"))
     return placed.filter("step IS NOT NULL").select("run", "step", "cell", F.coalesce(line, "left.value", "right.value").alias("value"))
 
@@ -39,8 +52,9 @@ def tensors(cells: DataFrame, length: int = LENGTH, width: int = features.WIDTH)
 
     A cell that is never known in a run is 0 throughout.  A tensor has a fixed size, so a run's cells fit one row.
     """
+    cells = storage.cut(cells)
     at = lambda major, minor, n: (F.col(major) * n + F.col(minor)).cast("int")
-    each = resampled(cells, length).groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct(at("step", "cell", width), "value"))).alias("m"))
+    each = _resampled(cells, length).groupBy("run").agg(F.map_from_entries(F.collect_list(F.struct(at("step", "cell", width), "value"))).alias("m"))
     every = cells.select("run").distinct().join(each, "run", "left")
     value = lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))
     flat = F.transform(F.sequence(F.lit(0), F.lit(length * width - 1)), value)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from motionframe.operators import describe, rotation
 from motionframe.operators.intervals import within
-from motionframe.operators.sequence import by_frame, islands, merge_intervals, smooth_zero_padded
+from motionframe.operators.sequence import by_frame, by_frame_backward, islands, merge_intervals, smooth_zero_padded
 from motionframe.sources.storage import cut
 
 #: A kernel reaches so many widths to either side.
@@ -69,8 +69,7 @@ class TurnConfig:
 
 def _edges(flag: str) -> dict[str, Column]:
     """The first and last frame of the stretch of frames with ``flag`` that a frame is in; meaningless in other frames."""
-    order = by_frame()
-    before, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    before, after = (order.rowsBetween(Window.unboundedPreceding, 0) for order in (by_frame(), by_frame_backward()))
     off = F.when(~F.col(flag), F.col("idx"))
     return {f"{flag}_from": F.coalesce(F.max(off).over(before) + 1, F.min("idx").over(before)), f"{flag}_to": F.coalesce(F.min(off).over(after) - 1, F.max("idx").over(after))}
 
@@ -145,7 +144,7 @@ def split_at_valleys(segments: DataFrame, frames: DataFrame, config: TurnConfig)
     apart = config.frames(0.5)
     order = Window.partitionBy(*_SEGMENT).orderBy("at")
     both = upright.withColumn("cut", F.col("at")).unionByName(slow.withColumn("cut", F.lit(None).cast("long")))
-    nearest = both.withColumns({"before": F.last("cut", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)), "after": F.first("cut", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))})
+    nearest = both.withColumns({"before": F.last("cut", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0)), "after": F.last("cut", ignorenulls=True).over(Window.partitionBy(*_SEGMENT).orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, 0))})
     free = nearest.filter(F.col("cut").isNull() & F.coalesce(F.col("at") - F.col("before") > apart, F.lit(True)) & F.coalesce(F.col("after") - F.col("at") > apart, F.lit(True)))
     points = upright.unionByName(_spaced(free.select(*_SEGMENT, "at"), apart))
     pieces = cut(segments.filter(length < 1.5 * fps).select(*_SEGMENT).unionByName(_pieces(long, points, least)))

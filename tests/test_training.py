@@ -24,6 +24,20 @@ def test_tensors_equal_linear_interpolation(spark):
     assert training.tensors(spark.createDataFrame([], CELLS)).count() == 0
 
 
+def test_a_long_run_is_not_gone_through_anew_for_every_frame(spark):
+    rng = random.Random(4)
+    rows = [(0, i, c, None if rng.random() < 0.4 else rng.uniform(-1, 1)) for i in range(15_000) for c in range(2)] + [(1, 0, 0, 2.0)]
+    made = training.resampled(spark.createDataFrame(rows, CELLS), 64)
+    # a frame that ends with the last row costs its whole length for every row
+    assert "unboundedfollowing" not in made._jdf.queryExecution().toString().lower()
+    got = {(r.run, r.cell, r.step): r.value for r in made.collect()}
+    for c in range(2):
+        known = [(i, v) for r, i, k, v in rows if (r, k) == (0, c) and v is not None]
+        want = np.interp(np.linspace(0, 14_999, 64), *zip(*known, strict=True))
+        assert [got[0, c, k] for k in range(64)] == pytest.approx(want, abs=1e-9)
+    assert {got[1, 0, k] for k in range(64)} == {2.0} and len(got) == 3 * 64
+
+
 def test_order_depends_on_seed_and_keys_alone(spark):
     rows = spark.createDataFrame([(k, f"v{k}") for k in range(500)], "id long, v string")
     one = {r.id: r.place for r in training.shuffled(rows, "id", 1).collect()}
