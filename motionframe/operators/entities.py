@@ -28,15 +28,23 @@ def resolved(rows: DataFrame) -> DataFrame:
     for all their variants lead, and those that share one with an earlier leader, or with an earlier alias, join.  Both are read off
     the least places of each variant, so no pairs of rows are formed, and turns repeat until none is open.
 
+    Rows of one name share their variants, so only the first of them can lead, and all others join what it leads or joins; of the rows
+    with one alias only the first claims.  So variants are made, and turns are taken, for different names and aliases alone.
+
     Edge cases: a null name counts as empty; names without letters or digits share the empty form; equal places are not allowed.
     """
-    placed = cut(rows.select(F.struct(F.col("source").cast("long").alias("source"), F.col("pos").cast("long").alias("pos")).alias("at"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("alias", F.lit("")).alias("alias")))
-    own = cut(placed.select("at", F.explode(names.all_variants(F.col("name"))).alias("variant")))
-    of_alias = placed.filter("alias <> ''").select("at", F.explode(names.all_variants(F.col("alias"))).alias("variant"))
+    placed = rows.select(F.col("source").cast("long").alias("source"), F.col("pos").cast("long").alias("pos"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("alias", F.lit("")).alias("alias"))
+    at = F.struct("source", "pos").alias("at")
+    # the least place within a source first, as numbers are put together while they are read
+    by_pair = cut(placed.groupBy("name", "alias", "source").agg(F.min("pos").alias("pos")))
+    heads = cut(by_pair.groupBy("name").agg(F.min(at).alias("at")))
+    aliased_rows = cut(by_pair.filter("alias <> ''").groupBy("alias").agg(F.min(F.struct(at, "name")).alias("m")).select("alias", "m.at", "m.name"))
+    own = cut(heads.select("at", F.explode(names.all_variants(F.col("name"))).alias("variant")))
+    of_alias = cut(aliased_rows.select("at", F.explode(names.all_variants(F.col("alias"))).alias("variant")))
     aliased = of_alias.groupBy("variant").agg(F.min("at").alias("alias_at"))
     taken = own.join(aliased, "variant").filter("alias_at < at").select("at").distinct()
-    joined, leads = None, None
-    open_ = cut(placed.select("at").join(taken, "at", "left_anti"))
+    leads = None
+    open_ = cut(heads.select("at").join(taken, "at", "left_anti"))
     while not open_.isEmpty():
         here = own.join(open_, "at")
         first = here.groupBy("variant").agg(F.min("at").alias("first"))
@@ -55,9 +63,12 @@ def resolved(rows: DataFrame) -> DataFrame:
     # what claimed each variant first: a leader's name, or an alias, whose row may have joined another
     claims = own.join(leads, "at").unionByName(of_alias).groupBy("variant").agg(F.min("at").alias("claim"))
     joins = own.join(leads, "at", "left_anti").join(claims, "variant").filter("claim < at").groupBy("at").agg(F.min("claim").alias("to"))
-    ends = _follow(cut(joins.unionByName(leads.select("at", F.col("at").alias("to")))))
-    canonical = placed.join(leads, "at").select(F.col("at").alias("to"), names.normal(F.col("name")).alias("canonical"))
-    return placed.join(ends, "at").join(canonical, "to").select("at.source", "at.pos", "name", "canonical", (F.col("to") == F.col("at")).alias("leads"))
+    # a row that only its alias brings in goes where the first row of its name goes
+    others = aliased_rows.join(heads.select("name", F.col("at").alias("to")), "name").filter("at <> to").select("at", "to").distinct()
+    ends = _follow(cut(joins.unionByName(leads.select("at", F.col("at").alias("to"))).unionByName(others)))
+    canonical = heads.join(leads, "at").select(F.col("at").alias("to"), names.normal(F.col("name")).alias("canonical"))
+    of_name = cut(heads.join(ends, "at").join(canonical, "to").select("name", "to", "canonical"))
+    return placed.join(of_name, "name").select("source", "pos", "name", "canonical", ((F.col("to.source") == F.col("source")) & (F.col("to.pos") == F.col("pos"))).alias("leads"))
 
 
 def displayed(found: DataFrame, titled: int | None = None) -> DataFrame:

@@ -97,3 +97,22 @@ def test_hints_rank_under_what_the_name_says(spark):
     assert (plain.direction, plain["shape"], plain.entry, plain.axis) == ("forward", "open", "wall", "lateral")
     locked = row("Back Tuck")
     assert (locked.direction, locked["shape"], locked.entry) == ("backward", "tuck", "wall")
+
+
+def test_copies_of_names_neither_make_variants_nor_take_turns(spark, monkeypatch):
+    rng = random.Random(9)
+    some = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 3))) for _ in range(25)]
+    rows = [(s, p, rng.choice(some), rng.choice(some) if s == 0 and rng.random() < 0.3 else None) for s in range(4) for p in range(700)]
+    sizes = []
+    kept = entities.cut
+
+    def counted(df):
+        out = kept(df)
+        if "variant" in out.columns or out.columns == ["at", "joins", "is_first"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(entities, "cut", counted)
+    got = sorted(tuple(r) for r in entities.resolved(spark.createDataFrame(rows, "source long, pos long, name string, alias string")).collect())
+    assert got == fold(rows)
+    assert sizes and max(sizes) <= sum(len(variants(n)) for n in set(some))
