@@ -41,7 +41,8 @@ def entity_names(spark, d):
 
 @_query
 def explicit_fields(spark, d):
-    return adapters.movement_names(_read(spark, d, "part")).select("id", *(c.alias(k) for k, c in names.explicit(names.tokens(F.col("name"))).items()))
+    words = adapters.movement_names(_read(spark, d, "part")).select("id", names.tokens(F.col("name")).alias("words"))
+    return words.select("id", *(c.alias(k) for k, c in names.explicit(F.col("words")).items()))
 
 
 @_query
@@ -52,7 +53,7 @@ def merged_attributes(spark, d):
     kinds = part.select(F.col("p_partkey").alias("id"), F.concat_ws("/", at(F.col("p_partkey")), at(F.floor(F.col("p_partkey") / 8) + 3)).alias("kind"))
     rows = adapters.movement_names(part).join(further_queries._texts(spark, d), "id").join(kinds, "id")
     hints = [etl.description_hints(F.col("text")), etl.type_hints(F.col("kind"))]
-    return rows.select("id", *(c.alias(k) for k, c in entities.merged_attributes(F.col("name"), hints).items()))
+    return entities.with_attributes(rows, "id", F.col("name"), hints)
 
 
 #: Fragments of made documents, by key: trick_id, category, difficulty, method, phases and names.

@@ -95,6 +95,25 @@ def merged_attributes(name: Column, hints: list[dict[str, Column]]) -> dict[str,
 
     ``hints`` are in the order of strength, the strongest first; each holds some of the fields, null where it has none.
     """
-    words = names.tokens(name)
+    return _merged(names.tokens(name), hints)
+
+
+def _merged(words: Column, hints: list[dict[str, Column]]) -> dict[str, Column]:
     parsed, said = names.parse(words), names.explicit(words)
     return {f: F.when(said[f], parsed[f]).otherwise(F.coalesce(*(h[f] for h in hints if f in h), parsed[f])) for f in FIELDS}
+
+
+def with_attributes(rows: DataFrame, key: str, name: Column, hints: list[dict[str, Column]]) -> DataFrame:
+    """``key`` and the :func:`merged_attributes` of every row.
+
+    A name's words, what it says and what the hints say are made once for each different name and for each row's hints, one after the
+    other: written out in full every field would split and read the name anew for each of its uses.  Rows are dealt out first, as a small
+    file would be a single task.
+    """
+    hinted = rows.repartition(key).select(key, name.alias("_name"), *(c.alias(f"_{n}_{f}") for n, h in enumerate(hints) for f, c in h.items()))
+    words = hinted.select("_name").distinct().withColumn("_words", names.tokens(F.col("_name")))
+    parsed, said = names.parse(F.col("_words")), names.explicit(F.col("_words"))
+    read = words.select("_name", *(parsed[f].alias(f"_parsed_{f}") for f in FIELDS), *(said[f].alias(f"_said_{f}") for f in FIELDS))
+    both = hinted.join(read, hinted["_name"].eqNullSafe(read["_name"]), "left")
+    chosen = lambda f: F.coalesce(*(F.col(f"_{n}_{f}") for n, h in enumerate(hints) if f in h), F.col(f"_parsed_{f}"))
+    return both.select(key, *(F.when(F.col(f"_said_{f}"), F.col(f"_parsed_{f}")).otherwise(chosen(f)).alias(f) for f in FIELDS))

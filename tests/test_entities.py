@@ -116,3 +116,16 @@ def test_copies_of_names_neither_make_variants_nor_take_turns(spark, monkeypatch
     got = sorted(tuple(r) for r in entities.resolved(spark.createDataFrame(rows, "source long, pos long, name string, alias string")).collect())
     assert got == fold(rows)
     assert sizes and max(sizes) <= sum(len(variants(n)) for n in set(some))
+
+
+def test_attributes_of_rows_equal_those_of_single_names(spark):
+    rng = random.Random(6)
+    known = [*names.ROTATIONS, *names.AXES, *names.DIRECTIONS, *names.ENTRIES, *names.SHAPES, *names.SPECIALS, "full", "swipe", "Wall-Flip"]
+    rows = [(i, None if i % 50 == 7 else " ".join(rng.choice(known) for _ in range(i % 5)), rng.choice([None, "open", "pike"]), rng.choice([None, "wall"])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, name string, s string, e string")
+    hints = [{"shape": F.col("s"), "direction": F.lit(None).cast("string")}, {"entry": F.col("e"), "direction": F.lit("forward")}]
+    one = frame.select("id", *(c.alias(k) for k, c in entities.merged_attributes(F.col("name"), hints).items()))
+    whole = entities.with_attributes(frame, "id", F.col("name"), hints)
+    assert whole.columns == one.columns and sorted(map(str, whole.collect())) == sorted(map(str, one.collect()))
+    # a name is split into words in one place of the plan
+    assert whole._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
