@@ -53,6 +53,11 @@ def tokenizer(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _packed(encoding: tiktoken.Encoding) -> str:
+    """The narrowest type that holds every id; pieces are shuffled in it."""
+    return "<u2" if encoding.max_token_value < 1 << 16 else "<u4"
+
+
 def _encode(encoding: tiktoken.Encoding, text: str) -> tuple[int, bytes, bytes]:
     ids = encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4")
     return len(ids), ids.tobytes(), encoding.decode_bytes(ids.tolist())
@@ -146,7 +151,7 @@ def _encoded_pieces(chunks: DataFrame, step: int, overlap: int, vocabulary: str,
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 piece = _piece(matcher, row["chunk"], row["no"] == 0, row["last"], step, overlap)
-                ids = None if piece is None else encoding.encode_to_numpy(piece, disallowed_special=()).astype("<u4").tobytes()
+                ids = None if piece is None else encoding.encode_to_numpy(piece, disallowed_special=()).astype(_packed(encoding)).tobytes()
                 yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "digest": row["digest"], "no": row["no"], "ids": ids}], schema=_PIECE)
 
     return chunks.mapInArrow(run, "doc_id long, digest string, no long, ids binary")
@@ -164,8 +169,8 @@ def _joined(pieces: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 parts = [p["ids"] for p in row["pieces"]]
                 made = {"doc_id": row["doc_id"], "digest": row["digest"], "n_tokens": None, "ids": None, "decoded": None}
                 if None not in parts:
-                    ids = b"".join(parts)
-                    made |= {"n_tokens": len(ids) // 4, "ids": ids, "decoded": encoding.decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())}
+                    ids = np.frombuffer(b"".join(parts), dtype=_packed(encoding)).astype("<u4")
+                    made |= {"n_tokens": len(ids), "ids": ids.tobytes(), "decoded": encoding.decode_bytes(ids.tolist())}
                 yield pa.RecordBatch.from_pylist([made], schema=_WHOLE)
 
     return in_order.mapInArrow(run, "doc_id long, digest string, n_tokens long, ids binary, decoded binary")
@@ -175,11 +180,13 @@ def _long_encoded(long_docs: DataFrame, vocabulary: str, pattern: str, chunk_cha
     """doc_id and ``kept`` (columns over n_tokens, ids and decoded) of texts of more than ``chunk_chars``."""
     marked = long_docs.withColumn("digest", F.sha2("text", 256))
     step = chunk_chars - overlap
-    # the chunks are dealt over the cluster, so one huge text is not one task
-    chunks = _chunks(marked.dropDuplicates(["doc_id", "digest"]), step, overlap).repartition("doc_id", "digest", "no")
+    # the chunks are dealt over the cluster, so one huge text is not one task; there the chunks of repeated rows meet, so texts are not
+    # shuffled whole to find these
+    place = ["doc_id", "digest", "no"]
+    chunks = _chunks(marked, step, overlap).repartition(*place).dropDuplicates(place)
     whole = workspace.cut(_joined(_encoded_pieces(chunks, step, overlap, vocabulary, pattern), vocabulary, pattern).select("doc_id", "digest", "n_tokens", *kept))
     met = whole.filter("n_tokens IS NOT NULL")
-    apart = whole.filter("n_tokens IS NULL").select("doc_id", "digest")
+    apart = workspace.sized(whole.filter("n_tokens IS NULL").select("doc_id", "digest"), "digest")
     same = lambda other: [F.col(f"d.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in ("doc_id", "digest")]
     names = met.columns[3:]
     good = marked.select("doc_id", "digest").alias("d").join(met.alias("w"), same("w")).select("d.doc_id", "n_tokens", *names)

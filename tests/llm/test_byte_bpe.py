@@ -44,5 +44,18 @@ def test_encode_round_trip(spark):
         assert len(row.ids) == 4 * row.n_tokens
 
 
+def test_pieces_are_narrow_and_no_whole_text_is_shuffled(spark, monkeypatch):
+    text = ("the quick brown fox's tail " * 400)[:10_400]
+    docs = spark.createDataFrame([(1, text, "d"), (1, text, "d")], "doc_id long, text string, digest string")
+    pieces = byte_bpe._encoded_pieces(byte_bpe._chunks(docs.limit(1), 896, 128), 896, 128, PATH, public_tokenizers.PATTERN).collect()
+    assert len(pieces) > 5 and sum(len(p.ids) for p in pieces) == 2 * brute(text)[0]
+    plans = []
+    kept = byte_bpe.workspace.cut
+    monkeypatch.setattr(byte_bpe.workspace, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df))[1])
+    assert byte_bpe.digests(docs, PATH, chunk_chars=512, overlap=128).count() == 2
+    # the chunks' shuffle and the pieces' shuffle
+    assert plans[0].count("Exchange hashpartitioning") == 2
+
+
 def test_empty_table(spark):
     assert byte_bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
