@@ -4,16 +4,17 @@ Documents with equal sets are one point.  Points that cannot have a neighbour ar
 links with another misses at most the share ``1 - similarity`` of its shingles there, so if more than that many of
 its shingles below a hash bound occur in no other point, it is alone.
 
-Two texts far apart are at distance 1 from nearly every pivot, so the outermost division is by the rarest of the shingles
-below the bound: two linked points share one of the first ``n - ceil(similarity * n) + 1`` in any one order of all shingles.
+What is left is screened again by all shingles: one that no other point left has cannot be shared with a linked one.
+Two texts far apart are at distance 1 from nearly every pivot, so the outermost division is by the rarest of the shingles:
+two linked points share one of the first ``n - ceil(similarity * n) + 1`` in any one order of all shingles.
 Inside each region, with ``r`` the radius of the join:
 
-* pivots are chosen, and all points of the region that can be within ``2 r`` of one are measured exactly; sizes and sketches
-  rule the others out;
+* pivots are chosen, and sizes and sketches bound the distances to them from below; a point that the bound allows within
+  ``r`` of a pivot is measured exactly;
 * a point within ``r`` of pivots lies in the Voronoi cell of the nearest one, whose points are one component;
-* by the triangle inequality all points linked with one in a cell are within ``2 r`` of its pivot: the points between
-  ``r`` and ``2 r`` are replicated to the cell, and are compared with those of its points whose distance to the pivot differs by
-  at most ``r``, if they are not of its component by then;
+* by the triangle inequality all points linked with one in a cell are within ``2 r`` of its pivot: the points beyond ``r``
+  whose bound allows ``2 r`` are replicated to the cell, and are compared with those of its points whose distance to the
+  pivot is less by at most ``r``, if they are not of its component by then;
 * points in cells leave the region; what is left of it is divided again around new pivots, until no region holds points of
   two components.
 
@@ -121,20 +122,36 @@ def _least_shared(n: Column, percent: int) -> Column:
     return F.floor((n * percent + 99) / 100).cast("long")
 
 
-def _regions(sketched: DataFrame, percent: int, screen: float = SCREEN) -> DataFrame:
-    """bucket (a shingle), h1, h2, n of the points that may have a neighbour: the rarest of their shingles that other points have too."""
+def _screened(sketched: DataFrame, percent: int) -> DataFrame:
+    """h1, h2 of the points that may have a neighbour, as far as the shingles below the hash bound tell."""
     points = sketched.filter("n > 0").dropDuplicates(["h1", "h2"]).select("h1", "h2", "n", "low")
     shingles = points.select("h1", "h2", "n", F.size("low").alias("of"), F.explode("low").alias("shingle"))
     counts = shingles.groupBy("shingle").agg(F.count("*").alias("points")).filter("points > 1")
-    # shingles above the bound come last, in the order of their hashes, as not every point that has them lists them
-    edge = int(screen * 2**64) - (1 << 63)
-    above = F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))) >= edge
-    order = F.struct(above.alias("above"), F.when(above, F.lit(0)).otherwise(F.col("points")).alias("points"), F.col("shingle").bitwiseXOR(F.lit(-(1 << 63))).alias("place"), "shingle")
-    shared = shingles.join(counts, "shingle").groupBy("h1", "h2").agg(F.max("n").alias("n"), F.max("of").alias("of"), F.array_sort(F.collect_list(order)).alias("shared"))
-    missing = F.col("of") - F.size("shared")  # in no other point, and first in the order
-    first = F.col("n") - _least_shared(F.col("n"), percent) + 1 - missing
-    kept = shared.filter(first > 0).select("h1", "h2", "n", F.explode(F.slice("shared", F.lit(1), first.cast("int"))).alias("at"))
-    return kept.select(F.col("at.shingle").alias("bucket"), "h1", "h2", "n")
+    shared = shingles.join(counts.select("shingle"), "shingle", "left_semi").groupBy("h1", "h2").agg(F.max("n").alias("n"), F.max("of").alias("of"), F.count("*").alias("shared"))
+    # a linked point has all but n - least of them
+    return shared.filter(F.col("of") - F.col("shared") <= F.col("n") - _least_shared(F.col("n"), percent)).select("h1", "h2")
+
+
+def _shingle_rows(points: DataFrame, width: int) -> DataFrame:
+    """node, n, shingle: every distinct shingle of the points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bounds, found in _blocks(batches, width):
+            sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(found.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds).astype(np.int32)), sets], ["node", "n", "shingles"])
+
+    return points.select("node", "text").mapInArrow(run, "node long, n int, shingles array<long>").select("node", "n", F.explode("shingles").alias("shingle"))
+
+
+def _regions(points: DataFrame, width: int, percent: int) -> DataFrame:
+    """bucket (a shingle), node of the points that may have a neighbour: the rarest of their shingles that other points have too."""
+    shingles = _shingle_rows(points, width)
+    counts = shingles.groupBy("shingle").agg(F.count("*").alias("points")).filter("points > 1")
+    order = F.struct("points", "shingle")
+    shared = shingles.join(counts, "shingle").groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(order)).alias("shared"))
+    # those in no other point come first in the order
+    first = F.size("shared") - _least_shared(F.col("n"), percent) + 1
+    return shared.filter(first > 0).select("node", F.explode(F.slice("shared", F.lit(1), first.cast("int"))).alias("at")).select(F.col("at.shingle").alias("bucket"), "node")
 
 
 def _points(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
@@ -182,10 +199,20 @@ def distances(pairs: DataFrame, points: DataFrame, width: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, shared long, joined long")
 
 
+def _differ() -> Column:
+    """The fewest shingles that one of two points, named with _a and _b, has and the other has not, by their sketches."""
+    return sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SKETCHED), F.lit(0))
+
+
 def _near(percent: int) -> Column:
     """Whether the sizes and sketches of two points, named with _a and _b, allow a similarity of ``percent``."""
-    differ = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in _SKETCHED), F.lit(0))
-    return (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (_differ() * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
+def _least_distance() -> Column:
+    """The least distance that the sizes and sketches of two points, named with _a and _b, allow."""
+    differ = F.greatest(_differ(), F.abs(F.col("n_a") - F.col("n_b")))
+    return 2 * differ / (F.col("n_a") + F.col("n_b") + differ)
 
 
 def _sketch_of(points: DataFrame, side: str, name: str) -> DataFrame:
@@ -247,24 +274,27 @@ def components_of(rows: DataFrame, points: DataFrame, width: int = WIDTH, percen
         hashed = opened.withColumn("hash", F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 33))
         least = hashed.groupBy("bucket").agg(F.min("hash").alias("least"))
         chosen = (F.col("hash") == F.col("least")) | (F.col("hash") * F.col("size") < F.lit(1 << 31) * (FIRST_PIVOTS * MORE_PIVOTS**turn - 1))
-        pivots = workspace.cut(hashed.join(least, "bucket").filter(chosen).select("bucket", F.col("node").alias("pivot")))
-        # with several pivots a region the sketches go along, so that pairs that they rule out are never made
-        of_pivots, of_points = pivots.join(_sketch_of(sizes, "a", "pivot"), "pivot"), opened.select("bucket", "node").join(_sketch_of(sizes, "b", "node"), "node")
-        meet = of_points.join(of_pivots, "bucket").filter((F.col("node") != F.col("pivot")) & _near(wide)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        measured = workspace.cut(distances(meet, points, width))
+        pivots = workspace.cut(hashed.join(least, "bucket").filter(chosen).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("of_pivot")))
+        # the sketches go along, so that pairs that they rule out are never made
+        of_pivots, of_points = pivots.join(_sketch_of(sizes, "a", "pivot"), "pivot"), opened.select("bucket", "node", "component").join(_sketch_of(sizes, "b", "node"), "node")
+        may = F.when(F.col("component") == F.col("of_pivot"), _near(percent)).otherwise(_near(wide))
+        seen = of_points.join(of_pivots, "bucket").filter((F.col("node") != F.col("pivot")) & may).select(F.col("pivot").alias("a"), F.col("node").alias("b"), _near(percent).alias("near"), _least_distance().alias("d"))
+        meet = workspace.cut(seen.distinct())
         inner = F.col("shared") * 100 >= F.col("joined") * percent
-        labels = _merged(labels, measured.filter(inner))
+        close = workspace.cut(distances(meet.filter("near").select("a", "b"), points, width).filter(inner))
+        labels = _merged(labels, close)
         # the nearest pivot's cell; ties go to the smaller pivot
-        far = F.col("joined") - F.col("shared")
-        cells = workspace.cut(measured.filter(inner).groupBy("b").agg(F.min(F.struct((far / F.col("joined")).alias("d"), "a", "shared", "joined")).alias("at")).select(F.col("b").alias("x"), F.col("at.a").alias("pivot"), F.col("at.d").alias("d_x")))
-        edge = _component(labels, measured.filter(~inner & (F.col("shared") * 100 >= F.col("joined") * wide)).select(F.col("a").alias("pivot"), F.col("b").alias("y"), (far / F.col("joined")).alias("d_y")), "pivot")
-        edge = _component(labels, edge, "y").filter("component_pivot != component_y")
-        # the slack is for rounding: a pair too many is measured exactly all the same
-        window = F.col("d_y") - F.col("d_x") <= (100 - percent) / 100 + 1e-9
-        across = cells.join(edge, "pivot").filter(window).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        labels = _merged(labels, workspace.cut(distances(_may_be_near(across, sizes, percent).select("a", "b"), points, width)).filter(inner))
+        far = (F.col("joined") - F.col("shared")) / F.col("joined")
+        cells = workspace.cut(close.groupBy("b").agg(F.min(F.struct(far.alias("d"), "a")).alias("at")).select(F.col("b").alias("x"), F.col("at.a").alias("pivot"), F.col("at.d").alias("d_x")))
+        if not cells.isEmpty():
+            edge = _component(labels, meet.select(F.col("a").alias("pivot"), F.col("b").alias("y"), F.col("d").alias("d_y")), "pivot")
+            edge = _component(labels, edge, "y").filter("component_pivot != component_y").join(_sketch_of(sizes, "b", "y"), "y")
+            # the slack is for rounding: a pair too many is measured exactly all the same
+            window = F.col("d_y") - F.col("d_x") <= (100 - percent) / 100 + 1e-9
+            across = cells.join(_sketch_of(sizes, "a", "x"), "x").join(edge, "pivot").filter(window & _near(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            labels = _merged(labels, workspace.cut(distances(across, points, width).filter(inner)))
         # pivots, and points in the cell of a pivot of their region, have met all that they can link with there
-        gone = pivots.select("bucket", F.col("pivot").alias("node")).unionByName(pivots.join(measured.filter(inner).select(F.col("a").alias("pivot"), F.col("b").alias("node")).join(cells.select(F.col("x").alias("node"), "pivot"), ["node", "pivot"]), "pivot").select("bucket", "node"))
+        gone = pivots.select("bucket", F.col("pivot").alias("node")).unionByName(pivots.drop("of_pivot").join(close.select(F.col("a").alias("pivot"), F.col("b").alias("node")).join(cells.select(F.col("x").alias("node"), "pivot"), ["node", "pivot"]), "pivot").select("bucket", "node"))
         rows = workspace.cut(opened.select("bucket", "node").join(gone, ["bucket", "node"], "left_anti"))
 
 
@@ -289,14 +319,12 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, t1, t2, n_shingles, component_id of every row."""
     sketched = workspace.cut(sketches(docs, width, percent))
     named = sketched.select("doc_id", "t1", "t2", "h1", "h2", "n")
-    regions = workspace.cut(_regions(sketched, percent))
-    near = regions.select("h1", "h2").distinct()
+    near = workspace.cut(_screened(sketched, percent))
     # one document of every point that may have a neighbour; a point of no doc_id has its text looked up by that
-    first = named.join(workspace.sized(workspace.cut(near)), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "t1", "t2")).alias("at"))
+    first = named.join(workspace.sized(near), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "t1", "t2")).alias("at"))
     chosen = workspace.cut(first.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "at.*"))
-    small = workspace.sized(chosen.select("node", "h1", "h2"))
     points = workspace.cut(_points(docs, chosen, width))
-    labels = components_of(regions.join(small, ["h1", "h2"]).select("bucket", "node"), points, width, percent)
+    labels = components_of(_regions(points, width, percent), points, width, percent)
     # the smallest doc_id of a point, then of its component
     of_point = named.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
     own = named.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), "h1", "h2")
