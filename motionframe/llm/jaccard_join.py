@@ -15,8 +15,8 @@ Inside each region, with ``r`` the radius of the join:
 * by the triangle inequality all points linked with one in a cell are within ``2 r`` of its pivot: the points beyond ``r``
   whose bound allows ``2 r`` are replicated to the cell, and are compared with those of its points whose distance to the
   pivot is less by at most ``r``, if they are not of its component by then;
-* points in cells leave the region; what is left of it is divided again around new pivots, until no region holds points of
-  two components.
+* pivots and points in cells leave the region; what is left of it is divided again around new pivots, eight times as many each
+  turn, until no region holds points of two components.  After the first turns pivots only meet what may link with them.
 
 It is exact at every size, as any order of shingles and any choice of pivots gives all links between components.
 
@@ -240,6 +240,8 @@ def _component(labels: DataFrame | None, df: DataFrame, name: str) -> DataFrame:
     return df.join(labels.select(F.col("node").alias(name), F.col("component").alias(made)), name, "left").withColumn(made, F.coalesce(made, name))
 
 
+#: Turns in which pivots have cells; later ones have many pivots a region, which would each meet all that is within ``2 r`` of them.
+CELL_TURNS = 2
 #: So often a point meets the pivot that it shares most regions with before the regions are divided.
 FIRST_MEETINGS = 2
 
@@ -276,25 +278,29 @@ def components_of(rows: DataFrame, points: DataFrame, width: int = WIDTH, percen
         chosen = (F.col("hash") == F.col("least")) | (F.col("hash") * F.col("size") < F.lit(1 << 31) * (FIRST_PIVOTS * MORE_PIVOTS**turn - 1))
         pivots = workspace.cut(hashed.join(least, "bucket").filter(chosen).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("of_pivot")))
         # the sketches go along, so that pairs that they rule out are never made
+        with_cells = turn < CELL_TURNS
         of_pivots, of_points = pivots.join(_sketch_of(sizes, "a", "pivot"), "pivot"), opened.select("bucket", "node", "component").join(_sketch_of(sizes, "b", "node"), "node")
-        may = F.when(F.col("component") == F.col("of_pivot"), _near(percent)).otherwise(_near(wide))
-        seen = of_points.join(of_pivots, "bucket").filter((F.col("node") != F.col("pivot")) & may).select(F.col("pivot").alias("a"), F.col("node").alias("b"), _near(percent).alias("near"), _least_distance().alias("d"))
-        meet = workspace.cut(seen.distinct())
+        other = (F.col("node") != F.col("pivot")) if with_cells else (F.col("component") != F.col("of_pivot"))
+        meet = of_points.join(of_pivots, "bucket").filter(other & _near(percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         inner = F.col("shared") * 100 >= F.col("joined") * percent
-        close = workspace.cut(distances(meet.filter("near").select("a", "b"), points, width).filter(inner))
+        close = workspace.cut(distances(meet, points, width).filter(inner))
         labels = _merged(labels, close)
-        # the nearest pivot's cell; ties go to the smaller pivot
-        far = (F.col("joined") - F.col("shared")) / F.col("joined")
-        cells = workspace.cut(close.groupBy("b").agg(F.min(F.struct(far.alias("d"), "a")).alias("at")).select(F.col("b").alias("x"), F.col("at.a").alias("pivot"), F.col("at.d").alias("d_x")))
-        if not cells.isEmpty():
-            edge = _component(labels, meet.select(F.col("a").alias("pivot"), F.col("b").alias("y"), F.col("d").alias("d_y")), "pivot")
-            edge = _component(labels, edge, "y").filter("component_pivot != component_y").join(_sketch_of(sizes, "b", "y"), "y")
+        # pivots have met all that they can link with in their region
+        gone = pivots.select("bucket", F.col("pivot").alias("node"))
+        if with_cells:
+            # the nearest pivot's cell; ties go to the smaller pivot
+            far = (F.col("joined") - F.col("shared")) / F.col("joined")
+            cells = workspace.cut(close.groupBy("b").agg(F.min(F.struct(far.alias("d"), "a")).alias("at")).select(F.col("b").alias("x"), F.col("at.a").alias("pivot"), F.col("at.d").alias("d_x")))
+            # what is of the pivot's component by now needs no comparison with its cell
+            around = _component(labels, of_pivots.join(cells.select("pivot").distinct(), "pivot", "left_semi").drop("of_pivot"), "pivot")
+            outside = _component(labels, of_points.drop("component"), "node").join(around, "bucket").filter((F.col("component_node") != F.col("component_pivot")) & _near(wide))
+            edge = outside.select("pivot", F.col("node").alias("y"), _least_distance().alias("d_y")).distinct().join(_sketch_of(sizes, "b", "y"), "y")
             # the slack is for rounding: a pair too many is measured exactly all the same
             window = F.col("d_y") - F.col("d_x") <= (100 - percent) / 100 + 1e-9
             across = cells.join(_sketch_of(sizes, "a", "x"), "x").join(edge, "pivot").filter(window & _near(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             labels = _merged(labels, workspace.cut(distances(across, points, width).filter(inner)))
-        # pivots, and points in the cell of a pivot of their region, have met all that they can link with there
-        gone = pivots.select("bucket", F.col("pivot").alias("node")).unionByName(pivots.drop("of_pivot").join(close.select(F.col("a").alias("pivot"), F.col("b").alias("node")).join(cells.select(F.col("x").alias("node"), "pivot"), ["node", "pivot"]), "pivot").select("bucket", "node"))
+            # and so have the points in the cell of a pivot of their region
+            gone = gone.unionByName(pivots.drop("of_pivot").join(close.select(F.col("a").alias("pivot"), F.col("b").alias("node")).join(cells.select(F.col("x").alias("node"), "pivot"), ["node", "pivot"]), "pivot").select("bucket", "node"))
         rows = workspace.cut(opened.select("bucket", "node").join(gone, ["bucket", "node"], "left_anti"))
 
 
