@@ -11,17 +11,17 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motionframe.llm import components, workspace
 
 #: Points up to which a bucket is not divided, and the pivots of a bucket in the first turn.
 LEAF, FIRST_PIVOTS = 16, 4
-#: Rows of the kept columns and ``shingle`` of rows with ``grams``, repeats included.
-Expand = Callable[[DataFrame, list[str]], DataFrame]
-#: Bits of a sketch, in words of 64.
-SKETCH_WORDS = 4
+#: The elements of a set, as an array of numbers that may hold repeats, from its ``grams``.
+Elements = Callable[[Column], Column]
+#: Bits of a sketch, in words of 64; sets of many more elements than bits have sketches that rule nothing out.
+SKETCH_WORDS = 16
 
 
 def open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -34,19 +34,16 @@ def open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return workspace.cut(marked.join(ends.filter("a != b").select("bucket", "low", "size"), "bucket"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int, expand: Expand) -> DataFrame:
-    """The pairs (a, b) whose sets share ``percent`` of their union or more.
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, elements: Elements) -> DataFrame:
+    """The pairs (a, b) whose sets share ``percent`` of their union or more; n_a and n_b are the sets' sizes.
 
-    ``sets`` is node, grams; ``expand`` makes rows of their elements where a pair is compared, so that what is stored and joined is smaller.
+    ``sets`` is node, grams; ``elements`` makes their elements where a pair is compared, so that what is stored and joined is smaller.
     """
     left, right = sets.select(F.col("node").alias("a"), F.col("grams").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("grams").alias("of_b"))
-    # the pairs lie by b after the second join, so the elements are counted where they are made
     both = pairs.join(left, "a").join(right, "b")
-    sides = both.select("a", "b", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("of_a").alias("grams")), F.struct(F.lit(2).alias("side"), F.col("of_b").alias("grams")))).alias("s"))
-    each = expand(sides.select("b", "a", "s.side", "s.grams"), ["b", "a", "side"])
-    seen = each.groupBy("b", "a", "shingle").agg(F.bit_or("side").alias("sides"))
-    counted = seen.groupBy("b", "a").agg(F.count_if(F.col("sides") == 3).alias("shared"), F.count("*").alias("joined"))
-    return workspace.cut(counted.filter(F.col("shared") * 100 >= F.col("joined") * percent).select("a", "b"))
+    shared = F.size(F.array_intersect(elements(F.col("of_a")), elements(F.col("of_b")))).cast("long")
+    counted = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), shared.alias("shared"))
+    return workspace.cut(counted.filter(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select("a", "b"))
 
 
 def sketches(each: DataFrame) -> DataFrame:
@@ -61,23 +58,23 @@ def sketches(each: DataFrame) -> DataFrame:
 
 
 def _may_link(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches do not rule a link out: the sets' difference is ``100 - percent`` of ``100 + percent`` of both sizes at most."""
+    """a, b, n_a, n_b of the pairs whose sizes and sketches do not rule a link out: the sets' difference is ``100 - percent`` of ``100 + percent`` of both sizes at most."""
     left, right = (sketched.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in sketched.columns if c != "node")) for side in "ab")
     differ = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(SKETCH_WORDS)), F.lit(0))
     near = (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", "n_a", "n_b")
 
 
 def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return components.components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
-def nearest(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, expand: Expand) -> tuple[DataFrame | None, DataFrame | None]:
+def nearest(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, elements: Elements) -> tuple[DataFrame | None, DataFrame | None]:
     """(what :func:`open_rows` leaves, labels) after every point met the lowest point of its buckets that it shares most of them with."""
     lows = rows.groupBy("bucket").agg(F.min("node").alias("low"))
     votes = rows.join(lows, "bucket").filter("node != low").groupBy("node", "low").agg(F.count("*").alias("votes"))
     best = votes.groupBy("node").agg(F.max_by("low", "votes").alias("low"))
-    found = linked(_may_link(best.select(F.col("low").alias("a"), F.col("node").alias("b")), sketched, percent), sets, percent, expand)
+    found = linked(_may_link(best.select(F.col("low").alias("a"), F.col("node").alias("b")), sketched, percent), sets, percent, elements)
     labels = None if found.isEmpty() else _joined(None, found)
     opened = open_rows(rows, labels)
     return (None if opened.isEmpty() else opened), labels
@@ -107,7 +104,7 @@ def distinct_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(one.select("bucket"), "bucket", "left_semi")
 
 
-def resolve(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, labels: DataFrame | None, expand: Expand) -> DataFrame | None:
+def resolve(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, labels: DataFrame | None, elements: Elements) -> DataFrame | None:
     """node, component of the points (bucket, node, n, rest) that link with another; None if no two link."""
     rows = workspace.cut(distinct_buckets(rows))
     for turn in itertools.count():  # ends after about log8(size / FIRST_PIVOTS) turns
@@ -121,17 +118,17 @@ def resolve(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int,
         enough = F.least("rest", "pivot_rest") * (100 + percent) >= (F.col("n") + F.col("pivot_n")) * percent
         each = opened.join(pivots, "bucket").filter((F.col("component") != F.col("pivot_component")) & enough)
         pairs = each.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-        found = linked(_may_link(pairs, sketched, percent), sets, percent, expand)
+        found = linked(_may_link(pairs, sketched, percent), sets, percent, elements)
         if not found.isEmpty():
             labels = _joined(labels, found)
         # a pivot has met all points of its bucket
         rows = opened.filter(~is_pivot).select("bucket", "node", "n", "rest")
 
 
-def all_pairs(opened: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, labels: DataFrame | None, expand: Expand) -> DataFrame | None:
+def all_pairs(opened: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, labels: DataFrame | None, elements: Elements) -> DataFrame | None:
     """:func:`resolve` of small buckets (what :func:`open_rows` gives) at once: every two points of different components are compared."""
     small = opened.select("bucket", "node", "component")
     other = small.select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b"))
     pairs = small.join(other, "bucket").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("of_b"))).select(F.col("node").alias("a"), "b").distinct()
-    found = linked(_may_link(pairs, sketched, percent), sets, percent, expand)
+    found = linked(_may_link(pairs, sketched, percent), sets, percent, elements)
     return labels if found.isEmpty() else _joined(labels, found)

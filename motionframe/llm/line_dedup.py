@@ -57,18 +57,15 @@ def _hash_at(encoded: Column, start: Column) -> Column:
     return F.xxhash64(F.substring(encoded, start * 4 + 1, F.lit(4 * SHINGLE)))
 
 
-def shingle_rows(texts: DataFrame, kept: list[str]) -> DataFrame:
-    """The columns ``kept`` and shingle: every character shingle of the lines (grams), with its repeats."""
-    encoded = texts.select(*kept, _encoded(F.col("grams")).alias("encoded"))
-    at = encoded.select(*kept, "encoded", F.explode(_starts(F.col("encoded"))).alias("at"))
-    return at.select(*kept, _hash_at(F.col("encoded"), F.col("at")).alias("shingle"))
+def shingles(line: Column) -> Column:
+    """The hashes of every character shingle of a line, with its repeats."""
+    encoded = F.array(_encoded(line))
+    return F.element_at(F.transform(encoded, lambda e: F.transform(_starts(e), lambda at: _hash_at(e, at))), 1)
 
 
 def distinct_shingles(texts: DataFrame) -> DataFrame:
     """node, shingle of the lines (node, grams), told apart within the line: an aggregation over all of them costs four times as much."""
-    encoded = F.array(_encoded(F.col("grams")))
-    each = F.transform(encoded, lambda e: F.transform(_starts(e), lambda at: _hash_at(e, at)))
-    return texts.select("node", F.explode(F.array_distinct(F.element_at(each, 1))).alias("shingle"))
+    return texts.select("node", F.explode(F.array_distinct(shingles(F.col("grams")))).alias("shingle"))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -141,16 +138,16 @@ def components_of(docs: DataFrame, signed: DataFrame, percent: int = PERCENT) ->
     rows = candidates(signed)
     texts = _texts(docs, signed, rows)
     sketched = workspace.cut(buckets.sketches(distinct_shingles(texts)))
-    opened, labels = buckets.nearest(rows, texts, sketched, percent, shingle_rows)
+    opened, labels = buckets.nearest(rows, texts, sketched, percent, shingles)
     if opened is None:
         return labels
     # small buckets as they are; those of large ones by the rare shingles that linked lines share
-    labels = buckets.all_pairs(opened.filter(F.col("size") <= buckets.LEAF), texts, sketched, percent, labels, shingle_rows)
+    labels = buckets.all_pairs(opened.filter(F.col("size") <= buckets.LEAF), texts, sketched, percent, labels, shingles)
     large = workspace.cut(opened.filter(F.col("size") > buckets.LEAF).select("node").distinct())
     if large.isEmpty():
         return labels
     rare = buckets.rare_shingles(distinct_shingles(texts.join(large, "node", "left_semi")), percent)
-    return buckets.resolve(rare, texts, sketched, percent, labels, shingle_rows)
+    return buckets.resolve(rare, texts, sketched, percent, labels, shingles)
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
