@@ -29,7 +29,7 @@ def open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         marked = rows.withColumn("component", F.col("node"))
     else:
-        marked = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        marked = rows.join(workspace.sized(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     ends = marked.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("node").alias("low"), F.count("*").alias("size"))
     return workspace.cut(marked.join(ends.filter("a != b").select("bucket", "low", "size"), "bucket"))
 
@@ -65,17 +65,13 @@ def _may_link(pairs: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b", "n_a", "n_b")
 
 
-def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
-    return components.components(found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
-
 def nearest(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int, elements: Elements) -> tuple[DataFrame | None, DataFrame | None]:
     """(what :func:`open_rows` leaves, labels) after every point met the lowest point of its buckets that it shares most of them with."""
     lows = rows.groupBy("bucket").agg(F.min("node").alias("low"))
     votes = rows.join(lows, "bucket").filter("node != low").groupBy("node", "low").agg(F.count("*").alias("votes"))
     best = votes.groupBy("node").agg(F.max_by("low", "votes").alias("low"))
     found = linked(_may_link(best.select(F.col("low").alias("a"), F.col("node").alias("b")), sketched, percent), sets, percent, elements)
-    labels = None if found.isEmpty() else _joined(None, found)
+    labels = None if found.isEmpty() else components.merged(None, found)
     opened = open_rows(rows, labels)
     return (None if opened.isEmpty() else opened), labels
 
@@ -120,7 +116,7 @@ def resolve(rows: DataFrame, sets: DataFrame, sketched: DataFrame, percent: int,
         pairs = each.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         found = linked(_may_link(pairs, sketched, percent), sets, percent, elements)
         if not found.isEmpty():
-            labels = _joined(labels, found)
+            labels = components.merged(labels, found)
         # a pivot has met all points of its bucket
         rows = opened.filter(~is_pivot).select("bucket", "node", "n", "rest")
 
@@ -131,4 +127,4 @@ def all_pairs(opened: DataFrame, sets: DataFrame, sketched: DataFrame, percent:
     other = small.select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b"))
     pairs = small.join(other, "bucket").filter((F.col("node") < F.col("b")) & (F.col("component") != F.col("of_b"))).select(F.col("node").alias("a"), "b").distinct()
     found = linked(_may_link(pairs, sketched, percent), sets, percent, elements)
-    return labels if found.isEmpty() else _joined(labels, found)
+    return labels if found.isEmpty() else components.merged(labels, found)

@@ -30,9 +30,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def _is_star(edges: DataFrame) -> bool:
     """Whether every node hangs on one node that hangs on none; stars are whole components, as no step cuts one."""
-    twice = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-    between = edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi")
-    return twice.unionByName(between).isEmpty()
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("end"))
+    ups = ends.groupBy("end.node").agg(F.sum("end.up").alias("ups"), F.min("end.up").alias("least"))
+    return ups.filter("ups > 1 OR (ups > 0 AND least = 0)").isEmpty()
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -43,3 +43,19 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         if _is_star(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, component of the nodes of ``labels`` (node, component) and ``links`` (a, b): components that a link joins are one.
+
+    Only the links between components are gone through again, not what is known of each.
+    """
+    if labels is None:
+        return components(links)
+    known = {side: workspace.sized(labels.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))) for side in "ab"}
+    between = links.select("a", "b").join(known["a"], "a", "left").join(known["b"], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    joined = components(between)
+    moved = labels.join(workspace.sized(joined.select(F.col("node").alias("component"), F.col("component").alias("to"))), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # a node without a label was its own component
+    fresh = joined.join(known["a"].select(F.col("a").alias("node")), "node", "left_anti").select("node", "component")
+    return workspace.cut(moved.unionByName(fresh))

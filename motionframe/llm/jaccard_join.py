@@ -15,8 +15,9 @@ Inside each region, with ``r`` the radius of the join:
 * by the triangle inequality all points linked with one in a cell are within ``2 r`` of its pivot: the points beyond ``r``
   whose bound allows ``2 r`` are replicated to the cell, and are compared with those of its points whose distance to the
   pivot is less by at most ``r``, if they are not of its component by then;
-* pivots and points in cells leave the region; what is left of it is divided again around new pivots, eight times as many each
-  turn, until no region holds points of two components.  After the first turns pivots only meet what may link with them.
+* pivots and points in cells leave the region; what is left of it is divided again around new pivots, sixteen times as many each
+  turn, until no region holds points of two components.  After the first turn pivots only meet what may link with them;
+* in a region of ``LEAF`` points or fewer every two points of different components meet at once.
 
 It is exact at every size, as any order of shingles and any choice of pivots gives all links between components.
 
@@ -41,10 +42,13 @@ from motionframe.llm import buckets, components, wordhash, workspace
 WIDTH = 4
 #: Percent of the union that two linked documents share at least.
 PERCENT = 85
-#: Share of the hash range whose shingles decide whether a point may have a neighbour.
-SCREEN = 0.2
-#: Bits of a point's sketch, in words of 64, and pivots of a region in the first turn and times as many each turn.
-SKETCH_WORDS, FIRST_PIVOTS, MORE_PIVOTS = 8, 1, 8
+#: The share of the hash range whose shingles decide whether a point may have a neighbour, over the share that a linked one may miss.
+#: At 1 or less nearly every point with one shared shingle may have one.
+SCREEN = 4 / 3
+#: Points up to which all pairs of a region meet in one turn.
+LEAF = 32
+#: Bits of a point's sketch, in words of 64, and pivots of a larger region in the first turn and times as many each turn.
+SKETCH_WORDS, FIRST_PIVOTS, MORE_PIVOTS = 8, 1, 16
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("low", pa.list_(pa.int64()))])
 
@@ -89,9 +93,10 @@ def _lowest(found: np.ndarray, bounds: np.ndarray, percent: int, bound: np.uint6
     return (found < bound) | (np.arange(len(found)) - np.repeat(bounds[:-1], sizes) < np.repeat(prefix, sizes))
 
 
-def sketches(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, screen: float = SCREEN) -> DataFrame:
+def sketches(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, screen: float | None = None) -> DataFrame:
     """doc_id, t1 and t2 (128 bits of the text), n (shingles), h1 and h2 (a 128-bit sum over the set), low (the shingles below the hash bound, more if the prefix is longer)."""
-    bound = np.uint64(int(screen * 2**64))
+    screen = (100 - percent) / 100 * SCREEN if screen is None else screen
+    bound = np.uint64(min(int(screen * 2**64), 2**64 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, bounds, found in _blocks(batches, width):
@@ -195,8 +200,11 @@ def distances(pairs: DataFrame, points: DataFrame, width: int) -> DataFrame:
             joined = np.bincount(owner, minlength=len(batch)) - shared
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.astype(np.int64)), pa.array(joined.astype(np.int64))], ["a", "b", "shared", "joined"])
 
+    pairs = workspace.cut(pairs.select("a", "b"))
     left, right = (points.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, shared long, joined long")
+    # few pairs go to the texts, so that only the texts of pairs are shuffled
+    right = right.join(workspace.sized(pairs.select("b")), "b", "left_semi")
+    return left.join(workspace.sized(pairs), "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, shared long, joined long")
 
 
 def _differ() -> Column:
@@ -226,10 +234,7 @@ def _may_be_near(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
-    if links.isEmpty():
-        return labels
-    known = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("component").alias("b"))]
-    return components.components(links.select("a", "b").unionByName(known[0]) if known else links.select("a", "b"))
+    return labels if links.isEmpty() else components.merged(labels, links)
 
 
 def _component(labels: DataFrame | None, df: DataFrame, name: str) -> DataFrame:
@@ -237,13 +242,13 @@ def _component(labels: DataFrame | None, df: DataFrame, name: str) -> DataFrame:
     made = f"component_{name}"
     if labels is None:
         return df.withColumn(made, F.col(name))
-    return df.join(labels.select(F.col("node").alias(name), F.col("component").alias(made)), name, "left").withColumn(made, F.coalesce(made, name))
+    return df.join(workspace.sized(labels.select(F.col("node").alias(name), F.col("component").alias(made))), name, "left").withColumn(made, F.coalesce(made, name))
 
 
 #: Turns in which pivots have cells; later ones have many pivots a region, which would each meet all that is within ``2 r`` of them.
-CELL_TURNS = 2
+CELL_TURNS = 1
 #: So often a point meets the pivot that it shares most regions with before the regions are divided.
-FIRST_MEETINGS = 2
+FIRST_MEETINGS = 1
 
 
 def _one_pivot_each(opened: DataFrame, turn: int) -> DataFrame:
@@ -275,22 +280,28 @@ def components_of(rows: DataFrame, points: DataFrame, width: int = WIDTH, percen
         # by one hash for all regions, so that regions with the same points choose the same pivots
         hashed = opened.withColumn("hash", F.shiftrightunsigned(F.xxhash64("node", F.lit(turn)), 33))
         least = hashed.groupBy("bucket").agg(F.min("hash").alias("least"))
-        chosen = (F.col("hash") == F.col("least")) | (F.col("hash") * F.col("size") < F.lit(1 << 31) * (FIRST_PIVOTS * MORE_PIVOTS**turn - 1))
-        pivots = workspace.cut(hashed.join(least, "bucket").filter(chosen).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("of_pivot")))
+        chosen = (F.col("size") <= LEAF) | (F.col("hash") == F.col("least")) | (F.col("hash") * F.col("size") < F.lit(1 << 31) * (FIRST_PIVOTS * MORE_PIVOTS**turn - 1))
+        pivots = workspace.cut(hashed.join(least, "bucket").filter(chosen).select("bucket", F.col("node").alias("pivot"), F.col("component").alias("of_pivot"), (F.col("size") > LEAF).alias("large")))
         # the sketches go along, so that pairs that they rule out are never made
-        with_cells = turn < CELL_TURNS
+        large = pivots.filter("large").drop("large")
+        some_large = not large.isEmpty()
+        with_cells = turn < CELL_TURNS and some_large
         of_pivots, of_points = pivots.join(_sketch_of(sizes, "a", "pivot"), "pivot"), opened.select("bucket", "node", "component").join(_sketch_of(sizes, "b", "node"), "node")
-        other = (F.col("node") != F.col("pivot")) if with_cells else (F.col("component") != F.col("of_pivot"))
+        apart = F.col("component") != F.col("of_pivot")
+        other = F.when(F.col("large"), (F.col("node") != F.col("pivot")) if with_cells else apart).otherwise(apart & (F.col("pivot") < F.col("node")))
         meet = of_points.join(of_pivots, "bucket").filter(other & _near(percent)).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         inner = F.col("shared") * 100 >= F.col("joined") * percent
         close = workspace.cut(distances(meet, points, width).filter(inner))
         labels = _merged(labels, close)
+        if not some_large:
+            return labels
         # pivots have met all that they can link with in their region
         gone = pivots.select("bucket", F.col("pivot").alias("node"))
         if with_cells:
+            of_pivots = of_pivots.filter("large").drop("large")
             # the nearest pivot's cell; ties go to the smaller pivot
             far = (F.col("joined") - F.col("shared")) / F.col("joined")
-            cells = workspace.cut(close.groupBy("b").agg(F.min(F.struct(far.alias("d"), "a")).alias("at")).select(F.col("b").alias("x"), F.col("at.a").alias("pivot"), F.col("at.d").alias("d_x")))
+            cells = workspace.cut(close.join(large.select(F.col("pivot").alias("a")).distinct(), "a", "left_semi").groupBy("b").agg(F.min(F.struct(far.alias("d"), "a")).alias("at")).select(F.col("b").alias("x"), F.col("at.a").alias("pivot"), F.col("at.d").alias("d_x")))
             # what is of the pivot's component by now needs no comparison with its cell
             around = _component(labels, of_pivots.join(cells.select("pivot").distinct(), "pivot", "left_semi").drop("of_pivot"), "pivot")
             outside = _component(labels, of_points.drop("component"), "node").join(around, "bucket").filter((F.col("component_node") != F.col("component_pivot")) & _near(wide))
@@ -300,7 +311,7 @@ def components_of(rows: DataFrame, points: DataFrame, width: int = WIDTH, percen
             across = cells.join(_sketch_of(sizes, "a", "x"), "x").join(edge, "pivot").filter(window & _near(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             labels = _merged(labels, workspace.cut(distances(across, points, width).filter(inner)))
             # and so have the points in the cell of a pivot of their region
-            gone = gone.unionByName(pivots.drop("of_pivot").join(close.select(F.col("a").alias("pivot"), F.col("b").alias("node")).join(cells.select(F.col("x").alias("node"), "pivot"), ["node", "pivot"]), "pivot").select("bucket", "node"))
+            gone = gone.unionByName(large.drop("of_pivot").join(close.select(F.col("a").alias("pivot"), F.col("b").alias("node")).join(cells.select(F.col("x").alias("node"), "pivot"), ["node", "pivot"]), "pivot").select("bucket", "node"))
         rows = workspace.cut(opened.select("bucket", "node").join(gone, ["bucket", "node"], "left_anti"))
 
 
