@@ -94,7 +94,7 @@ def _lowest(found: np.ndarray, bounds: np.ndarray, percent: int, bound: np.uint6
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, screen: float | None = None) -> DataFrame:
-    """doc_id, t1 and t2 (128 bits of the text), n (shingles), h1 and h2 (a 128-bit sum over the set), low (the shingles below the hash bound, more if the prefix is longer)."""
+    """id (a number of the row), doc_id, t1 and t2 (128 bits of the text), n (shingles), h1 and h2 (a 128-bit sum over the set), low (the shingles below the hash bound, more if the prefix is longer)."""
     screen = (100 - percent) / 100 * SCREEN if screen is None else screen
     bound = np.uint64(min(int(screen * 2**64), 2**64 - 1))
 
@@ -107,7 +107,8 @@ def sketches(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, screen
             low = pa.ListArray.from_arrays(pa.array(edges), pa.array(found[is_low].view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(np.diff(bounds)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), low], schema=_SKETCH)
 
-    return _texts(docs).select("doc_id", "text", *_text_hashes()).mapInArrow(run, "doc_id long, t1 long, t2 long, n long, h1 long, h2 long, low array<long>")
+    made = _texts(docs).select("doc_id", "text", *_text_hashes()).mapInArrow(run, "doc_id long, t1 long, t2 long, n long, h1 long, h2 long, low array<long>")
+    return made.select(F.monotonically_increasing_id().alias("id"), "*")
 
 
 #: Stands for a null doc_id where texts are looked up.
@@ -129,12 +130,14 @@ def _least_shared(n: Column, percent: int) -> Column:
 
 def _screened(sketched: DataFrame, percent: int) -> DataFrame:
     """h1, h2 of the points that may have a neighbour, as far as the shingles below the hash bound tell."""
-    points = sketched.filter("n > 0").dropDuplicates(["h1", "h2"]).select("h1", "h2", "n", "low")
-    shingles = points.select("h1", "h2", "n", F.size("low").alias("of"), F.explode("low").alias("shingle"))
+    sized = sketched.filter("n > 0").select("id", "h1", "h2", "n", F.size("low").alias("of"))
+    # one row of each point; its sizes and hashes stay behind while shingles are counted
+    points = workspace.cut(sized.groupBy("h1", "h2").agg(F.min_by(F.struct("id", "n", "of"), "id").alias("at")).select("at.*", "h1", "h2"))
+    shingles = sketched.select("id", "low").join(workspace.sized(points.select("id")), "id", "left_semi").select("id", F.explode("low").alias("shingle"))
     counts = shingles.groupBy("shingle").agg(F.count("*").alias("points")).filter("points > 1")
-    shared = shingles.join(counts.select("shingle"), "shingle", "left_semi").groupBy("h1", "h2").agg(F.max("n").alias("n"), F.max("of").alias("of"), F.count("*").alias("shared"))
+    shared = shingles.join(counts.select("shingle"), "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
     # a linked point has all but n - least of them
-    return shared.filter(F.col("of") - F.col("shared") <= F.col("n") - _least_shared(F.col("n"), percent)).select("h1", "h2")
+    return points.join(shared, "id").filter(F.col("of") - F.col("shared") <= F.col("n") - _least_shared(F.col("n"), percent)).select("h1", "h2")
 
 
 def _shingle_rows(points: DataFrame, width: int) -> DataFrame:
